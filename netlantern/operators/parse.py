@@ -23,6 +23,7 @@ from netlantern.functions.text import (
     split_match,
     strip_blanks,
 )
+from netlantern.plans.barrier import filters_stay_above
 from netlantern.schema import EVENT_SCHEMA, PARSED_COLUMNS, WAN_INTERFACES
 
 # ---------------------------------------------------------------- fixed values: line patterns
@@ -165,7 +166,8 @@ def line_format(raw: Column, message: Column) -> Column:
 
 
 def with_format(hdr: DataFrame) -> DataFrame:
-    return hdr.withColumn("fmt", line_format(F.col("raw"), F.col("message")))
+    routed = hdr.withColumn("fmt", line_format(F.col("raw"), F.col("message")))
+    return filters_stay_above(routed)
 
 
 # ---------------------------------------------------------------- per-format pieces
@@ -322,7 +324,7 @@ def parse_rejects(lines: DataFrame) -> DataFrame:
         | (fmt == "coredns") & F.col("_json").isNull()
         | (fmt != "cef") & F.col("raw").contains("CEF:")
     )
-    return staged.filter(misfit).select(
+    return filters_stay_above(staged).filter(misfit).select(
         "id", "received_at", fmt.alias("format"), F.substring("raw", 1, MESSAGE_LIMIT).alias("text")
     )
 
@@ -513,6 +515,7 @@ def _events(staged: DataFrame, wan: list[str]) -> DataFrame:
     }
     for name in ("interface_in", "interface_out", "src_ip", "dst_ip"):
         columns[name] = F.col(name)
-    return ends.select(
+    parsed = ends.select(
         *[columns[n].cast(EVENT_SCHEMA[n].dataType).alias(n) for n in PARSED_COLUMNS]
     )
+    return filters_stay_above(parsed)
