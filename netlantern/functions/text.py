@@ -19,13 +19,19 @@ def strip_blanks(col: Column) -> Column:
     return F.btrim(col, F.lit(LINE_BLANKS))
 
 
+def not_blank(col: Column) -> Column:
+    return col.rlike(f"[^{LINE_BLANKS}]")
+
+
 def absent_if_empty(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
 def leading_int(col: Column) -> Column:
-    """The integer a text starts with, or NULL."""
-    return F.regexp_extract(col, r"^\s*([+-]?\d+)", 1).try_cast("int")
+    """The integer a text starts with, or NULL. Only digits reach the cast: a failing one costs
+    an exception per row."""
+    digits = r"^\s*([+-]?\d+)"
+    return F.when(col.rlike(digits), F.regexp_extract(col, digits, 1).try_cast("int"))
 
 
 def match_text(col: Column, candidates: list[tuple[str, str, int]]) -> Column:

@@ -19,6 +19,7 @@ from netlantern.functions.text import (
     last_value,
     leading_int,
     match_text,
+    not_blank,
     pair_text,
     split_match,
     strip_blanks,
@@ -72,6 +73,13 @@ WIFI_AP = r"(?i)hostapd\[\d+\]:\s+(\S+):\s+AP-STA-(CONNECTED|DISCONNECTED)\s+([0
 WIFI_WPA = rf"(?i){STATION}WPA:\s+(.+)"
 PROCESS = r"^(\S+?)(?:\[(\d+)\])?:\s*(.*)"
 
+FIREWALL_KEYS = "IN OUT MAC SRC DST LEN TTL PROTO SPT DPT".split()
+CEF_KEYS = (
+    "src spt dst dpt proto msg UNIFIcategory UNIFIsubCategory UNIFIhost UNIFIutcTime "
+    "UNIFIthreatType UNIFIthreatCategory UNIFIclientAlias UNIFIclientMac UNIFIclientIp "
+    "UNIFIwifiName UNIFIwifiChannel UNIFIWiFiRssi"
+).split()
+
 JSON_FIELDS = [
     "timestamp", "type", "category", "domain", "ip", "mac",
     "src_ip", "src_port", "dst_ip", "dst_port", "protocol",
@@ -89,9 +97,11 @@ def with_header(lines: DataFrame) -> DataFrame:
 
     Blank lines are dropped; the first word of a line without a header is its host.
     """
-    clean = lines.withColumn("raw", strip_blanks("raw")).filter(F.length("raw") > 0)
     raw = F.col("raw")
-    matched = clean.withColumn("_device", raw.rlike(rf"^{DEVICE}")).withColumn(
+    clean = lines.filter(not_blank(raw)).withColumn("raw", strip_blanks(raw))
+    # The comma is where a leading device tag must have it: most lines need no pattern here.
+    device_first = (F.substring(raw, 13, 1) == ",") & raw.rlike(rf"^{DEVICE}")
+    matched = clean.withColumn("_device", device_first).withColumn(
         "_h",
         F.when(F.col("_device"), match_text(raw, [("device", DEVICE_FIRST, 5)])).otherwise(
             match_text(raw, [("priority", PRIORITY_FIRST, 5)])
@@ -123,7 +133,7 @@ def severity_cols(device_first: Column, number: Column, word: Column) -> tuple[C
     base = F.lit(None).cast("int")
     for name, code in FACILITIES.items():
         base = F.when(facility == name, code * 8).otherwise(base)
-    priority = number.try_cast("int")
+    priority = absent_if_empty(number).try_cast("int")
     return (
         F.when(device_first, base + level_no).otherwise(priority),
         F.when(device_first, level_no).otherwise(priority.bitwiseAND(F.lit(7))),
@@ -234,7 +244,8 @@ def json_record() -> Column:
 
 # ---------------------------------------------------------------- the parse job
 def with_fields(fmt: DataFrame) -> DataFrame:
-    """Add ``_g`` (matched groups), ``_v`` (which pattern matched), ``_kv`` (pairs), ``_json``."""
+    """Add ``_g`` (matched groups), ``_v`` (which pattern matched), ``_x`` (values of the format's
+    key list), ``_json`` (record)."""
     raw, message = F.col("raw"), F.col("message")
 
     def when_format(cases: dict[str, Column]) -> Column:
@@ -285,17 +296,35 @@ def with_fields(fmt: DataFrame) -> DataFrame:
             "firewall": pair_text(raw, FIREWALL_PAIR, FW_SEP),
         }
     )
-    return grouped.withColumn("_kv", pairs).drop("_m", "_body", "_listed", "_member")
+    values = when_format(
+        {
+            "cef": F.array(
+                *[strip_blanks(last_value(F.col("_kv"), key, CEF_SEP)) for key in CEF_KEYS]
+            ),
+            "firewall": F.array(
+                *[last_value(F.col("_kv"), key, FW_SEP) for key in FIREWALL_KEYS]
+            ),
+        }
+    )
+    return (
+        grouped.withColumn("_kv", pairs)
+        .withColumn("_x", values)
+        .drop("_m", "_body", "_listed", "_member", "_kv")
+    )
 
 
 def fw_value(key: str) -> Column:
     """Last non-empty ``KEY=value`` of a firewall line."""
-    return last_value(F.col("_kv"), key, FW_SEP)
+    return F.get("_x", F.lit(FIREWALL_KEYS.index(key)))
+
+
+def cef_text(key: str) -> Column:
+    return F.get("_x", F.lit(CEF_KEYS.index(key)))
 
 
 def cef_ext(key: str) -> Column:
     """Trimmed extension value of a CEF line; an empty value is absent."""
-    return absent_if_empty(strip_blanks(last_value(F.col("_kv"), key, CEF_SEP)))
+    return absent_if_empty(cef_text(key))
 
 
 def parse_syslog(lines: DataFrame, wan: Iterable[str] = tuple(WAN_INTERFACES)) -> DataFrame:
@@ -342,7 +371,7 @@ def _events(staged: DataFrame, wan: list[str]) -> DataFrame:
         return absent_if_empty(F.col(f"_json.{name}"))
 
     def json_int(name: str) -> Column:
-        return F.col(f"_json.{name}").try_cast("double").try_cast("int")
+        return json(name).try_cast("double").try_cast("int")
 
     # One projection for the columns that other columns are built from.
     cef, firewall, coredns = fmt == "cef", fmt == "firewall", fmt == "coredns"
@@ -390,7 +419,7 @@ def _events(staged: DataFrame, wan: list[str]) -> DataFrame:
     )
     cef_note = F.coalesce(
         absent_if_empty(
-            F.coalesce(strip_blanks(last_value(F.col("_kv"), "msg", CEF_SEP)), after_msg)
+            F.coalesce(cef_text("msg"), after_msg)
         ),
         text(6),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlantern.functions.text import strip_blanks
+from netlantern.functions.text import not_blank, strip_blanks
 
 LINE_SCHEMA = "id BIGINT, received_at TIMESTAMP, raw STRING"
 
@@ -14,7 +14,7 @@ def clean_lines(df: DataFrame) -> DataFrame:
     """Trim, drop blank lines, and stamp a receive time where the input has none."""
     if "received_at" not in df.columns:
         df = df.withColumn("received_at", F.current_timestamp())
-    return df.withColumn("raw", strip_blanks(F.col("raw"))).filter(F.length("raw") > 0)
+    return df.filter(not_blank(F.col("raw"))).withColumn("raw", strip_blanks(F.col("raw")))
 
 
 def read_lines(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:

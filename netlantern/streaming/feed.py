@@ -21,7 +21,7 @@ from netlantern.plans.sizing import checkpointed, is_small
 from netlantern.plans.topk import sequence_rows
 from netlantern.schema import EVENT_TYPES, INTEL_SCHEMA, TIMELINE_TYPES
 from netlantern.sources.intel import append_intel, read_intel
-from netlantern.sources.store import DAY, stored_form, with_raw
+from netlantern.sources.store import DAY, complete, stored_form, with_raw
 
 # How often each job runs, and the pseudo type of an unlisted event type.
 INGEST_EVERY, FEED_EVERY, COUNTS_EVERY = "500 milliseconds", "100 milliseconds", "5 seconds"
@@ -177,7 +177,7 @@ def stream_enrich(
     """Enrich events as they arrive (T5); the intelligence table is read anew for each batch."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        enriched = stored_form(enrich_events(batch, load_intel()))
+        enriched = stored_form(enrich_events(complete(batch), load_intel()))
         enriched.write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     writer = ev.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
