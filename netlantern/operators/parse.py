@@ -24,7 +24,7 @@ from netlantern.functions.text import (
     split_match,
     strip_blanks,
 )
-from netlantern.plans.barrier import filters_stay_above
+from netlantern.plans.barrier import filters_stay_above, lineage_ends
 from netlantern.schema import EVENT_SCHEMA, PARSED_COLUMNS, WAN_INTERFACES
 
 # ---------------------------------------------------------------- fixed values: line patterns
@@ -306,11 +306,12 @@ def with_fields(fmt: DataFrame) -> DataFrame:
             ),
         }
     )
-    return (
+    staged = (
         grouped.withColumn("_kv", pairs)
         .withColumn("_x", values)
-        .drop("_m", "_body", "_listed", "_member", "_kv")
+        .drop("_m", "_body", "_listed", "_member", "_kv", "priority", "mac_model")
     )
+    return lineage_ends(staged)
 
 
 def fw_value(key: str) -> Column:
