@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import TABLES, normal, same
+from workload import catalog
 
 SF = "/root/testdata/sf0.001"
 NAMES = (
@@ -32,7 +33,9 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark):
