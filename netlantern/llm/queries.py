@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from netlantern.llm import (
+    byte_bpe,
     exact_dedup,
+    packing,
     sharding,
     simhash_dedup,
+    token_prefix,
 )
 from netlantern.llm.common import table
 
+LIMIT = 1024
+
 
 def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
@@ -21,11 +28,46 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_prefix.token_prefixes(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT
+    )
+    return found.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_points"
+    )
+
+
 def op7_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_dedup.simhash_classes(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op7_simhash_dedup)}
+def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf, "documents"), ranks), ranks)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_sharding,
+        op5_token_counts,
+        op7_simhash_dedup,
+        op8_byte_bpe,
+        op9_packing,
+    )
+}
 
 ORACLES = {
     "op1_exact_dedup": r"""
