@@ -92,3 +92,27 @@ def rows_kept(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     h = new_name(docs, "h")
     once = semi(repeated).withColumn(h, row_hash()).dropDuplicates(["doc_id", h]).drop(h)
     return semi(keepers.filter("copies = 1")).unionByName(once)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """``doc_id, text, y`` of at most ``most`` labelled rows of ``docs``, as a written table.
+
+    Rows whose CRC-32 of the doc_id as text leaves 1 when divided by 3 are held out and never come;
+    nor do labels that are null, rows without a doc_id, and doc_ids that several rows share. Which rows
+    come depends on a hash of the doc_id alone. ``most`` bounds what a model is fitted on.
+    """
+    single = docs.select("doc_id").dropna().groupBy("doc_id").agg(F.count("*").alias("n"))
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna()
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other"))
+    known = known.filter("y = other").select("doc_id", "y").filter(~held_out())
+    chosen = written(
+        single.filter("n = 1").join(known, "doc_id").select("doc_id", "y")
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most),
+        "labelled",
+    )
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    return written(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "labelled")
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

@@ -9,13 +9,17 @@ import public_tokenizers
 
 from netlantern.llm import (
     byte_bpe,
+    embedding_dedup,
     exact_dedup,
     packing,
+    quality,
     sharding,
     simhash_dedup,
     token_prefix,
+    toxicity,
+    warc,
 )
-from netlantern.llm.common import table
+from netlantern.llm.common import held_out, table
 
 LIMIT = 1024
 
@@ -28,6 +32,24 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    nearest = F.get(F.col("t.neighbours"), F.lit(0))
+    return toxicity.with_toxicity(docs, model, "t").select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("t.score").alias("score"),
+        (F.col("t.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        nearest["id"].alias("nearest_id"),
+        nearest["cosine"].alias("nearest_cosine"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     found = token_prefix.token_prefixes(
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), LIMIT
@@ -37,6 +59,17 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    return quality.with_quality(docs, model, "score").select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_dedup.simhash_classes(table(spark, sf, "documents"))
 
@@ -57,15 +90,23 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
         op2_sharding,
+        op3_embedding_dedup,
+        op4_toxicity,
         op5_token_counts,
+        op6_quality,
         op7_simhash_dedup,
         op8_byte_bpe,
         op9_packing,
+        op10_warc,
     )
 }
 
