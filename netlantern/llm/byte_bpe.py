@@ -17,9 +17,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlantern.llm.common import text_or_empty
@@ -40,9 +39,11 @@ SUFFIX_LETTERS = {"s": ONE, "t": ONE, "m": ONE, "d": ONE, "r": R, "v": V, "l": E
 WINDOW = 1 << 20
 BLOCK = 32
 #: Pieces in each of the cache's two generations, and the longest piece kept.
-CACHED = 1 << 18
+CACHED = 400_000
 CACHED_CHARS = 64
 SHORT = 32
+#: Rows that are decoded at a time.
+DECODED = 500
 
 
 @lru_cache(1)
@@ -274,7 +275,7 @@ class Codec(dict):
     def offsets(self, ids: bytes) -> np.ndarray:
         """Where in the text's bytes each token begins, and where the last one ends."""
         lengths = self.lengths[np.frombuffer(ids, "<u4")]
-        return np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
+        return np.concatenate([[0], np.cumsum(lengths)]).astype("<u4")
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -285,59 +286,68 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def in_parts(batch: pd.Series, chars: int = WINDOW) -> Iterator[list[str]]:
-    """The texts of a batch, some at a time, so that a batch needs no more memory than its texts."""
-    part, held = [], 0
-    for text in batch:
-        part.append(text)
+def in_parts(texts: list, size: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's values that hold about ``size`` characters or bytes, to work on in turn."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
         held += len(text)
-        if held >= chars:
-            yield part
-            part, held = [], 0
-    yield part
+        if held >= size:
+            yield first, i + 1
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """``doc_id, ids, offsets`` of every row.
 
     ``ids`` holds the token ids as little-endian unsigned 32-bit integers, ``offsets`` the byte at
-    which each begins and at last the text's length, as little-endian unsigned 64-bit integers: token ``i``
-    covers bytes ``offsets[i]`` to ``offsets[i + 1]``. Null counts as empty, which has no ids and one
-    offset, 0. Repeated rows stay; an empty table gives no rows; other columns are not read.
-    ``ranks_path`` is a file that every executor has.
+    which each begins and at last the text's length, likewise: token ``i`` covers bytes ``offsets[i]``
+    to ``offsets[i + 1]``. Null counts as empty, which has no ids and one offset, 0. Repeated rows
+    stay; an empty table gives no rows; other columns are not read. ``ranks_path`` is a file that every
+    executor has. Long batches are worked on and handed over in parts.
     """
-    kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(ranks_path)
         for batch in batches:
-            ids = [found for part in in_parts(batch) for found in known.encode(part)]
-            places = [known.offsets(x).tobytes() for x in ids]
-            yield pd.DataFrame({"ids": ids, "offsets": places}, columns=["ids", "offsets"])
+            texts = batch.column(1).to_pylist()
+            for low, high in in_parts(texts):
+                ids = list(known.encode(texts[low:high]))
+                places = [known.offsets(x).tobytes() for x in ids]
+                columns = [
+                    batch.column(0).slice(low, high - low),
+                    pa.array(ids, pa.binary()),
+                    pa.array(places, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "offsets"])
 
-    found = docs.select("doc_id", run(text_or_empty(text)).alias("e"))
-    return found.select("doc_id", "e.ids", "e.offsets")
+    fields = [docs.schema["doc_id"]] + [T.StructField(n, T.BinaryType()) for n in ("ids", "offsets")]
+    return docs.select("doc_id", text_or_empty(text).alias("text")).mapInArrow(run, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes its ``ids`` stand for; null ids decode to null.
+    """``doc_id, ids, decoded`` of every row of ``encoded``: the bytes that its ``ids`` stand for.
 
-    An id that the file lacks fails the job.
+    Null ids decode to null; an id that the file lacks fails the job.
     """
 
-    @F.pandas_udf(T.BinaryType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(ranks_path)
         for batch in batches:
-            yield pd.Series([None if x is None else known.decode(x) for x in batch], dtype=object)
+            for low in range(0, len(batch), DECODED):
+                part = batch.slice(low, DECODED)
+                found = [None if x is None else known.decode(x) for x in part.column(1).to_pylist()]
+                columns = [part.column(0), part.column(1), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
-    return encoded.withColumn("decoded", run("ids"))
+    fields = [encoded.schema[n] for n in ("doc_id", "ids")] + [T.StructField("decoded", T.BinaryType())]
+    return encoded.select("doc_id", "ids").mapInArrow(run, T.StructType(fields))
 
 
 def decode_span(ids: bytes, offsets: bytes, start: int, end: int, known: Codec) -> bytes:
     """The bytes ``start`` to ``end`` of the text, from the tokens that cover them alone."""
-    places = np.frombuffer(offsets, "<u8")
+    places = np.frombuffer(offsets, "<u4")
     low = max(int(np.searchsorted(places, start, "right")) - 1, 0)
     high = int(np.searchsorted(places, end, "left"))
     found = known.decode(ids[4 * low : 4 * high])

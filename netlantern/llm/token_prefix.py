@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from netlantern.llm.byte_bpe import WHITE_SPACE, in_parts, merge_long, merge_short, pieces
 from netlantern.llm.common import text_or_empty
 
-CACHED = 1 << 18
+CACHED = 400_000
 CACHED_CHARS = 64
 LIMIT = 1024
 
@@ -261,29 +261,35 @@ def token_prefixes(
     rows stay, an empty table gives no rows, other columns are not read. ``vocabulary_path`` is a file
     that every executor has.
     """
-    kind = T.StructType(
-        [
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("fit_points", T.LongType()),
-            T.StructField("steps", T.BinaryType()),
-        ]
-    )
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(vocabulary_path)
         for batch in batches:
-            steps = [s for part in in_parts(batch) for s in known.steps_all(part)]
-            counts = [total(s) for s in steps]
-            fits = [
-                len(s) if n <= budget and len(s) <= budget else longest_within(s, budget)
-                for s, n in zip(steps, counts)
-            ]
-            yield pd.DataFrame(
-                {"n_tokens": counts, "fit_points": fits, "steps": steps},
-                columns=["n_tokens", "fit_points", "steps"],
-            )
-
+            texts = batch.column(1).to_pylist()
+            for low, high in in_parts(texts):
+                steps = list(known.steps_all(texts[low:high]))
+                counts = [total(s) for s in steps]
+                fits = [
+                    len(s) if n <= budget and len(s) <= budget else longest_within(s, budget)
+                    for s, n in zip(steps, counts)
+                ]
+                columns = [
+                    batch.column(0).slice(low, high - low),
+                    batch.column(2).slice(low, high - low),
+                    pa.array(counts, pa.int64()),
+                    pa.array(fits, pa.int64()),
+                    pa.array(steps, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    fields = [
+        docs.schema["doc_id"],
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("fit_points", T.LongType()),
+        T.StructField("steps", T.BinaryType()),
+    ]
     whole = text_or_empty(text)
-    found = docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), run(whole).alias("t"))
-    return found.select("doc_id", "n_bytes", "t.n_tokens", "t.fit_points", "t.steps")
+    n_bytes = F.octet_length(whole).cast("long").alias("n_bytes")
+    rows = docs.select("doc_id", whole.alias("text"), n_bytes)
+    return rows.mapInArrow(run, T.StructType(fields))
