@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,33 +164,41 @@ def token_pieces(
     docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, keep_ids: bool = False
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every row."""
-    fields = [T.StructField("crc", T.LongType()), T.StructField("length", T.LongType())]
-    if keep_ids:
-        fields.append(T.StructField("ids", T.BinaryType()))
-    names = [f.name for f in fields]
     end = np.array([END_ID], "<u4").tobytes()
+    fields = [
+        docs.schema["doc_id"],
+        T.StructField("piece", T.IntegerType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()),
+        *([T.StructField("ids", T.BinaryType())] if keep_ids else []),
+    ]
+    names = [f.name for f in fields]
 
-    @F.pandas_udf(T.ArrayType(T.StructType(fields)))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_codec(vocabulary_path)
         for batch in batches:
-            out = []
-            for ids in (x for part in in_parts(batch) for x in known.encode_all(part)):
-                ids += end
-                cut = [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
-                rows = [(zlib.crc32(c), len(c) // 4, c) for c in cut]
-                out.append([dict(zip(names, row)) for row in rows])
-            yield pd.Series(out, dtype=object)
-
-    found = docs.select("doc_id", F.posexplode(run(text_or_empty())).alias("piece", "p"))
-    return found.select(
-        "doc_id",
-        "piece",
-        (F.col("piece").cast("long") * capacity).alias("start"),
-        F.col("p.length").alias("length"),
-        F.col("p.crc").alias("ids_crc32"),
-        *([F.col("p.ids").alias("ids")] if keep_ids else []),
-    )
+            texts = batch.column(1).to_pylist()
+            for low, high in in_parts(texts):
+                rows = [
+                    (i, at // (4 * capacity), ids[at : at + 4 * capacity])
+                    for i, found in enumerate(known.encode_all(texts[low:high]), low)
+                    for ids in [found + end]
+                    for at in range(0, len(ids), 4 * capacity)
+                ]
+                piece = np.array([r[1] for r in rows], np.int64)
+                columns = [
+                    batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                    pa.array(piece.astype(np.int32)),
+                    pa.array(piece * capacity),
+                    pa.array([len(r[2]) // 4 for r in rows], pa.int64()),
+                    pa.array([zlib.crc32(r[2]) for r in rows], pa.int64()),
+                    *([pa.array([r[2] for r in rows], pa.binary())] if keep_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def pack(

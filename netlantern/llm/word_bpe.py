@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 
 from netlantern.llm.byte_bpe import WHITE_SPACE
 
-CACHED = 1 << 18
+#: Entries of one generation of a cache, and the longest text kept in one.
+CACHED = 400_000
 CACHED_CHARS = 64
 #: Fixed value: how the vocabulary cuts normalised text into words.
 WORDS = (
@@ -50,10 +51,11 @@ class WordCodec:
             raise ValueError(f"a special string of {path} doesn't begin with <")
         self.cut = regex.compile(WORDS).findall
         self.normal = self.library.normalizer.normalize_str
-        # Two generations of chunks: a full one becomes the older, and what is still in use returns.
+        # Two generations each: a full one becomes the older, and what is still in use returns.
         self.chunks: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,10 +92,16 @@ class WordCodec:
             self.chunks.update((c, self._by_library(c)) for c in chunks)
             return
         if len(self.words) >= CACHED:
-            self.words = {}
-        known = self.words
+            self.older_words, self.words = self.words, {}
+        known, older = self.words, self.older_words
         cuts = [self._words(n) for n in normal + more]
-        self._merge(list({w for words in cuts for w in words if w not in known}))
+        new = []
+        for w in {w for words in cuts for w in words if w not in known}:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        self._merge(new)
         for c, words in zip(ascii_ + other, cuts):
             self.chunks[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
@@ -104,7 +112,10 @@ class WordCodec:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         get = self.chunks.get
         found = [list(map(get, chunks)) for chunks in split]
-        unknown = {c for cs, ids in zip(split, found) for c, x in zip(cs, ids) if x is None}
+        unknown = set()
+        for chunks, ids in zip(split, found):
+            if None in ids:
+                unknown.update([c for c, x in zip(chunks, ids) if x is None])
         rare, new = {}, []
         for c in unknown:
             ids = self.older.get(c)
