@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +135,10 @@ def _flips(bits: tuple[int, ...], most: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _key(k: int, value: Column):
+    return lambda mask: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(mask).alias("v"))
+
+
 def links(prints: DataFrame, most: int = MAX_BITS, parts: list[Part] | None = None) -> DataFrame:
     """``a, b`` with ``a < b``: every two distinct fingerprints that differ in at most ``most`` bits.
 
@@ -150,10 +154,10 @@ def links(prints: DataFrame, most: int = MAX_BITS, parts: list[Part] | None = No
     def keys(probe: bool):
         out = []
         for k, part in used:
-            for flip in _flips(part.bits, part.threshold if probe else 0):
-                value = F.col("fp").bitwiseAND(signed[k]).bitwiseXOR(F.lit(flip).cast("long"))
-                out.append(F.struct(F.lit(k).alias("k"), value.alias("v")))
-        return F.array(*out)
+            flips = _flips(part.bits, part.threshold if probe else 0)
+            masks_ = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<long>")
+            out.append(F.transform(masks_, _key(k, F.col("fp").bitwiseAND(signed[k]))))
+        return F.concat(*out)
 
     left = prints.select(F.col("fp").alias("a"), F.explode(keys(False)).alias("key"))
     right = prints.select(F.col("fp").alias("b"), F.explode(keys(True)).alias("key"))

@@ -1,7 +1,7 @@
 """Toxicity by the votes of the nearest labelled examples.
 
-Documents and examples are TF-IDF vectors over terms (words, and their first four and five letters)
-that tell the labels apart in the sample, by chi-square. Document frequencies count all documents.
+Documents and examples are TF-IDF vectors over terms (words and their first four to eight letters,
+and whether those come twice or three times) that tell the labels apart in the sample, by chi-square. Document frequencies count all documents.
 The examples nearest by cosine are found exactly through an inverted index in blocks: for every term
 and block of examples it holds the largest weight, so a product with the document's vector bounds
 every cosine in a block. Blocks are scored, highest bound first, until the bound falls below the last
@@ -25,13 +25,14 @@ from netlantern.llm.common import labelled_sample, new_name, text_or_empty
 
 #: Bounds of the model: labelled rows it is fitted on, and terms it keeps.
 EXAMPLES = 12_000
-TERMS = 4096
+TERMS = 1024
 #: Chi-square that a term must reach, and rows of the sample it must be in.
-CHI_SQUARE = 20.0
+CHI_SQUARE = 30.0
 ROWS_WITH_TERM = 3
 LETTERS = 32
 ROWS_AT_ONCE = 500
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
+REPEATS = (2, 3)
 K = 10
 BLOCK = 64
 NEAR = 0.05
@@ -57,25 +58,28 @@ def terms_of(word: str) -> list[str]:
     return own + [word[:n] + "*" for n in PREFIXES if len(word) >= n]
 
 
+def term_counts(words: Counter) -> Counter:
+    """How often a text's words hold each term, and for repeated ones that they are repeated."""
+    out: Counter = Counter()
+    for word, n in words.items():
+        for term in terms_of(word):
+            out[term] += n
+    for times in REPEATS:
+        out.update({f"{t}@{times}": 1 for t, n in out.items() if n >= times and "@" not in t})
+    return out
+
+
 class Vocabulary:
     """Terms to their numbers; texts to counts of the terms they hold."""
 
     def __init__(self, terms: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(terms)}
-        self.words = {t for t in terms if not t.endswith("*")}
-        self.heads = {n: {t[:-1] for t in terms if t.endswith("*") and len(t) == n + 1} for n in PREFIXES}
+        self.begun = {t.split("@")[0].rstrip("*")[: PREFIXES[0]] for t in terms}
 
     def counts(self, text: str) -> dict[int, int]:
-        words, (four, five) = self.words, (self.heads[n] for n in PREFIXES)
-        hits = [
-            w for w in WORD(text.lower()) if w[:4] in four or w[:5] in five or w in words
-        ]
-        out: Counter = Counter()
-        for word, n in Counter(hits).items():
-            for term in terms_of(word):
-                if (i := self.number.get(term)) is not None:
-                    out[i] += n
-        return out
+        begun, first, number = self.begun, PREFIXES[0], self.number
+        hits = Counter([w for w in WORD(text.lower()) if w[:first] in begun])
+        return {number[t]: n for t, n in term_counts(hits).items() if t in number} if hits else {}
 
 
 class BlockMaxIndex:
@@ -215,7 +219,7 @@ def choose_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
                 held, toxic = Counter(), Counter()
                 part = batch.iloc[at : at + ROWS_AT_ONCE]
                 for text, y in zip(part["text"], part["y"]):
-                    terms = {t for w in set(WORD(text.lower())) for t in terms_of(w)}
+                    terms = list(term_counts(Counter(WORD(text.lower()))))
                     held.update(terms)
                     if y:
                         toxic.update(terms)

@@ -25,10 +25,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netlantern.llm.common import written
 from netlantern.plans.sizing import fresh_path
@@ -190,16 +192,23 @@ def decided(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return rows.join(written(revisits, "revisits"), where, "left").drop("_page", "_digest")
 
 
-#: Page ids travel through pandas as text, as it would make nullable longs inexact.
-CAPTURE = "key string, page_id string, file string, offset long, length long"
-
-
-def as_text(name: str) -> Column:
-    return F.col(name).cast("string").alias(name)
+CAPTURE = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("page_id", T.LongType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("length", T.LongType()),
+    ]
+)
 
 
-def as_long(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
+def batch_of(kind: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    types = [to_arrow_type(f.dataType) for f in kind]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, types)], names=kind.names
+    )
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
@@ -208,49 +217,36 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
     Each task writes archives of its own. A null html is an empty payload.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = open_folder(folder)
         out, name, at = None, "", 0
         try:
             for batch in batches:
                 places = []
-                for page, url, html, digest, response in zip(
-                    batch["page_id"], batch["url"], batch["html"], batch["digest"], batch["response"]
-                ):
+                for key, page, url, html, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = files.open_output_stream(f"{path}/{name}", compression=None)
-                    record = make_record(
-                        None if page is None else int(page),
-                        url,
-                        html.encode("utf-8", "surrogatepass"),
-                        base64.b32encode(digest).decode(),
-                        None if response is None else int(response),
-                    )
+                    text = base64.b32encode(digest).decode()
+                    record = make_record(page, url, html, text, response)
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     data = packer.compress(record) + packer.flush()
                     out.write(data)
-                    places.append((name, at, len(data)))
+                    places.append((key, page, name, at, len(data)))
                     at += len(data)
-                yield pd.DataFrame(
-                    {
-                        "key": batch["key"],
-                        "page_id": batch["page_id"],
-                        "file": [p[0] for p in places],
-                        "offset": [p[1] for p in places],
-                        "length": [p[2] for p in places],
-                    }
-                )
+                yield batch_of(CAPTURE, places)
         finally:
             if out is not None:
                 out.close()
 
     make_folder(folder)
-    rows = decided(pages, least)
-    rows = rows.select(as_text("page_id"), "url", "key", "html", "digest", as_text("response"))
-    return written(as_long(rows.mapInPandas(write, CAPTURE), "page_id"), "captures")
+    rows = decided(pages, least).select(
+        "key", F.col("page_id").cast("long"), "url", F.col("html").cast("binary"), "digest",
+        F.col("response").cast("long"),
+    )
+    return written(rows.mapInArrow(write, CAPTURE), "captures")
 
 
 def make_folder(folder: str) -> None:
@@ -261,8 +257,7 @@ def make_folder(folder: str) -> None:
 # --- index -------------------------------------------------------------------------------------
 
 
-def _line(key: str, page_id: int | None, file: str, offset: int, length: int) -> str:
-    return json.dumps([key, page_id, file, offset, length], ensure_ascii=False)
+PARTS = T.StructType(CAPTURE.fields[:3])
 
 
 def _rank(key: str, page_id) -> tuple[bytes, bool, int]:
@@ -279,7 +274,7 @@ def write_index(captures: DataFrame, folder: str, part: int = PART, lines: int =
     over as many parts as it needs.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = open_folder(folder)
         held: list[str] = []
         blocks, first, head, at, out = [], None, None, 0, None
@@ -289,18 +284,17 @@ def write_index(captures: DataFrame, folder: str, part: int = PART, lines: int =
             nonlocal held, at
             data = zlib.compress("\n".join(held).encode("utf-8", "surrogatepass"))
             out.write(data)
-            blocks.append([first[0], first[1], at, len(data)])
+            blocks.append([*first, at, len(data)])
             at, held = at + len(data), []
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                page = None if row.page_id is None else int(row.page_id)
+            for line in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     out = files.open_output_stream(f"{path}/{name}", compression=None)
-                    head = (row.key, page)
+                    head = line[:2]
                 if not held:
-                    first = (row.key, page)
-                held.append(_line(row.key, page, row.file, row.offset, row.length))
+                    first = line[:2]
+                held.append(json.dumps(line, ensure_ascii=False))
                 if len(held) == lines:
                     flush()
         if out is None:
@@ -310,16 +304,13 @@ def write_index(captures: DataFrame, folder: str, part: int = PART, lines: int =
         directory = zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"))
         out.write(directory + struct.pack(TRAILER, at, len(directory)))
         out.close()
-        page = None if head[1] is None else str(head[1])
-        yield pd.DataFrame({"key": [head[0]], "page_id": [page], "file": [name]})
+        yield batch_of(PARTS, [(*head, name)])
 
     make_folder(folder)
     parts = max(1, -(-captures.count() // part))
     order = ("key", "page_id", "file", "offset")
     dealt = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = dealt.select("key", as_text("page_id"), "file", "offset", "length")
-    parts = dealt.mapInPandas(write, "key string, page_id string, file string")
-    return written(as_long(parts, "page_id"), "index")
+    return written(dealt.select(*CAPTURE.names).mapInArrow(write, PARTS), "index")
 
 
 class Reader:
@@ -375,10 +366,21 @@ class IndexPart:
             number += 1
 
 
-FOUND = (
-    "key string, page_id string, url string, record_type string, payload_digest string, "
-    "payload_bytes long, payload binary, refers_to string"
+FOUND = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("page_id", T.LongType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("record_type", T.StringType()),
+        T.StructField("payload_digest", T.StringType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload", T.BinaryType()),
+        T.StructField("refers_to", T.LongType()),
+    ]
 )
+ROUTED = T.StructType([T.StructField("part", T.IntegerType()), *CAPTURE.fields[:2]])
+#: Bytes of payload after which found records are handed over.
+HANDED = 1 << 22
 
 
 def read_captures(
@@ -394,27 +396,23 @@ def read_captures(
     parts = sorted((_rank(r.key, r.page_id), r.file) for r in index.collect())
     firsts, names = [p[0] for p in parts], [p[1] for p in parts]
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers = [], []
-            for i, (key, page) in enumerate(zip(batch["key"], batch["page_id"])):
+            rows = []
+            for key, page in zip(*(c.to_pylist() for c in batch.columns)):
                 low = (key.encode("utf-8", "surrogatepass"),) if any_page else _rank(key, page)
                 n = max(0, bisect_left(firsts, low) - 1)
                 while n < len(firsts) and firsts[n][: len(low)] <= low:
-                    rows.append(i)
-                    numbers.append(n)
+                    rows.append((n, key, page))
                     n += 1
-            out = batch.iloc[rows]
-            yield pd.DataFrame(
-                {"part": numbers, "key": out["key"].to_numpy(), "page_id": out["page_id"].to_numpy()}
-            )
+            yield batch_of(ROUTED, rows)
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, records = Reader(index_folder), Reader(archives)
         number, part = -1, None
         for batch in batches:
-            out = []
-            for n, key, page in zip(batch["part"], batch["key"], batch["page_id"]):
+            out, held = [], 0
+            for n, key, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if n != number:
                     number, part = n, IndexPart(lines, names[n])
                 for _, _, file, offset, length in part.find(key, page, any_page):
@@ -422,19 +420,17 @@ def read_captures(
                     out.append(
                         (key, r.page_id, r.url, r.kind, r.digest, r.payload_bytes, r.payload, r.refers_to)
                     )
-            names_ = [f.split()[0] for f in FOUND.split(", ")]
-            found = pd.DataFrame(out, columns=names_, dtype=object)
-            for name in ("page_id", "refers_to"):
-                found[name] = [None if x is None else str(x) for x in found[name]]
-            yield found
-
-    asked = wanted.select(F.coalesce("key", F.lit("")).alias("key"), as_text("page_id"))
-    routed = asked.mapInPandas(route, "part int, key string, page_id string")
-    routed = as_long(routed, "page_id")
+                    held += len(r.payload or b"")
+                    if held >= HANDED:
+                        yield batch_of(FOUND, out)
+                        out, held = [], 0
+            yield batch_of(FOUND, out)
+
+    asked = wanted.select(F.coalesce("key", F.lit("")).alias("key"), F.col("page_id").cast("long"))
+    routed = asked.mapInArrow(route, ROUTED)
     spread = routed.repartitionByRange(max(1, len(names)), "part", "key", "page_id")
     near = spread.sortWithinPartitions("part", "key", "page_id")
-    near = near.select("part", "key", as_text("page_id"))
-    return as_long(near.mapInPandas(fetch, FOUND), "page_id", "refers_to")
+    return near.mapInArrow(fetch, FOUND)
 
 
 @dataclass
