@@ -11,8 +11,25 @@ LINE_BLANKS = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
-# A Unicode non-character: reserved for internal use, so it cannot be part of a log text.
-MARK = "\uffff"
+# Separates groups inside the parse job. A text may hold it all the same (bytes EF BF BF), so it is
+# hidden first, and shown again in what the job returns: HIDE begins a pair that stands for one of
+# the two characters. All of them are non-characters, alike to every pattern.
+MARK, HIDE = "\uffff", "\ufffe"
+PAIRS = {HIDE: HIDE + "\ufdd0", MARK: HIDE + "\ufdd1"}
+
+
+def hide_marks(col: Column) -> Column:
+    hidden = col
+    for plain, pair in PAIRS.items():
+        hidden = F.replace(hidden, F.lit(plain), F.lit(pair))
+    return F.when(col.contains(HIDE) | col.contains(MARK), hidden).otherwise(col)
+
+
+def show_marks(col: Column) -> Column:
+    shown = col
+    for plain, pair in reversed(PAIRS.items()):
+        shown = F.replace(shown, F.lit(pair), F.lit(plain))
+    return F.when(col.contains(HIDE), shown).otherwise(col)
 
 
 def strip_blanks(col: Column) -> Column:
@@ -28,8 +45,8 @@ def absent_if_empty(col: Column) -> Column:
 
 
 def leading_int(col: Column) -> Column:
-    """The integer a text starts with, or NULL. Only digits reach the cast: a failing one costs
-    an exception per row."""
+    """The 32-bit integer a text starts with, or NULL; a number beyond that is NULL too, as no port,
+    length or score needs more. Only digits reach the cast: a failing one costs an exception per row."""
     digits = r"^\s*([+-]?\d+)"
     return F.when(col.rlike(digits), F.regexp_extract(col, digits, 1).try_cast("int"))
 

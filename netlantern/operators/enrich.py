@@ -14,7 +14,7 @@ from netlantern.operators.events import exclude_private, geo_present, latest
 from netlantern.operators.stats import RECENT_GEO_COLUMNS, RECENT_GEO_LIMIT
 from netlantern.plans.sizing import broadcast_if_small, is_small
 from netlantern.plans.skew import lookup
-from netlantern.plans.topk import clamp, newest_per_key, top_k_per
+from netlantern.plans.topk import newest_per_key, row_limit, top_k_per
 from netlantern.schema import ENRICHABLE_TYPES, INTEL_FACTS, INTEL_SCHEMA
 from netlantern.sources.intel import latest_intel, usable_intel
 
@@ -116,7 +116,7 @@ def recent_geo(ev: DataFrame, intel: DataFrame, limit: int | None = None) -> Dat
     for side in SIDES:
         out = _with_side(out, located, side, F.lit(True), small)
     return latest(
-        geo_present(out).select(*RECENT_GEO_COLUMNS), clamp(limit, *RECENT_GEO_LIMIT)
+        geo_present(out).select(*RECENT_GEO_COLUMNS), row_limit(limit, RECENT_GEO_LIMIT)
     )
 
 

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from netlantern.functions import net
 from netlantern.functions.times import instant
-from netlantern.plans.topk import clamp
+from netlantern.plans.topk import row_limit
 from netlantern.schema import EVENT_COLUMNS
 
 Moment = dt.datetime | str
 
-# The columns a MAC filter and a text search look at, and the page limits.
+# The columns a MAC filter and a text search look at, and the rows of a page.
 MAC_COLUMNS = ["client_mac", "wifi_client_mac", "dhcp_mac", "mac_src", "mac_dst"]
 SEARCH_COLUMNS = ["message", "src_ip", "dst_ip", "dns_name", "hostname"]
-PAGE_DEFAULT, PAGE_MAX = 50, 500
+PAGE_ROWS = 50
 
 
 def since_filter(df: DataFrame, since: Moment | None) -> DataFrame:
@@ -105,7 +105,7 @@ def page(
     ordered = ev.orderBy(F.desc("received_at"), F.desc("id"))
     skip = int(offset or 0)
     ordered = ordered.offset(skip) if skip else ordered
-    return ordered.limit(clamp(limit, PAGE_DEFAULT, PAGE_MAX))
+    return ordered.limit(row_limit(limit, PAGE_ROWS))
 
 
 def query_events(ev: DataFrame, limit=None, offset=0, before=None, **filters) -> DataFrame:

@@ -11,16 +11,19 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlantern.functions import net
 from netlantern.functions.text import (
     MARK,
     absent_if_empty,
+    hide_marks,
     last_value,
     leading_int,
     match_text,
     not_blank,
     pair_text,
+    show_marks,
     split_match,
     strip_blanks,
 )
@@ -88,7 +91,9 @@ STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 # A firewall pair holds no white space, a CEF pair no line break: safe separators.
 FW_SEP, CEF_SEP = " ", "\n"
-MESSAGE_LIMIT = 500
+
+# Columns whose values are this module's own words.
+SET_HERE = {"event_type", "source_format", "action", "direction", "tcp_flags"}
 
 
 # ---------------------------------------------------------------- header
@@ -97,8 +102,14 @@ def with_header(lines: DataFrame) -> DataFrame:
 
     Blank lines are dropped; the first word of a line without a header is its host.
     """
+    texts = ("raw", "timestamp", "hostname", "mac_model", "message")
+    return hidden_header(lines).withColumns({c: show_marks(F.col(c)) for c in texts})
+
+
+def hidden_header(lines: DataFrame) -> DataFrame:
+    """The same with the parse job's separator hidden in every text."""
     raw = F.col("raw")
-    clean = lines.filter(not_blank(raw)).withColumn("raw", strip_blanks(raw))
+    clean = lines.filter(not_blank(raw)).withColumn("raw", hide_marks(strip_blanks(raw)))
     # The comma is where a leading device tag must have it: most lines need no pattern here.
     device_first = (F.substring(raw, 13, 1) == ",") & raw.rlike(rf"^{DEVICE}")
     matched = clean.withColumn("_device", device_first).withColumn(
@@ -330,7 +341,7 @@ def cef_ext(key: str) -> Column:
 
 def parse_syslog(lines: DataFrame, wan: Iterable[str] = tuple(WAN_INTERFACES)) -> DataFrame:
     """Raw lines (``raw, received_at`` and optionally ``id``) to parsed events."""
-    staged = with_fields(with_format(with_header(with_ids(lines))))
+    staged = with_fields(with_format(hidden_header(with_ids(lines))))
     return _events(staged, list(wan))
 
 
@@ -347,7 +358,7 @@ def parse_rejects(lines: DataFrame) -> DataFrame:
 
     They still become message-only events; this side table is for looking at them.
     """
-    staged = with_fields(with_format(with_header(with_ids(lines))))
+    staged = with_fields(with_format(hidden_header(with_ids(lines))))
     fmt = F.col("fmt")
     misfit = (
         fmt.isin("ids", "dhcp", "relay", "dns", "wifi") & F.col("_v").isNull()
@@ -355,7 +366,7 @@ def parse_rejects(lines: DataFrame) -> DataFrame:
         | (fmt != "cef") & F.col("raw").contains("CEF:")
     )
     return filters_stay_above(staged).filter(misfit).select(
-        "id", "received_at", fmt.alias("format"), F.substring("raw", 1, MESSAGE_LIMIT).alias("text")
+        "id", "received_at", fmt.alias("format"), show_marks(F.col("raw")).alias("text")
     )
 
 
@@ -476,7 +487,7 @@ def _events(staged: DataFrame, wan: list[str]) -> DataFrame:
         .when(fmt == "relay", "dhcp-relay")
         .when(fmt == "wifi", "hostapd")
         .otherwise("raw"),
-        "message": F.coalesce(note, F.substring("raw", 1, MESSAGE_LIMIT)),
+        "message": F.coalesce(note, F.col("raw")),
         "action": F.when(firewall, fw_action(text(1))).when(is_threat | blocked_name, "block"),
         "direction": F.when(
             firewall,
@@ -545,7 +556,10 @@ def _events(staged: DataFrame, wan: list[str]) -> DataFrame:
     }
     for name in ("interface_in", "interface_out", "src_ip", "dst_ip"):
         columns[name] = F.col(name)
-    parsed = ends.select(
-        *[columns[n].cast(EVENT_SCHEMA[n].dataType).alias(n) for n in PARSED_COLUMNS]
+    parsed = filters_stay_above(
+        ends.select(*[columns[n].cast(EVENT_SCHEMA[n].dataType).alias(n) for n in PARSED_COLUMNS])
+    )
+    texts = {n for n in PARSED_COLUMNS if EVENT_SCHEMA[n].dataType == T.StringType()} - SET_HERE
+    return parsed.select(
+        *[show_marks(F.col(n)).alias(n) if n in texts else F.col(n) for n in PARSED_COLUMNS]
     )
-    return filters_stay_above(parsed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netlantern.functions import net
@@ -17,16 +18,13 @@ from netlantern.functions.times import (
 )
 from netlantern.operators.events import exclude_private as drop_private
 from netlantern.operators.events import geo_present, latest, since_filter
-from netlantern.plans.topk import aggregate_with_latest, clamp, top_k
+from netlantern.plans.topk import aggregate_with_latest, row_limit, top_k, top_k_per
 from netlantern.schema import TIMELINE_TYPES
 
 Moment = dt.datetime | str
 
-# Default and highest row limits of the reports.
-TOP_LIMIT = (10, 50)
-INTEL_LIMIT = (50, 200)
-GEO_LIMIT = (500, 1000)
-RECENT_GEO_LIMIT = (50, 200)
+# Rows of a report when no limit is given.
+TOP_LIMIT, INTEL_LIMIT, GEO_LIMIT, RECENT_GEO_LIMIT = 10, 50, 500, 50
 
 
 def is_type(name: str) -> Column:
@@ -169,7 +167,7 @@ def top_talkers(
     names = {"country": "geo_country", "hostname": "hostname"}
     rows = _side(ev, since, direction, exclude_private, names)
     ranked = aggregate_with_latest(rows, ["ip"], list(names))
-    return top_k(ranked, clamp(limit, *TOP_LIMIT), ["ip"]).select(
+    return top_k(ranked, row_limit(limit, TOP_LIMIT), ["ip"]).select(
         "ip", "count", "lastSeen", "country", "hostname"
     )
 
@@ -185,7 +183,7 @@ def top_blocked(
     names = {"country": "geo_country", "abuseScore": "abuse_score", "hostname": "hostname"}
     rows = _side(ev.filter(F.col("action") == "block"), since, direction, exclude_private, names)
     ranked = aggregate_with_latest(rows, ["ip"], list(names))
-    return top_k(ranked, clamp(limit, *TOP_LIMIT), ["ip"]).select(
+    return top_k(ranked, row_limit(limit, TOP_LIMIT), ["ip"]).select(
         "ip", "count", "lastSeen", "country", "abuseScore", "hostname"
     )
 
@@ -198,7 +196,7 @@ def top_ports(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFra
         .groupBy(F.col("dst_port").alias("port"), "protocol")
         .agg(F.count("*").alias("count"))
     )
-    return top_k(counts, clamp(limit, *TOP_LIMIT), ["port", "protocol"])
+    return top_k(counts, row_limit(limit, TOP_LIMIT), ["port", "protocol"])
 
 
 def top_clients(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFrame:
@@ -229,7 +227,7 @@ def top_clients(ev: DataFrame, since: Moment, limit: int | None = None) -> DataF
         F.max("ip").alias("ip"),
         *[F.sum(c).alias(c) for c in counts],
     )
-    return top_k(clients, clamp(limit, *TOP_LIMIT), ["mac"], count="eventCount")
+    return top_k(clients, row_limit(limit, TOP_LIMIT), ["mac"], count="eventCount")
 
 
 def top_threats(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFrame:
@@ -245,7 +243,7 @@ def top_threats(ev: DataFrame, since: Moment, limit: int | None = None) -> DataF
         )
     )
     ranked = aggregate_with_latest(rows, ["signature"], ["classification"])
-    return top_k(ranked, clamp(limit, *TOP_LIMIT), ["signature"]).select(
+    return top_k(ranked, row_limit(limit, TOP_LIMIT), ["signature"]).select(
         "signature", "classification", "count", "lastSeen"
     )
 
@@ -286,8 +284,8 @@ def _enriched_sides(ev: DataFrame, since: Moment, names: dict[str, str], *carry:
     )
 
 
-def threat_intel(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFrame:
-    """Enriched addresses by activity on either side (A13), then by abuse score."""
+def enriched_addresses(ev: DataFrame, since: Moment) -> DataFrame:
+    """All enriched addresses with their activity on either side, in no order."""
     rows = _enriched_sides(ev, since, INTEL_NAMES, "id", "received_at", "event_type", "action")
     ranked = aggregate_with_latest(
         rows,
@@ -295,14 +293,17 @@ def threat_intel(ev: DataFrame, since: Moment, limit: int | None = None) -> Data
         list(INTEL_NAMES),
         {"blocked_count": was("block"), "threat_count": is_type("threat")},
     )
-    return (
-        ranked.withColumnRenamed("count", "event_count")
-        .select("ip", *INTEL_NAMES, "event_count", "blocked_count", "threat_count", "lastSeen")
-        .orderBy(F.desc("event_count"), F.desc_nulls_last("abuse_score"), F.asc("ip"))
-        .limit(clamp(limit, *INTEL_LIMIT))
+    return ranked.withColumnRenamed("count", "event_count").select(
+        "ip", *INTEL_NAMES, "event_count", "blocked_count", "threat_count", "lastSeen"
     )
 
 
+def threat_intel(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFrame:
+    """Enriched addresses by activity on either side (A13), then by abuse score."""
+    order = (F.desc("event_count"), F.desc_nulls_last("abuse_score"), F.asc("ip"))
+    return enriched_addresses(ev, since).orderBy(*order).limit(row_limit(limit, INTEL_LIMIT))
+
+
 def intel_summary(intel: DataFrame) -> DataFrame:
     """Totals over the intelligence table, expired rows included."""
     return intel.filter(~F.coalesce("is_private", F.lit(False))).agg(
@@ -342,36 +343,46 @@ RECENT_GEO_COLUMNS = (
 ).split()
 
 
-def geo_events(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFrame:
-    """Located addresses of each side, half of the limit for each."""
-    half = -(-clamp(limit, *GEO_LIMIT) // 2)
-    names = {
-        "country": "geo_country",
-        "city": "geo_city",
-        "lat": "geo_lat",
-        "lon": "geo_lon",
-        "abuseScore": "abuse_score",
-    }
-    sides = []
-    for side in ("src", "dst"):
-        located = ev.filter(
-            F.col(f"{side}_geo_lat").isNotNull() & F.col(f"{side}_geo_lon").isNotNull()
-        )
-        ranked = aggregate_with_latest(
-            _side(located, since, side, False, names),
-            ["ip"],
-            list(names),
-            {"blocked": was("block"), "threats": is_type("threat")},
+GEO_FACTS = {
+    "country": "geo_country",
+    "city": "geo_city",
+    "lat": "geo_lat",
+    "lon": "geo_lon",
+    "abuseScore": "abuse_score",
+}
+
+
+def located_addresses(ev: DataFrame, since: Moment) -> DataFrame:
+    """Every located address of each side with its activity (U3), from one scan."""
+    measures = {"blocked": was("block"), "threats": is_type("threat")}
+    needed = ["id", "received_at", "action", "event_type"]
+    ends = [
+        F.struct(
+            F.lit(side).alias("direction"),
+            F.col(f"{side}_ip").alias("ip"),
+            *[F.col(f"{side}_{c}").alias(n) for n, c in GEO_FACTS.items()],
         )
-        best = top_k(ranked, half, ["ip"]).withColumn("direction", F.lit(side))
-        sides.append(best.select(*GEO_COLUMNS))
-    return sides[0].unionByName(sides[1])
+        for side in ("src", "dst")
+    ]
+    rows = since_filter(ev, since).select(*needed, F.explode(F.array(*ends)).alias("end"))
+    rows = rows.select(*needed, "end.*").filter(
+        F.col("ip").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    )
+    ranked = aggregate_with_latest(rows, ["direction", "ip"], list(GEO_FACTS), measures)
+    return ranked.select(*GEO_COLUMNS)
+
+
+def geo_events(ev: DataFrame, since: Moment, limit: int | None = None) -> DataFrame:
+    """Located addresses of each side, half of the limit for each."""
+    half = -(-row_limit(limit, GEO_LIMIT) // 2)
+    best = top_k_per(located_addresses(ev, since), half, ["direction"], ["ip"])
+    return best.select(*GEO_COLUMNS)
 
 
 def recent_geo_events(ev: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest events with a located end."""
     located = geo_present(ev).select(*RECENT_GEO_COLUMNS)
-    return latest(located, clamp(limit, *RECENT_GEO_LIMIT))
+    return latest(located, row_limit(limit, RECENT_GEO_LIMIT))
 
 
 def geo_overlay(geo: DataFrame) -> DataFrame:
@@ -405,7 +416,8 @@ def flow_lines(ev: DataFrame, limit: int = 30) -> DataFrame:
 
 def with_share(df: DataFrame, count: str = "count") -> DataFrame:
     """Each row's count relative to the highest one."""
-    top = df.agg(F.max(count)).scalar()
+    # The rows of a report: as many as its limit.
+    top = F.max(count).over(W.partitionBy())
     return df.withColumn("share", F.col(count) / top)
 
 

@@ -11,9 +11,12 @@ from netlantern.plans.sizing import checkpointed
 SALTS = 64
 
 
-def clamp(limit: int | str | None, default: int, maximum: int) -> int:
-    """The requested row limit, its default when absent, never above the maximum."""
-    return min(int(limit) if limit not in (None, "") else default, maximum)
+def row_limit(limit: int | str | None, default: int, most: int | None = None) -> int:
+    """The requested number of rows, the default when absent; above ``most``, if given, an error."""
+    asked = int(limit) if limit not in (None, "") else default
+    if most is not None and asked > most:
+        raise ValueError(f"{asked} rows were asked for; at most {most} are given")
+    return asked
 
 
 def top_k(df: DataFrame, k: int, keys: list[str], count: str = "count") -> DataFrame:
@@ -57,17 +60,21 @@ def aggregate_with_latest(
     on the newest row (NULL if they were NULL there).
 
     The latest columns of a key take few distinct values, so they are grouping columns of a first
-    hash aggregate; only its small result goes through the sort-based ``max_by``. Nothing of a
-    hot key travels beyond its partial counts.
+    aggregate, which keeps the newest (time, id) of each version; only its small result goes through
+    the sort-based ``max_by``. Nothing of a hot key travels beyond its partial counts. Of two rows at
+    the same instant the one with the larger id is the newer.
     """
     measures = measures or {}
+    # (time, id) as one number, which a hash aggregate can keep: ids differ by less than 2**64.
+    micros = F.unix_micros("received_at").cast("decimal(19,0)")
+    instant = micros * F.lit(str(2**64)).cast("decimal(20,0)") + F.col("id").cast("decimal(19,0)")
     versions = rows.groupBy(*keys, *latest).agg(
         F.count("*").alias("count"),
+        F.max(instant).alias("_at"),
         F.max("received_at").alias("lastSeen"),
-        F.max("id").alias("_id"),
         *[F.sum(m.cast("bigint")).alias(name) for name, m in measures.items()],
     )
-    newest = F.max_by(F.struct(*latest), F.struct("lastSeen", "_id"))
+    newest = F.max_by(F.struct(*latest), F.col("_at"))
     return (
         versions.groupBy(*keys)
         .agg(

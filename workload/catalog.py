@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netlantern.functions import net, times
@@ -186,14 +187,15 @@ def _(spark, sf):
 
 @register(
     "p2_router",
-    "SELECT source_format, event_type, count(*) AS count FROM parsed GROUP BY ALL",
+    "SELECT id, CASE WHEN source_format IN ('cef', 'coredns') THEN source_format "
+    "WHEN source_format = 'iptables' THEN 'firewall' WHEN source_format = 'suricata' THEN 'ids' "
+    "WHEN source_format = 'dhcp-relay' THEN 'relay' WHEN source_format = 'hostapd' THEN 'wifi' "
+    "ELSE event_type END AS fmt FROM parsed",
     "parsed",
 )
 def _(spark, sf):
     routed = parse.with_format(parse.with_header(tables.lines(spark, sf)))
-    named = routed.filter("fmt IS NOT NULL")
-    parsed = parse.parse_syslog(named.select("id", "received_at", "raw"))
-    return parsed.groupBy("source_format", "event_type").agg(F.count("*").alias("count"))
+    return routed.select("id", "fmt")
 
 
 def _parse_query(name: str, columns: str, condition: str) -> None:
@@ -257,7 +259,7 @@ _MISFIT = " ".join(f"WHEN {k} THEN '{name}'" for k, name in shapes.MISFITS.items
 @register(
     "p13_rejects",
     f"SELECT id, received_at, CASE id % {shapes.SHAPE_COUNT} {_MISFIT} END AS format, "
-    f"substr(raw, 1, 500) AS text FROM lines WHERE id % {shapes.SHAPE_COUNT} "
+    f"raw AS text FROM lines WHERE id % {shapes.SHAPE_COUNT} "
     f"IN ({', '.join(map(str, shapes.MISFITS))})",
     "lines",
 )
@@ -357,7 +359,7 @@ def _(spark, sf):
     return counted.unpivot([], list(times.PERIODS), "period", "count")
 
 
-_INTEL_SQL = f"""
+_INTEL_ROWS = f"""
     SELECT ip,
            arg_max_null(country, (received_at, id)) AS country,
            arg_max_null(city, (received_at, id)) AS city,
@@ -376,18 +378,19 @@ _INTEL_SQL = f"""
           SELECT id, received_at, action, event_type, dst_ip, dst_geo_country, dst_geo_city,
                  dst_geo_lat, dst_geo_lon, dst_abuse_score, dst_hostname FROM ev) AS b
     WHERE ip IS NOT NULL AND (country IS NOT NULL OR abuse_score IS NOT NULL) AND {SINCE}
-    GROUP BY ip ORDER BY event_count DESC, abuse_score DESC NULLS LAST, ip LIMIT 200"""
+    GROUP BY ip"""
+_INTEL_SQL = _INTEL_ROWS + " ORDER BY event_count DESC, abuse_score DESC NULLS LAST, ip LIMIT 200"
 
 
 @register(
     "f16_intel_filter",
-    f"SELECT * FROM ({_INTEL_SQL}) AS t WHERE coalesce(abuse_score, 0) > 20 AND event_count >= 1 "
+    f"SELECT * FROM ({_INTEL_ROWS}) AS t WHERE coalesce(abuse_score, 0) > 20 AND event_count >= 1 "
     "AND lower(CASE WHEN city IS NOT NULL AND country IS NOT NULL THEN city || ', ' || country "
     "ELSE coalesce(country, '') END) LIKE '%nation%'",
     "ev",
 )
 def _(spark, sf):
-    rows = stats.threat_intel(tables.events(spark, sf), SINCE_30D, 200)
+    rows = stats.enriched_addresses(tables.events(spark, sf), SINCE_30D)
     return events.filter_intel(
         rows, {"abuse_score": "> 20", "event_count": "1", "country": "Nation"}
     )
@@ -515,7 +518,7 @@ def _(spark, sf):
 
 @register(
     "a8_top_destinations",
-    _ranking_sql("dst", _TALK, f"{SINCE} AND NOT {oracle.private('dst_ip')}", 50),
+    _ranking_sql("dst", _TALK, f"{SINCE} AND NOT {oracle.private('dst_ip')}", 80),
     "ev",
 )
 def _(spark, sf):
@@ -610,7 +613,7 @@ def _(spark, sf):
     return stats.period_summary(tables.events(spark, sf), SINCE_30D)
 
 
-def _geo_sql(half: int) -> str:
+def _geo_sql(half: int | None) -> str:
     names = {"country": "geo_country", "city": "geo_city", "lat": "geo_lat", "lon": "geo_lon",
              "abuseScore": "abuse_score"}
     sides = []
@@ -624,7 +627,7 @@ def _geo_sql(half: int) -> str:
             "count(*) FILTER (event_type = 'threat') AS threats, "
             f"max(received_at) AS \"lastSeen\", '{s}' AS direction FROM ev "
             f"WHERE {s}_geo_lat IS NOT NULL AND {s}_geo_lon IS NOT NULL AND {SINCE} "
-            f"GROUP BY {s}_ip ORDER BY count DESC, ip LIMIT {half})"
+            f"GROUP BY {s}_ip" + (f" ORDER BY count DESC, ip LIMIT {half})" if half else ")")
         )
     return " UNION ALL ".join(sides)
 
@@ -651,11 +654,11 @@ def _(spark, sf):
     "a18_overlay",
     "SELECT count(*) AS ips, count(*) FILTER (threats > 0) AS threat_ips, "
     "count(*) FILTER (blocked > 0) AS blocked_ips, count(DISTINCT nullif(country, '')) AS countries "
-    f"FROM ({_geo_sql(500)}) AS g WHERE NOT {oracle.private('ip')}",
+    f"FROM ({_geo_sql(None)}) AS g WHERE NOT {oracle.private('ip')}",
     "ev",
 )
 def _(spark, sf):
-    return stats.geo_overlay(stats.geo_events(tables.events(spark, sf), SINCE_30D, 1000))
+    return stats.geo_overlay(stats.located_addresses(tables.events(spark, sf), SINCE_30D))
 
 
 @register(
@@ -710,27 +713,25 @@ def _(spark, sf):
 @register(
     "o3_keyset",
     f"SELECT {BRIEF} FROM ev WHERE received_at < {ts(SINCE_7D)} "
-    "ORDER BY received_at DESC, id DESC LIMIT 500",
+    "ORDER BY received_at DESC, id DESC LIMIT 700",
     "ev",
 )
 def _(spark, sf):
-    return events.page(tables.events(spark, sf), 9999, 0, (SINCE_7D, 0)).select(*BRIEF_COLUMNS)
+    return events.page(tables.events(spark, sf), 700, 0, (SINCE_7D, 0)).select(*BRIEF_COLUMNS)
 
 
 @register(
     "o6_intel_sort",
     "SELECT ip, abuse_score, row_number() OVER (ORDER BY coalesce(abuse_score, -1) DESC, ip) "
-    f"AS place FROM ({_INTEL_SQL}) AS t",
+    f"AS place FROM ({_INTEL_ROWS}) AS t ORDER BY place LIMIT 200",
     "ev",
 )
 def _(spark, sf):
-    rows = stats.threat_intel(tables.events(spark, sf), SINCE_30D, 200)
-    ranked = events.sort_intel(rows, "abuse_score", "desc").select("ip", "abuse_score")
-    # At most 200 rows: the report's own limit.
-    listed = ranked.agg(F.collect_list(F.struct("ip", "abuse_score")).alias("rows"))
-    return listed.select(F.posexplode("rows").alias("p", "r")).select(
-        "r.ip", "r.abuse_score", (F.col("p") + 1).cast("bigint").alias("place")
-    )
+    rows = stats.enriched_addresses(tables.events(spark, sf), SINCE_30D)
+    best = events.sort_intel(rows, "abuse_score", "desc").limit(200)
+    order = W.orderBy(F.coalesce("abuse_score", F.lit(-1)).desc(), F.asc("ip"))
+    place = F.row_number().over(order).cast("bigint").alias("place")
+    return best.select("ip", "abuse_score", place)
 
 
 @register(
@@ -800,11 +801,11 @@ def _(spark, sf):
     "SELECT ip, direction, CASE WHEN threats > 0 OR \"abuseScore\" > 50 THEN 'threat' "
     "WHEN blocked > 0 THEN 'blocked' ELSE 'normal' END AS marker, "
     "round(greatest(4.0, least(14.0, 3 * log2(count + 1)))::DOUBLE, 6) AS size "
-    f"FROM ({_geo_sql(500)}) AS g",
+    f"FROM ({_geo_sql(None)}) AS g",
     "ev",
 )
 def _(spark, sf):
-    geo = stats.with_markers(stats.geo_events(tables.events(spark, sf), SINCE_30D, 1000))
+    geo = stats.with_markers(stats.located_addresses(tables.events(spark, sf), SINCE_30D))
     return geo.select("ip", "direction", "marker", F.round("size", 6).alias("size"))
 
 

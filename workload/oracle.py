@@ -75,7 +75,7 @@ FRESH = f"updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL '24' HOUR"
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "numbered": (
-        f"SELECT event_id AS e, ts, {shapes.USER} AS u, "
+        f"SELECT event_id AS e, {shapes.TIME} AS ts, {shapes.USER} AS u, "
         f"event_id % {shapes.SHAPE_COUNT} AS k FROM events",
         (),
     ),

@@ -18,6 +18,10 @@ SHAPE_COUNT = 37  # prime, so that shape, hot rows (e % 3) and port (e % 5) are
 USER = f"CASE WHEN event_id % 3 = 0 THEN {HOT_USER} ELSE user_id END"
 
 
+# A third of the rows share their receive time with others, so that "newest" has ties to decide.
+TIME = "CASE WHEN event_id % 3 = 0 THEN date_trunc('hour', ts) ELSE ts END"
+
+
 def text(expr: str) -> str:
     return f"CAST({expr} AS STRING)"
 
@@ -81,11 +85,13 @@ def q(value: str) -> str:
 
 @dataclass
 class Shape:
-    """A line, the header it starts with, and the event it stands for."""
+    """A line, the header it starts with, the event it stands for, and the format that claims it
+    though its own pattern doesn't fit."""
 
     line: list[str]
     header: dict[str, str]
     expect: dict[str, str] = field(default_factory=dict)
+    misfit: str = ""
 
 
 def _make(lead: list[str], rest: list[str], common: dict, own: dict) -> Shape:
@@ -107,36 +113,38 @@ def _std(pri: int | None, host: str, doubled: bool = False, device: str = ""):
 
 
 def _switch(host: str):
-    common = {"timestamp": STAMP, "hostname": q(host), "severity": "6", "priority": "30",
-              "mac_model": q("942a6f40d752,SW-Agg-3.0.2+821")}
-    return [q("942a6f40d752,SW-Agg-3.0.2+821 "), STAMP, q(f" {host} daemon.info ")], common
+    tag = "5ca1ab1e0001,Rack48-1.9.7+40"
+    common = {"timestamp": STAMP, "hostname": q(host), "severity": "5", "priority": "13",
+              "mac_model": q(tag)}
+    return [q(f"{tag} "), STAMP, q(f" {host} user.notice ")], common
 
 
 def _firewall(pri, rule, descr, in_if, out_if, src, dst, action, direction, repeat=None, proto="TCP"):
-    lead, common = _std(pri, "gw-core")
-    flags = " SYN" if proto == "TCP" else ""
+    lead, common = _std(pri, "edge")
+    flags, gate = (" PSH" if proto == "TCP" else ""), "02:ed:9e:00:00:01"
     line = [
-        q(f'[{rule}] DESCR="{descr}" IN={in_if} OUT={out_if} MAC=60:22:32:80:f9:e0:'), MAC,
+        q(f'[{rule}] DESCR="{descr}" IN={in_if} OUT={out_if} MAC={gate}:'), MAC,
         q(":08:00" + (f" SRC={repeat}" if repeat else "") + " SRC="), src, q(" DST="), dst,
-        q(" LEN=64 TOS=00 PREC=0x00 TTL="), text("48 + u % 16"), q(f" ID=0 DF PROTO={proto} SPT="),
-        text(SPORT), q(" DPT="), text(DPORT), q(f" SEQ=1 ACK=0 WINDOW=1024{flags} URGP=0 MARK=0"),
+        q(" LEN="), text("40 + u % 9"), q(" TTL="), text("200 + u % 16"),
+        q(f" DF PROTO={proto} SPT="), text(SPORT), q(" DPT="), text(DPORT),
+        q(f" ACK=0 RES=0x00{flags} URGP=0"),
     ]
     own = {
         "event_type": q("firewall"), "source_format": q("iptables"), "message": q(descr or rule),
         "action": q(action), "direction": q(direction), "interface_in": q(in_if),
         "interface_out": q(out_if) if out_if else "NULL", "protocol": q(proto),
         "src_ip": src, "src_port": SPORT, "dst_ip": dst, "dst_port": DPORT,
-        "packet_length": "64", "ttl": "48 + u % 16",
-        "tcp_flags": q("DF,SYN" if flags else "DF"),
-        "mac_src": MAC, "mac_dst": q("60:22:32:80:f9:e0"), "rule_prefix": q(rule),
+        "packet_length": "40 + u % 9", "ttl": "200 + u % 16",
+        "tcp_flags": q("DF,PSH" if flags else "DF"),
+        "mac_src": MAC, "mac_dst": q(gate), "rule_prefix": q(rule),
     }
     return _make(lead, line, common, own)
 
 
 def _alert(sid, rev, name, cls, prio, proto, src, dst, dport):
-    lead, common = _std(1, "gw-core")
+    lead, common = _std(1, "edge")
     line = [
-        q(f"suricata[1234]: [1:{sid}:{rev}] {name} [**] [Classification: {cls}] "
+        q(f"suricata[77]: [1:{sid}:{rev}] {name} [**] [Classification: {cls}] "
           f"[Priority: {prio}] {{{proto}}} "),
         src, q(":"), text(SPORT), q(" -> "), dst, q(":"), text(dport),
     ]
@@ -150,8 +158,8 @@ def _alert(sid, rev, name, cls, prio, proto, src, dst, dport):
 
 
 def _lease(verb, iface, ip, name):
-    lead, common = _std(30, "gw-core", doubled=True)
-    line = [q(f"dnsmasq-dhcp[386]: {verb}({iface}) ")]
+    lead, common = _std(30, "edge", doubled=True)
+    line = [q(f"dnsmasq-dhcp[5]: {verb}({iface}) ")]
     note = [q(f"{verb} ")]
     own = {
         "event_type": q("dhcp"), "source_format": q("dnsmasq"), "dhcp_action": q(verb),
@@ -176,18 +184,18 @@ def join(parts: list[str]) -> str:
 
 
 def _filter_log(kind, category, domain):
-    lead, common = _std(13, "gw-core", doubled=True)
+    lead, common = _std(13, "edge", doubled=True)
     line = [
-        q('coredns[246]: {"timestamp":"'), ISO,
-        q(f'","type":"{kind}","category":"{category}","domain":"{domain}","ip":"'), LAN,
-        q('","mac":"'), MAC, q('","src_ip":"'), LAN, q('","src_port":'), text(SPORT),
-        q(',"dst_ip":"127.0.0.1","dst_port":1053,"protocol":"udp"}'),
+        q(f'coredns[8]: {{"type":"{kind}","domain":"{domain}","timestamp":"'), ISO,
+        q(f'","protocol":"tcp","category":"{category}","src_ip":"'), LAN, q('","src_port":'),
+        text(SPORT), q(',"dst_ip":"10.9.8.7","dst_port":5353,"mac":"'), MAC, q('","ip":"'), LAN,
+        q('"}'),
     ]
     own = {
         "event_type": q("dns_filter"), "source_format": q("coredns"), "timestamp": ISO,
         "message": join([q(f"{kind}: {domain} ({category}) from "), LAN]),
-        "action": q("block"), "protocol": q("UDP"), "src_ip": LAN, "src_port": SPORT,
-        "dst_ip": q("127.0.0.1"), "dst_port": "1053", "dns_action": q("blocked"),
+        "action": q("block"), "protocol": q("TCP"), "src_ip": LAN, "src_port": SPORT,
+        "dst_ip": q("10.9.8.7"), "dst_port": "5353", "dns_action": q("blocked"),
         "dns_name": q(domain), "dns_client_ip": LAN, "dns_filter_type": q(kind),
         "dns_filter_category": q(category), "client_mac": MAC,
     }
@@ -195,17 +203,17 @@ def _filter_log(kind, category, domain):
 
 
 def _wifi(host, tail, own):
-    lead, common = _std(14, host, device="28704e551ced,AP-Wall-8.5.11+18612")
+    lead, common = _std(14, host, device="0badcafe0002,Ceiling6-2.0.1+9")
     base = {
-        "event_type": q("wifi"), "source_format": q("hostapd"), "wifi_radio": q("wifi2ap6"),
+        "event_type": q("wifi"), "source_format": q("hostapd"), "wifi_radio": q("radio5g"),
         "wifi_client_mac": MAC,
     }
-    return _make(lead, [q("hostapd[10034]: wifi2ap6: "), *tail], common, {**base, **own})
+    return _make(lead, [q("hostapd[61]: radio5g: "), *tail], common, {**base, **own})
 
 
 def _cef(class_id, name, sev, ext, own):
-    lead, common = _std(None, "gw-core")
-    line = [q(f"CEF:0|Vendor|Network App|10.2.84|{class_id}|{name}|{sev}|"), *ext]
+    lead, common = _std(None, "edge")
+    line = [q(f"CEF:0|Example|Controller|4.5|{class_id}|{name}|{sev}|"), *ext]
     base = {
         "source_format": q("cef"), "cef_event_class_id": q(str(class_id)), "cef_name": q(name),
         "cef_severity": str(sev),
@@ -213,137 +221,148 @@ def _cef(class_id, name, sev, ext, own):
     return _make(lead, line, common, {**base, **own})
 
 
-def _plain(pri, text_in, expect, kind="system", fmt="raw"):
-    lead, common = _std(pri, "gw-core", doubled=True)
+def _plain(pri, text_in, expect, kind="system", fmt="raw", misfit=""):
+    lead, common = _std(pri, "edge", doubled=True)
     own = {"event_type": q(kind), "source_format": q(fmt), "message": join(expect)}
-    return _make(lead, text_in, common, own)
+    shape = _make(lead, text_in, common, own)
+    shape.misfit = misfit
+    return shape
 
 
 def _dns(tail, own):
-    lead, common = _std(30, "gw-core", doubled=True)
+    lead, common = _std(30, "edge", doubled=True)
     base = {"event_type": q("dns"), "source_format": q("dnsmasq"), "message": join(tail)}
-    return _make(lead, [q("dnsmasq[77]: "), *tail], common, {**base, **own})
+    return _make(lead, [q("dnsmasq[12]: "), *tail], common, {**base, **own})
 
 
-CUT_JSON = 'coredns[246]: {"type":"dnsAdBlock","domain":"ads.example.org"} and more'
+CUT_JSON = 'coredns[8]: {"type":"categoryBlock","domain":"late.example.net"} tail'
+# A character that no text should hold, and that anyone may send.
+ODD = "￿"
+LONG = " ".join(f"part{i}" for i in range(120))
 
 
 def _shapes() -> list[Shape]:
+    """Grouped by the format that reads them; each takes another way through its pattern."""
     sta = [q("STA "), MAC]
-    relay_lead, relay_common = _switch("sw-agg")
+    relay_lead, relay_common = _switch("rack")
+    gone = f"exporter{ODD}[3]: wrote {ODD}{ODD} lines"
     return [
-        _firewall(13, "LAN_CUSTOM1-A-10000", "Lan to lan", "br4", "br10", LAN, LAN_PEER,
-                  "allow", "inter-vlan"),
-        _firewall(6, "CUSTOM1_LAN-A-10001", "Allow_Outbound", "br4", "eth8", LAN, EXT_PEER,
-                  "allow", "outbound"),
-        _firewall(4, "WAN_CUSTOM1-D-20000", "Block_Inbound", "eth8", "", EXT,
-                  q("172.16.8.254"), "block", "local"),
-        _alert(2027865, 3, "INFO Observed DNS Query to .cloud TLD", "Potentially Bad Traffic", 2,
-               "UDP", EXT, EXT_PEER, "53"),
-        _lease("DHCPACK", "br4", LAN, join([q("device-"), text("u % 30")])),
-        _lease("DHCPREQUEST", "br4", LAN, None),
-        _lease("DHCPDISCOVER", "br8", None, None),
-        _filter_log("dnsAdBlock", "ADVERTISEMENT", "ads.example.org"),
-        _filter_log("contentFilteringBlock", "ANONYMIZERS", "proxy.example.net"),
-        _wifi("ap-east", [*sta, q(" IEEE 802.11: associated (aid "), text(AID), q(")")], {
-            "wifi_action": join([q("associated (aid "), text(AID), q(")")]),
-            "message": join([*sta, q(" associated (aid "), text(AID), q(")")])}),
-        _wifi("ap-east", [*sta, q(" IEEE 802.11: disassociated")], {
-            "wifi_action": q("disassociated"), "message": join([*sta, q(" disassociated")])}),
-        _wifi("ap-west", [q("AP-STA-CONNECTED "), MAC], {
-            "wifi_action": q("connected"), "message": join([*sta, q(" connected")])}),
-        _wifi("ap-west", [q("AP-STA-DISCONNECTED "), MAC], {
-            "wifi_action": q("disconnected"), "message": join([*sta, q(" disconnected")])}),
-        _cef(544, "Admin Accessed Console", 4,
-             [q("src="), LAN, q(" UNIFIcategory=Audit UNIFIhost=gw-core UNIFIadmin=Ann UNIFIutcTime="),
-              ISO, q(" msg=Ann accessed the console. x=1 Source IP: "), LAN],
-             {"event_type": q("admin"), "src_ip": LAN, "unifi_category": q("Audit"),
-              "unifi_host": q("gw-core"), "timestamp": ISO,
-              "message": join([q("Ann accessed the console. x=1 Source IP: "), LAN])}),
-        _cef(546, "Admin Made Config Changes", 5,
-             [q("src="), LAN, q(" UNIFIcategory=Audit UNIFIhost=gw-core cnt=2 UNIFIutcTime="), ISO],
-             {"event_type": q("admin"), "src_ip": LAN, "unifi_category": q("Audit"),
-              "unifi_host": q("gw-core"), "timestamp": ISO,
-              "message": q("Admin Made Config Changes")}),
-        _cef(402, "WiFi Client Roamed", 1,
-             [q("UNIFIcategory=Client Devices UNIFIhost=gw-core UNIFIclientAlias="), PHONE,
-              q(" UNIFIclientMac="), MAC, q(" UNIFIclientIp="), LAN,
-              q(" UNIFIwifiName=Office Net UNIFIwifiChannel=197 UNIFIWiFiRssi=-"),
-              text("50 + u % 40"), q(" UNIFIutcTime="), ISO, q(" msg="), PHONE, q(" roamed")],
-             {"event_type": q("client"), "unifi_category": q("Client Devices"),
-              "unifi_host": q("gw-core"), "client_alias": PHONE, "client_mac": MAC,
-              "client_ip": LAN, "wifi_ssid": q("Office Net"), "wifi_channel": "197",
-              "wifi_rssi": "-(50 + u % 40)", "timestamp": ISO,
-              "message": join([PHONE, q(" roamed")])}),
-        _cef(201, "Threat Detected and Blocked", 7,
-             [q("proto=TCP src="), LAN, q(" spt="), text(SPORT), q(" dst="), EXT_PEER,
-              q(" dpt=443 UNIFIcategory=Security UNIFIsubCategory=Threat UNIFIthreatType=Malware"
-                " UNIFIthreatCategory=Command and Control UNIFIutcTime="), ISO,
-              q(" msg=Malware callback blocked")],
-             {"event_type": q("threat"), "action": q("block"), "protocol": q("TCP"),
-              "src_ip": LAN, "src_port": SPORT, "dst_ip": EXT_PEER, "dst_port": "443",
-              "unifi_category": q("Security"), "unifi_subcategory": q("Threat"),
-              "threat_type": q("Malware"), "threat_category": q("Command and Control"),
-              "timestamp": ISO, "message": q("Malware callback blocked")}),
-        _make(relay_lead, [q("swss#autod[125]: [9.1][INFO] Port: Ethernet52, Status: WAIT2")],
+        # free text
+        _make([q("probe-"), text("u % 6"), q(" ")],
+              [q("up for "), text("e % 90"), q(" days 100% ok")],
+              {"hostname": join([q("probe-"), text("u % 6")])},
+              {"event_type": q("system"), "source_format": q("raw"),
+               "message": join([q("up for "), text("e % 90"), q(" days 100% ok")])}),
+        _plain(14, [q("agentd[40]: inventory: wrote 12 rows")], [q("inventory: wrote 12 rows")]),
+        _plain(14, [q(gone)], [q(f"wrote {ODD}{ODD} lines")]),
+        _make(relay_lead, [q("portd#main[9]: [4][NOTE] Port: Ethernet3, Status: UP")],
               relay_common, {"event_type": q("system"), "source_format": q("raw"),
-                             "message": q("[9.1][INFO] Port: Ethernet52, Status: WAIT2")}),
-        _make(relay_lead,
-              [q("dhcp_relay#dhcpsnpd[34]: ACK received: ifname Ethernet46, src_ip 172.16.4.254, "
-                 "src_mac 60:22:32:80:f9:e0, chaddr "), MAC, q(", yiaddr "), LAN, q(".")],
-              relay_common,
-              {"event_type": q("dhcp"), "source_format": q("dhcp-relay"),
-               "dhcp_action": q("DHCPACK"), "dhcp_interface": q("Ethernet46"), "dhcp_ip": LAN,
-               "dhcp_mac": MAC,
-               "message": join([q("DHCPACK relay "), LAN, q(" "), MAC, q(" via Ethernet46")])}),
-        _plain(14, [q("udapi-server[2200]: systool: Updated device info")],
-               [q("systool: Updated device info")]),
-        _plain(6, [q("kernel: [12345.6] br0: port 1(eth0) entered forwarding state")],
-               [q("[12345.6] br0: port 1(eth0) entered forwarding state")]),
-        _plain(14, [q("udapi-server[2200]: wireguard: Peer (#1000) "), EXT, q(" connected")],
-               [q("wireguard: Peer (#1000) "), EXT, q(" connected")], kind="vpn"),
-        _dns([q("query[A] "), DOMAIN, q(" from "), LAN],
-             {"dns_action": q("query"), "dns_type": q("A"), "dns_name": DOMAIN,
+                             "message": q("[4][NOTE] Port: Ethernet3, Status: UP")}),
+        _plain(14, [q("export[9]: wrote CEF: records for "), LAN],
+               [q("wrote CEF: records for "), LAN], misfit="system"),
+        # tunnels
+        _plain(14, [q("tunneld[31]: wireguard: Peer "), EXT, q(" handshake done")],
+               [q("wireguard: Peer "), EXT, q(" handshake done")], kind="vpn"),
+        # names
+        _dns([q("forwarded "), DOMAIN, q(" to 192.0.2.53")],
+             {"dns_action": q("forwarded"), "dns_name": DOMAIN, "dst_ip": q("192.0.2.53")}),
+        _dns([q("query[AAAA] "), DOMAIN, q(" from "), LAN],
+             {"dns_action": q("query"), "dns_type": q("AAAA"), "dns_name": DOMAIN,
               "dns_client_ip": LAN}),
         _dns([q("reply "), DOMAIN, q(" is "), EXT],
              {"dns_action": q("reply"), "dns_name": DOMAIN, "dns_result": EXT}),
-        _dns([q("forwarded "), DOMAIN, q(" to 1.1.1.1")],
-             {"dns_action": q("forwarded"), "dns_name": DOMAIN, "dst_ip": q("1.1.1.1")}),
-        _wifi("ap-west", [*sta, q(" WPA: pairwise key handshake completed (RSN)")], {
-            "wifi_action": q("handshake"),
-            "message": join([*sta, q(" WPA: pairwise key handshake completed (RSN)")])}),
+        _plain(30, [q("dnsmasq[12]: using nameserver 192.0.2.53#53")],
+               [q("using nameserver 192.0.2.53#53")], kind="dns", fmt="dnsmasq", misfit="dns"),
+        _filter_log("categoryBlock", "GAMBLING", "bets.example.net"),
+        _filter_log("listBlock", "TRACKERS", f"pixel{ODD}.example.org"),
+        _plain(13, [q(CUT_JSON)], [q(CUT_JSON)], kind="dns_filter", fmt="coredns",
+               misfit="coredns"),
+        # leases
+        _lease("DHCPDISCOVER", "br20", None, None),
+        _lease("DHCPOFFER", "br6", LAN, None),
+        _lease("DHCPACK", "br6", LAN, join([q("box-"), text("u % 30")])),
+        _plain(30, [q("dnsmasq-dhcp[5]: no address range for "), LAN],
+               [q("no address range for "), LAN], kind="dhcp", fmt="dnsmasq", misfit="dhcp"),
         _make(relay_lead,
-              [q("dhcp_relay#dhcpsnpd[34]: DHCP packet with source IP 0.0.0.0 received on VLAN "),
-               text("1 + u % 8")],
+              [q("dhcp_relay#dhcpsnpd[6]: DHCP packet with source IP 0.0.0.0 received on VLAN "),
+               text("20 + u % 8")],
               relay_common,
               {"event_type": q("dhcp"), "source_format": q("dhcp-relay"),
-               "dhcp_interface": join([q("VLAN"), text("1 + u % 8")]),
+               "dhcp_interface": join([q("VLAN"), text("20 + u % 8")]),
                "message": join([q("DHCP packet with source IP 0.0.0.0 received on VLAN "),
-                                text("1 + u % 8")])}),
-        _cef(301, "Device Restarted", 3, [q("UNIFIhost=sw-lab UNIFIutcTime="), ISO],
-             {"event_type": q("device"), "unifi_host": q("sw-lab"), "timestamp": ISO,
-              "message": q("Device Restarted")}),
-        _plain(1, [q("suricata[1234]: rule reload complete")],
-               [q("suricata[1234]: rule reload complete")], fmt="suricata"),
-        _plain(13, [q(CUT_JSON)], [q(CUT_JSON)], kind="dns_filter", fmt="coredns"),
-        _plain(30, [q("dnsmasq-dhcp[386]: not giving name to "), LAN],
-               [q("not giving name to "), LAN], kind="dhcp", fmt="dnsmasq"),
-        _plain(14, [q("export[9]: wrote CEF: records for "), LAN],
-               [q("wrote CEF: records for "), LAN]),
-        _plain(30, [q("dnsmasq[77]: using nameserver 1.1.1.1#53")],
-               [q("using nameserver 1.1.1.1#53")], kind="dns", fmt="dnsmasq"),
-        _plain(14, [q("hostapd[10034]: wifi2ap6: interface state COUNTRY_UPDATE->HT_SCAN")],
-               [q("wifi2ap6: interface state COUNTRY_UPDATE->HT_SCAN")], kind="wifi",
-               fmt="hostapd"),
-        _firewall(4, "WAN_LAN-R-REJECT_1", "", "eth8", "br4", EXT, LAN, "block", "inbound",
+                                text("20 + u % 8")])}),
+        _make(relay_lead,
+              [q("dhcp_relay#dhcpsnpd[6]: ACK received: ifname Ethernet11, src_ip 10.1.1.1, "
+                 "src_mac 02:ed:9e:00:00:01, chaddr "), MAC, q(", yiaddr "), LAN, q(".")],
+              relay_common,
+              {"event_type": q("dhcp"), "source_format": q("dhcp-relay"),
+               "dhcp_action": q("DHCPACK"), "dhcp_interface": q("Ethernet11"), "dhcp_ip": LAN,
+               "dhcp_mac": MAC,
+               "message": join([q("DHCPACK relay "), LAN, q(" "), MAC, q(" via Ethernet11")])}),
+        # wireless
+        _wifi("hall", [*sta, q(" WPA: group key handshake completed")], {
+            "wifi_action": q("handshake"),
+            "message": join([*sta, q(" WPA: group key handshake completed")])}),
+        _wifi("hall", [q("AP-STA-DISCONNECTED "), MAC], {
+            "wifi_action": q("disconnected"), "message": join([*sta, q(" disconnected")])}),
+        _wifi("roof", [q("AP-STA-CONNECTED "), MAC], {
+            "wifi_action": q("connected"), "message": join([*sta, q(" connected")])}),
+        _wifi("roof", [*sta, q(" IEEE 802.11: deauthenticated, reason "), text(AID)], {
+            "wifi_action": join([q("deauthenticated, reason "), text(AID)]),
+            "message": join([*sta, q(" deauthenticated, reason "), text(AID)])}),
+        _wifi("roof", [*sta, q(" IEEE 802.11: authenticated")], {
+            "wifi_action": q("authenticated"), "message": join([*sta, q(" authenticated")])}),
+        _plain(14, [q(f"hostapd[61]: radio5g: {LONG}")], [q(f"radio5g: {LONG}")], kind="wifi",
+               fmt="hostapd", misfit="wifi"),
+        # controller records
+        _cef(308, "Device Offline", 6, [q("UNIFIhost=rack-lab UNIFIutcTime="), ISO],
+             {"event_type": q("device"), "unifi_host": q("rack-lab"), "timestamp": ISO,
+              "message": q("Device Offline")}),
+        _cef(233, f"Attack Stopped {ODD}", 9,
+             [q("UNIFIcategory=Security UNIFIthreatType=Worm UNIFIsubCategory=Threat "
+                f"UNIFIthreatCategory=Remote {ODD} Code proto=UDP dpt=8443 dst="), EXT_PEER,
+              q(" spt="), text(SPORT), q(" src="), LAN, q(" UNIFIutcTime="), ISO,
+              q(" msg=Worm traffic stopped")],
+             {"event_type": q("threat"), "action": q("block"), "protocol": q("UDP"),
+              "src_ip": LAN, "src_port": SPORT, "dst_ip": EXT_PEER, "dst_port": "8443",
+              "unifi_category": q("Security"), "unifi_subcategory": q("Threat"),
+              "threat_type": q("Worm"), "threat_category": q(f"Remote {ODD} Code"),
+              "timestamp": ISO, "message": q("Worm traffic stopped")}),
+        _cef(417, "Client Joined", 2,
+             [q("UNIFIwifiChannel=36 UNIFIwifiName=Lab Net UNIFIWiFiRssi=-"), text("50 + u % 40"),
+              q(" UNIFIclientIp="), LAN, q(" UNIFIclientMac="), MAC, q(" UNIFIclientAlias="), PHONE,
+              q(" UNIFIcategory=Client Devices UNIFIhost=edge UNIFIutcTime="), ISO,
+              q(" msg="), PHONE, q(" joined")],
+             {"event_type": q("client"), "unifi_category": q("Client Devices"),
+              "unifi_host": q("edge"), "client_alias": PHONE, "client_mac": MAC,
+              "client_ip": LAN, "wifi_ssid": q("Lab Net"), "wifi_channel": "36",
+              "wifi_rssi": "-(50 + u % 40)", "timestamp": ISO,
+              "message": join([PHONE, q(" joined")])}),
+        _cef(533, "Settings Saved", 3,
+             [q("cnt=2 UNIFIhost=edge UNIFIcategory=Audit src="), LAN, q(" UNIFIutcTime="), ISO],
+             {"event_type": q("admin"), "src_ip": LAN, "unifi_category": q("Audit"),
+              "unifi_host": q("edge"), "timestamp": ISO, "message": q("Settings Saved")}),
+        _cef(510, "Operator Signed In", 4,
+             [q("UNIFIutcTime="), ISO, q(" UNIFIadmin=Noor UNIFIhost=edge UNIFIcategory=Audit src="),
+              LAN, q(" msg=Noor signed in. y=2 From: "), LAN],
+             {"event_type": q("admin"), "src_ip": LAN, "unifi_category": q("Audit"),
+              "unifi_host": q("edge"), "timestamp": ISO,
+              "message": join([q("Noor signed in. y=2 From: "), LAN])}),
+        # alerts
+        _alert(9000031, 1, f"LOCAL {ODD} sweep of ports", "Network Scan", 3, "TCP", EXT, LAN, DPORT),
+        _alert(9000207, 5, "LOCAL lookup of a listed name", "Policy Notice", 2, "UDP", EXT,
+               EXT_PEER, "53"),
+        _plain(1, [q("suricata[77]: flow table is full")], [q("suricata[77]: flow table is full")],
+               fmt="suricata", misfit="ids"),
+        # packets
+        _firewall(4, "NET_HOME-R-DENY_7", "", "eth9", "br6", EXT, LAN, "block", "inbound",
                   repeat="198.51.100.9", proto="UDP"),
-        _make([q("sensor-"), text("u % 6"), q(" ")],
-              [q("up for "), text("e % 90"), q(" days 100% ok")],
-              {"hostname": join([q("sensor-"), text("u % 6")])},
-              {"event_type": q("system"), "source_format": q("raw"),
-               "message": join([q("up for "), text("e % 90"), q(" days 100% ok")])}),
-        _alert(2010935, 4, "SCAN Suspicious inbound to port", "Attempted Information Leak", 1,
-               "TCP", EXT, LAN, DPORT),
+        _firewall(4, "NET_GATE-D-31", "Closed from outside", "eth9", "", EXT,
+                  q("172.16.8.254"), "block", "local"),
+        _firewall(6, "HOME_NET-A-12", "Open to outside", "br6", "eth9", LAN, EXT_PEER,
+                  "allow", "outbound"),
+        _firewall(13, "HOME_LAB-A-7", f"Home {ODD} to lab", "br6", "br20", LAN, LAN_PEER,
+                  "allow", "inter-vlan"),
     ]
 
 
@@ -351,7 +370,7 @@ SHAPES = _shapes()
 assert len(SHAPES) == SHAPE_COUNT
 
 # Shapes that a format claims but whose own pattern does not fit, with the name of the format.
-MISFITS = {28: "ids", 29: "coredns", 30: "dhcp", 31: "system", 32: "dns", 33: "wifi"}
+MISFITS = {k: shape.misfit for k, shape in enumerate(SHAPES) if shape.misfit}
 
 
 def by_shape(values: list[str]) -> str:

@@ -122,7 +122,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
     users = table(spark, sf, "events").selectExpr(
-        "event_id AS e", "ts", f"{shapes.USER} AS u", f"event_id % {shapes.SHAPE_COUNT} AS k"
+        "event_id AS e", f"{shapes.TIME} AS ts", f"{shapes.USER} AS u", f"event_id % {shapes.SHAPE_COUNT} AS k"
     )
     return users.selectExpr("*", *[f"{sql} AS {name}" for name, sql in shapes.PIECES.items()])
 
