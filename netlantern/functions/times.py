@@ -38,6 +38,12 @@ def instant(value: dt.datetime | str) -> Column:
     return F.timestamp_micros(F.lit(micros).cast("long"))
 
 
+def utc_day(col: Column) -> Column:
+    """The UTC day of an instant, whatever the session's time zone."""
+    seconds = F.unix_seconds(col)
+    return F.date_from_unix_date(((seconds - F.pmod(seconds, F.lit(86400))) / 86400).cast("int"))
+
+
 def since_of(as_of: dt.datetime | str, period: str = DEFAULT_PERIOD) -> dt.datetime:
     """Start of a relative period; an unknown period means 24 hours."""
     return parse_instant(as_of) - PERIODS.get(period, PERIODS[DEFAULT_PERIOD])

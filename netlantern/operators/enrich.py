@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from netlantern.plans.skew import lookup
 from netlantern.plans.topk import newest_per_key, row_limit, top_k_per
 from netlantern.schema import ENRICHABLE_TYPES, INTEL_FACTS, INTEL_SCHEMA
 from netlantern.sources.intel import latest_intel, usable_intel
+from netlantern.sources.store import DAY, finish_days, read_events, rewrite_day
 
 Moment = dt.datetime | str
 TTL = dt.timedelta(hours=24)
@@ -106,18 +107,50 @@ def enrich_events(
     return out
 
 
+def run_backfill(
+    spark: SparkSession, path: str, intel: DataFrame, max_rows_per_ip: int | None = None
+) -> list[dt.date]:
+    """Fill stored events from the intelligence table (J4, T6), day by day; the days it rewrote.
+
+    Only days with an event that still lacks facts the table has are rewritten. A run that was cut
+    short can be repeated: it goes on with the days that are left. A cap counts rows per day.
+    """
+    finish_days(spark, path)
+    usable = usable_intel(intel)
+    lacking = []
+    for side in SIDES:
+        facts = usable.select(
+            F.col("ip").alias(f"{side}_ip"), *[F.col(f).alias(f"_{f}") for f in INTEL_FACTS]
+        )
+        rows = read_events(spark, path).filter(F.col(f"{side}_geo_country").isNull())
+        other = F.lit(False)
+        for fact in INTEL_FACTS:
+            other = other | ~F.col(f"_{fact}").eqNullSafe(F.col(f"{side}_{fact}"))
+        lacking.append(rows.join(facts, f"{side}_ip").filter(other).select(DAY))
+    days = sorted(r[DAY] for r in lacking[0].union(lacking[1]).distinct().collect())
+    for day in days:
+        rewrite_day(spark, path, day, lambda ev: enrich_events(ev, intel, max_rows_per_ip))
+    return days
+
+
 def recent_geo(ev: DataFrame, intel: DataFrame, limit: int | None = None) -> DataFrame:
-    """Newest events with a located end, coordinates taken from the intelligence table."""
+    """Newest events with a located end, coordinates taken from the intelligence table.
+
+    Which events those are needs no facts: the newest with a known source, a known destination or
+    coordinates of their own are found first, and facts are attached to these few.
+    """
+    rows = row_limit(limit, RECENT_GEO_LIMIT)
     located = intel.filter(
         ~F.coalesce("is_private", F.lit(False)) & F.col("geo_lat").isNotNull()
     ).select("ip", *INTEL_FACTS)
-    small = is_small(located)
-    out = ev
+    found = [latest(geo_present(ev), rows)]
     for side in SIDES:
-        out = _with_side(out, located, side, F.lit(True), small)
-    return latest(
-        geo_present(out).select(*RECENT_GEO_COLUMNS), row_limit(limit, RECENT_GEO_LIMIT)
-    )
+        ips = located.select(F.col("ip").alias(f"{side}_ip"))
+        found.append(latest(ev.join(ips, f"{side}_ip", "left_semi").select(*ev.columns), rows))
+    out = found[0].unionByName(found[1]).unionByName(found[2]).dropDuplicates(["id"])
+    for side in SIDES:
+        out = _with_side(out, located, side, F.lit(True), True)
+    return latest(geo_present(out).select(*RECENT_GEO_COLUMNS), rows)
 
 
 # ---------------------------------------------------------------- lookup tables

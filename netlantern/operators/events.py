@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlantern.functions import net
-from netlantern.functions.times import instant
+from netlantern.functions.times import instant, parse_instant
 from netlantern.plans.topk import row_limit
 from netlantern.schema import EVENT_COLUMNS
 
@@ -29,7 +29,7 @@ def since_filter(df: DataFrame, since: Moment | None) -> DataFrame:
         return df
     kept = df.filter(F.col("received_at") >= instant(since))
     if "event_date" in df.columns:
-        kept = kept.filter(F.col("event_date") >= F.to_date(instant(since)))
+        kept = kept.filter(F.col("event_date") >= F.lit(parse_instant(since).date()))
     return kept
 
 
@@ -39,7 +39,7 @@ def until_filter(df: DataFrame, until: Moment | None) -> DataFrame:
         return df
     kept = df.filter(F.col("received_at") <= instant(until))
     if "event_date" in df.columns:
-        kept = kept.filter(F.col("event_date") <= F.to_date(instant(until)))
+        kept = kept.filter(F.col("event_date") <= F.lit(parse_instant(until).date()))
     return kept
 
 

@@ -346,11 +346,16 @@ def parse_syslog(lines: DataFrame, wan: Iterable[str] = tuple(WAN_INTERFACES)) -
 
 
 def with_ids(lines: DataFrame) -> DataFrame:
-    """Keep the key of the input; without one, derive it from the line and where it came from."""
+    """Keep the key of the input; without one, derive it from the line and where it came from.
+
+    A source and a place in it tell lines apart by themselves. Lines without a source are told apart
+    by when their batch was received and their place in that.
+    """
     if "id" in lines.columns:
         return lines
-    where = [F.col(c) for c in ("source", "partition", "offset") if c in lines.columns]
-    return lines.withColumn("id", F.xxhash64("raw", "received_at", *where))
+    where = [c for c in ("source", "partition", "offset") if c in lines.columns]
+    when = [] if "source" in where and "offset" in where else ["received_at"]
+    return lines.withColumn("id", F.xxhash64("raw", *when, *where))
 
 
 def parse_rejects(lines: DataFrame) -> DataFrame:

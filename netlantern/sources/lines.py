@@ -18,15 +18,24 @@ def clean_lines(df: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
-    """Lines of text files, or rows of a Parquet folder with ``id, received_at, raw``."""
+    """Lines of text files, or rows of a Parquet folder with ``id, received_at, raw``.
+
+    Text lines carry their file and a place that is theirs alone: equal lines stay apart, and the
+    same files read with the same split settings give the same places.
+    """
     if fmt == "text":
-        files = spark.read.text(path)
-        return clean_lines(
-            files.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source"))
-        )
+        return clean_lines(_placed(spark.read.text(path)))
     return clean_lines(spark.read.schema(LINE_SCHEMA).format(fmt).load(path))
 
 
+def _placed(files: DataFrame) -> DataFrame:
+    return files.select(
+        F.col("value").alias("raw"),
+        F.col("_metadata.file_path").alias("source"),
+        F.monotonically_increasing_id().alias("offset"),
+    )
+
+
 def stream_lines(spark: SparkSession, fmt: str, options: dict[str, str]) -> DataFrame:
     """A stream of raw lines from files (``text``, ``parquet``), ``kafka`` or a ``socket`` relay."""
     reader = spark.readStream.format(fmt).options(**options)
@@ -39,6 +48,9 @@ def stream_lines(spark: SparkSession, fmt: str, options: dict[str, str]) -> Data
                 "offset",
             )
         )
-    if fmt in ("text", "socket"):
-        return clean_lines(reader.load().select(F.col("value").alias("raw")))
+    if fmt == "text":
+        return clean_lines(_placed(reader.load()))
+    if fmt == "socket":
+        rows = reader.load().select(F.col("value").alias("raw"))
+        return clean_lines(rows.withColumn("offset", F.monotonically_increasing_id()))
     return clean_lines(reader.schema(LINE_SCHEMA).load())

@@ -1,20 +1,30 @@
-"""The stored event table: append, scan, raw-text policy, retention."""
+"""The stored event table: append, scan, raw-text policy, retention, rewriting of days.
+
+Layout: ``event_date=YYYY-MM-DD/batch=NAME/*.parquet``. Days are UTC days. Every writer, batch or
+stream, adds folders of its own name; none leaves a log that later reads would have to obey, so all
+of them can share a table. A batch that is written again replaces itself.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlantern.functions.times import instant, parse_instant
-from netlantern.plans.sizing import fresh_path
-from netlantern.schema import EVENT_COLUMNS, EVENT_SCHEMA
+from netlantern.functions.times import instant, parse_instant, utc_day
+from netlantern.schema import EVENT_SCHEMA
 
-DAY = "event_date"
+DAY, BATCH = "event_date", "batch"
 STORED_SCHEMA = T.StructType([*EVENT_SCHEMA.fields, T.StructField(DAY, T.DateType())])
 RETENTION_DAYS = 60
+LOOKED_UP = ("id", "src_ip", "dst_ip", "client_mac", "wifi_client_mac", "dhcp_mac", "mac_src", "mac_dst")
+# A day being rewritten: its new files, and the list of folders they replace. The list is written
+# last and makes the new files count; Spark doesn't read names that begin with an underscore.
+NEXT, REPLACES = "_next", "_replaces"
 
 
 def with_raw(ev: DataFrame, keep: bool = False) -> DataFrame:
@@ -34,33 +44,39 @@ def complete(ev: DataFrame) -> DataFrame:
 
 
 def stored_form(ev: DataFrame) -> DataFrame:
-    return complete(ev).withColumn(DAY, F.to_date("received_at"))
+    return complete(ev).withColumn(DAY, utc_day(F.col("received_at")))
 
 
-def write_events(ev: DataFrame, path: str, bulk: bool = False) -> None:
-    """Write events under ``path``, one folder per day.
+def append_events(
+    ev: DataFrame, path: str, bulk: bool = False, batch: str | None = None
+) -> None:
+    """Write events under ``path``, one folder per UTC day and batch.
 
-    A micro-batch holds about one day and is written as it is. A bulk load spans many days:
-    it is rebalanced by day first (adaptive execution splits days that are too big for one task
-    and merges small ones), so that it does not leave one small file per task and day. Rows are
-    sorted within files, which lets later scans skip row groups by type and time.
+    A batch name that was used before replaces what it wrote; without one the rows are added. A
+    micro-batch holds about one day and is written as it is. A bulk load spans many days: it is
+    rebalanced by day first (adaptive execution splits days that are too big for one task and merges
+    small ones), so that it does not leave one small file per task and day. Rows are sorted within
+    files, which lets later scans skip row groups by type and time; addresses, MACs and ids, which no
+    order serves, have Bloom filters.
     """
-    stored = stored_form(ev)
+    stored = stored_form(ev).withColumn(BATCH, F.lit(batch or f"append-{uuid.uuid4().hex}"))
     if bulk:
         stored = stored.hint("rebalance", DAY)
-    (
-        stored.sortWithinPartitions(DAY, "event_type", "received_at")
-        .write.partitionBy(DAY)
-        .mode("append")
-        .parquet(path)
-    )
-
-
-append_events = write_events
+    writer = stored.sortWithinPartitions(DAY, "event_type", "received_at").write
+    for name in LOOKED_UP:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.partitionBy(DAY, BATCH).option("partitionOverwriteMode", "dynamic").mode(
+        "overwrite"
+    ).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Scan of the event table (S4); conditions on ``event_date`` prune whole folders."""
+    return _scan(spark, path).select(*STORED_SCHEMA.names)
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """The same with the name of each row's batch, which is a folder too."""
     return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
@@ -90,41 +106,93 @@ def run_retention(
 ) -> int:
     """Delete old events from a stored table; returns how many.
 
-    Only the day the cutoff falls into is rewritten, from a copy of its remaining rows in the
-    shared folder; earlier days are dropped as whole folders. A run that was cut short can be
-    repeated.
+    Earlier days are dropped as whole folders; only the day the cutoff falls into is rewritten. A run
+    that was cut short can be repeated.
     """
+    finish_days(spark, path)
     cutoff = retention_cutoff(as_of, days)
-    stored = read_events(spark, path)
-    old_days = stored.filter(F.col(DAY) <= F.lit(cutoff.date()))
+    old_days = read_events(spark, path).filter(F.col(DAY) <= F.lit(cutoff.date()))
     deleted = old_days.filter(F.col("received_at") < instant(cutoff)).count()
-    if deleted == 0:
-        return 0
-    boundary = old_days.filter(
-        (F.col(DAY) == F.lit(cutoff.date())) & (F.col("received_at") >= instant(cutoff))
-    )
-    staged = fresh_path(spark, "retention")
-    boundary.write.parquet(staged)
-    survivors = spark.read.schema(STORED_SCHEMA).parquet(staged)
-    survivors.write.partitionBy(DAY).option("partitionOverwriteMode", "dynamic").mode(
-        "overwrite"
-    ).parquet(path)
-    keep_boundary = not survivors.isEmpty()
-    _drop_days(spark, path, cutoff.date(), keep_boundary)
+    if deleted:
+        rewrite_day(
+            spark, path, cutoff.date(), lambda ev: ev.filter(F.col("received_at") >= instant(cutoff))
+        )
+        files, root = _folder(spark, path)
+        for day in stored_days(spark, path):
+            if day < cutoff.date():
+                files.delete(_child(spark, root, f"{DAY}={day}"), True)
     return deleted
 
 
-def _drop_days(spark: SparkSession, path: str, cutoff: dt.date, keep_boundary: bool) -> None:
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if not name.startswith(f"{DAY}="):
-            continue
-        day = dt.date.fromisoformat(name.split("=", 1)[1])
-        if day < cutoff or (day == cutoff and not keep_boundary):
-            fs.delete(status.getPath(), True)
+# ---------------------------------------------------------------- rewriting days
+def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """The days that have a folder, in order."""
+    files, root = _folder(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    return sorted(dt.date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith(f"{DAY}="))
+
 
+def rewrite_day(
+    spark: SparkSession, path: str, day: dt.date, change: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Replace one stored day by ``change`` of its events, which must stay on that day.
 
-assert set(EVENT_COLUMNS) == {f.name for f in EVENT_SCHEMA.fields}
+    The new files are complete before any old one goes, and the folders they replace are listed, so
+    that a run that was cut short is finished by the next, and batches that arrive meanwhile stay.
+    Readers of that day see its old files, then for a moment none, then the new ones.
+    """
+    finish_days(spark, path)
+    files, root = _folder(spark, path)
+    folder = _child(spark, root, f"{DAY}={day}")
+    if not files.exists(folder):
+        return
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    old = sorted(n for n in names if n.startswith(f"{BATCH}="))
+    names = [n.split("=", 1)[1] for n in old]
+    now = _scan(spark, path).filter((F.col(DAY) == F.lit(day)) & F.col(BATCH).isin(names))
+    stored = complete(change(now.select(*STORED_SCHEMA.names)))
+    ready = stored.sortWithinPartitions("event_type", "received_at").write.mode("overwrite")
+    for name in LOOKED_UP:
+        ready = ready.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    ready.parquet(f"{folder}/{NEXT}")
+    out = files.create(_child(spark, folder, f"{NEXT}/{REPLACES}"), True)
+    out.write(bytearray("\n".join(old).encode()))
+    out.close()
+    _finish(spark, files, folder)
+
+
+def compact_day(spark: SparkSession, path: str, day: dt.date, files: int = 1) -> None:
+    """Merge the small files that streams have left in a day into a few."""
+    rewrite_day(spark, path, day, lambda ev: ev.repartition(files))
+
+
+def finish_days(spark: SparkSession, path: str) -> None:
+    """Finish rewriting days where an earlier run stopped half-way."""
+    files, root = _folder(spark, path)
+    if files.exists(root):
+        for day in stored_days(spark, path):
+            _finish(spark, files, _child(spark, root, f"{DAY}={day}"))
+
+
+def _finish(spark: SparkSession, files, folder) -> None:
+    new, listed = _child(spark, folder, NEXT), _child(spark, folder, f"{NEXT}/{REPLACES}")
+    if not files.exists(new):
+        return
+    if not files.exists(listed):
+        files.delete(new, True)
+        return
+    data = files.open(listed)
+    old = bytes(data.readAllBytes()).decode().split("\n")
+    data.close()
+    for name in filter(None, old):
+        files.delete(_child(spark, folder, name), True)
+    files.rename(new, _child(spark, folder, f"{BATCH}=day-{uuid.uuid4().hex}"))
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _child(spark: SparkSession, folder, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(folder, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,9 @@ from netlantern.operators.parse import parse_syslog
 from netlantern.operators.stats import is_type
 from netlantern.plans.sizing import checkpointed, is_small
 from netlantern.plans.topk import sequence_rows
-from netlantern.schema import EVENT_TYPES, INTEL_SCHEMA, TIMELINE_TYPES
+from netlantern.schema import EVENT_TYPES, TIMELINE_TYPES
 from netlantern.sources.intel import append_intel, read_intel
-from netlantern.sources.store import DAY, complete, stored_form, with_raw
+from netlantern.sources.store import append_events, complete, with_raw
 
 # How often each job runs, and the pseudo type of an unlisted event type.
 INGEST_EVERY, FEED_EVERY, COUNTS_EVERY = "500 milliseconds", "100 milliseconds", "5 seconds"
@@ -39,20 +40,23 @@ def parsed_stream(lines: DataFrame, keep_raw: bool = False) -> DataFrame:
     return with_raw(parse_syslog(lines), keep_raw)
 
 
+def _batch_name(kind: str, checkpoint: str, epoch: int) -> str:
+    """The same for a repeated batch of a stream, and no other stream's."""
+    return f"{kind}-{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}-{epoch}"
+
+
 def start_ingest(
     lines: DataFrame, path: str, checkpoint: str, every: str | None = INGEST_EVERY,
     keep_raw: bool = False,
 ) -> StreamingQuery:
-    """Parse lines and append events by day (T1). The file sink commits each batch exactly once."""
-    stored = stored_form(parsed_stream(lines, keep_raw))
-    writer = (
-        stored.writeStream.format("parquet")
-        .partitionBy(DAY)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    return _start(writer, every)
+    """Parse lines and append events by day (T1). A repeated batch replaces itself, and batch writers
+    may add to the same table."""
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        append_events(batch, path, batch=_batch_name("ingest", checkpoint, epoch))
+
+    writer = parsed_stream(lines, keep_raw).writeStream.foreachBatch(save)
+    return _start(writer.option("checkpointLocation", checkpoint), every)
 
 
 def stream_type_counts(ev: DataFrame) -> DataFrame:
@@ -174,11 +178,12 @@ def stream_enrich(
     ev: DataFrame, load_intel: Callable[[], DataFrame], path: str, checkpoint: str,
     every: str | None = INGEST_EVERY,
 ) -> StreamingQuery:
-    """Enrich events as they arrive (T5); the intelligence table is read anew for each batch."""
+    """Enrich events as they arrive and append them to an event table (T5); the intelligence table is
+    read anew for each batch."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        enriched = stored_form(enrich_events(complete(batch), load_intel()))
-        enriched.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        enriched = enrich_events(complete(batch), load_intel())
+        append_events(enriched, path, batch=_batch_name("enrich", checkpoint, epoch))
 
     writer = ev.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return _start(writer, every)
@@ -218,6 +223,3 @@ def start_enrichment(
 
     writer = ev.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _start(writer, every)
-
-
-assert "ip" in INTEL_SCHEMA.fieldNames()

@@ -60,14 +60,23 @@ BRIEF_COLUMNS = BRIEF.split(", ")
 
 
 # ================================================================ sources and sinks (S)
-@register("s1_lines", "SELECT raw FROM lines", "lines")
+@register(
+    "s1_lines",
+    "SELECT raw, 2 * count(*) AS lines, 2 * count(*) AS ids FROM lines GROUP BY raw",
+    "lines",
+)
 def _(spark, sf):
+    """Every line twice, with blanks around it and a blank line between."""
     path = fresh_path(spark, "text")
-    padded = tables.lines(spark, sf).select(
-        F.explode(F.array(F.concat(F.lit("  "), "raw", F.lit("\t ")), F.lit("   "))).alias("value")
+    padded = F.concat(F.lit("  "), "raw", F.lit("\t "))
+    twice = tables.lines(spark, sf).select(
+        F.explode(F.array(padded, F.lit("   "), padded)).alias("value")
+    )
+    twice.write.text(path)
+    found = parse.with_ids(lines.read_lines(spark, path))
+    return found.groupBy("raw").agg(
+        F.count("*").alias("lines"), F.count_distinct("id").alias("ids")
     )
-    padded.write.text(path)
-    return lines.read_lines(spark, path).select("raw")
 
 
 @register(
@@ -1366,6 +1375,59 @@ def _(spark, sf):
     return store.read_events(spark, path).select(*BRIEF_COLUMNS)
 
 
+def _first_days(spark, sf, last: int):
+    stream = _arriving(spark, sf)
+    return stream.filter(F.dayofmonth("received_at") <= last)
+
+
+@register(
+    "m1_after_stream",
+    f"SELECT {BRIEF} FROM plain WHERE received_at >= {ts(AS_OF)} - INTERVAL '18' DAY",
+    "plain",
+)
+def _(spark, sf):
+    """A stream and a batch add to one table; retention then cuts a day that both wrote."""
+    path, state = fresh_path(spark, "shared"), fresh_path(spark, "state")
+    hours = F.hour("received_at") < 12
+    early = _first_days(spark, sf, 20).filter(hours)
+    feed.start_ingest(early, path, state, every=None).awaitTermination()
+    rest = tables.lines(spark, sf).filter(~((F.dayofmonth("received_at") <= 20) & hours))
+    store.append_events(store.with_raw(parse.parse_syslog(rest)), path, bulk=True)
+    store.run_retention(spark, path, AS_OF, 18)
+    store.run_retention(spark, path, AS_OF, 18)
+    return store.read_events(spark, path).select(*BRIEF_COLUMNS)
+
+
+@register(
+    "m1_after_enrich",
+    f"SELECT {', '.join(_ENRICHED_COLUMNS)} FROM ({oracle.enriched('plain', 'usable')}) AS t "
+    f"WHERE received_at >= {ts(AS_OF)} - INTERVAL '10' DAY",
+    "plain", "usable",
+)
+def _(spark, sf):
+    path, state = fresh_path(spark, "arrived"), fresh_path(spark, "state")
+    ev = feed.parsed_stream(_arriving(spark, sf))
+    load = lambda: tables.intel(spark, sf)
+    feed.stream_enrich(ev, load, path, state, every=None).awaitTermination()
+    store.run_retention(spark, path, AS_OF, 10)
+    return store.read_events(spark, path).select(*_ENRICHED_COLUMNS)
+
+
+@register(
+    "j4_written",
+    f"SELECT {', '.join(_ENRICHED_COLUMNS)} FROM ({oracle.enriched('ev', 'usable')}) AS t",
+    "ev", "usable",
+)
+def _(spark, sf):
+    """The backfill written into the stored table; the second run finds nothing left to do."""
+    path = fresh_path(spark, "filled")
+    store.append_events(tables.events(spark, sf), path, bulk=True)
+    enrich.run_backfill(spark, path, tables.intel(spark, sf))
+    if enrich.run_backfill(spark, path, tables.intel(spark, sf)):
+        raise AssertionError("a finished backfill rewrote days")
+    return store.read_events(spark, path).select(*_ENRICHED_COLUMNS)
+
+
 @register(
     "m1_deleted",
     f"SELECT count(*) FILTER (received_at >= {ts(AS_OF)} - INTERVAL '10' DAY) AS kept, "
