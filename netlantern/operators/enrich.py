@@ -161,7 +161,7 @@ def range_lookup(ips: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame
     borders (at most 65,536 extra rows for all of IPv4). Within a /16 the last range that starts
     at or before an address is the only candidate, so one sorted pass finds it: the work grows
     with addresses plus ranges, never with their product, and no /16 holds more than 65,536
-    distinct addresses.
+    distinct addresses. Texts that aren't IPv4 lie in no range and take no part in that pass.
     """
     facts = [c for c in ranges.columns if c not in ("start_ip", "end_ip")]
     block = 65536
@@ -181,8 +181,9 @@ def range_lookup(ips: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame
         F.lit(None).cast("string").alias(ip),
         F.struct("end_ip", *facts).alias("_range"),
     )
+    placed, others = addresses.filter("_at > 0"), addresses.filter("coalesce(_at, 0) <= 0")
     merged = pieces.unionByName(
-        addresses.withColumn("_block", F.expr("_at div 65536")), allowMissingColumns=True
+        placed.withColumn("_block", F.expr("_at div 65536")), allowMissingColumns=True
     )
     # Pieces sort before addresses at the same place, because their address is NULL.
     up_to_here = (
@@ -191,12 +192,13 @@ def range_lookup(ips: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     candidate = F.last("_range", ignorenulls=True).over(up_to_here)
-    inside = (F.col("_candidate.end_ip") >= F.col("_at")) & (F.col("_at") > 0)
-    return (
+    inside = F.col("_candidate.end_ip") >= F.col("_at")
+    found = (
         merged.withColumn("_candidate", candidate)
         .filter(F.col(ip).isNotNull())
         .select(ip, *[F.when(inside, F.col(f"_candidate.{c}")).alias(c) for c in facts])
     )
+    return found.unionByName(others.select(ip), allowMissingColumns=True)
 
 
 def geo_lookup(ips: DataFrame, geo_ranges: DataFrame) -> DataFrame:

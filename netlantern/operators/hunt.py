@@ -12,7 +12,7 @@ from netlantern.plans.sizing import checkpointed, is_small
 from netlantern.plans.skew import keep_listed
 from netlantern.plans.topk import top_k_per
 
-# Rows kept of each list.
+# Rows of each list when nothing else is asked for.
 DST_PORTS, SRC_PORTS, SIGNATURES, PEERS = 20, 10, 10, 20
 HOUR = "yyyy-MM-dd'T'HH:00:00'Z'"
 INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -246,9 +246,18 @@ def dossier_targets_hit(ev: DataFrame, targets: DataFrame | None) -> DataFrame:
     return _targets_hit(scope, dossier_facts(ev, scope, ("destination",)))
 
 
-def dossier(ev: DataFrame, intel: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
-    """Every fact table of the targets. The events are scanned once: the counts go through a
-    reliable checkpoint, which all the tables read."""
+def dossier(
+    ev: DataFrame,
+    intel: DataFrame,
+    targets: DataFrame,
+    *,
+    dst_ports: int = DST_PORTS,
+    src_ports: int = SRC_PORTS,
+    signatures: int = SIGNATURES,
+    peers: int = PEERS,
+) -> dict[str, DataFrame]:
+    """Every fact table of the targets, with the given lengths of its lists. The events are scanned
+    once: the counts go through a reliable checkpoint, which all the tables read."""
     scope = targets_of(targets)
     facts = checkpointed(dossier_facts(ev, scope))
     return {
@@ -258,12 +267,12 @@ def dossier(ev: DataFrame, intel: DataFrame, targets: DataFrame) -> dict[str, Da
         "targets_hit": _targets_hit(scope, facts),
         "by_action": _counts(facts, "action", "action"),
         "by_type": _counts(facts, "type", "event_type"),
-        "dst_ports": _ports(facts, "dst_port", DST_PORTS),
-        "src_ports": _ports(facts, "src_port", SRC_PORTS),
+        "dst_ports": _ports(facts, "dst_port", dst_ports),
+        "src_ports": _ports(facts, "src_port", src_ports),
         "timeline": _counts(facts, "hour", "hour"),
-        "signatures": _signatures(facts, SIGNATURES),
-        "destinations": _peers(facts, "destination", PEERS),
-        "sources": _peers(facts, "source", PEERS),
+        "signatures": _signatures(facts, signatures),
+        "destinations": _peers(facts, "destination", peers),
+        "sources": _peers(facts, "source", peers),
         "related": related_ips(scope.listed, intel),
     }
 

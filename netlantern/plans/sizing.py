@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_netlantern_dir", None)
     if own is None:

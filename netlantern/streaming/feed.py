@@ -81,10 +81,15 @@ def start_table(
     result: DataFrame, path: str, checkpoint: str, mode: str, every: str | None
 ) -> StreamingQuery:
     """Write each batch of an aggregated stream to its own folder, so a repeated batch replaces
-    itself. Read it back with :func:`read_table`."""
+    itself. Read it back with :func:`read_table`. A complete result makes all but the version
+    before it superfluous, so they go."""
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        if mode == "complete" and epoch > 1:
+            spark = batch.sparkSession
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={epoch - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = (
         result.writeStream.outputMode(mode)
@@ -140,19 +145,17 @@ def match_subscriptions(ev: DataFrame, subscriptions: DataFrame) -> DataFrame:
     )
 
 
-stream_feed = match_subscriptions
-
-
 def _feed_before(spark: SparkSession, path: str, epoch: int) -> int:
-    """Highest sequence number of the batches before this one."""
-    schema = "seq BIGINT, version BIGINT"
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except Exception as err:  # the first batch finds no folder yet
-        if "PATH_NOT_FOUND" in str(err):
-            return 0
-        raise
-    return rows.filter(F.col("version") < epoch).agg(F.max("seq")).first()[0] or 0
+    """Highest sequence number of the batches before this one: that of the last one with rows."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for before in range(epoch - 1, -1, -1):
+        folder = f"{path}/version={before}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+            top = spark.read.schema("seq BIGINT").parquet(folder).agg(F.max("seq")).first()[0]
+            if top is not None:
+                return top
+    return 0
 
 
 def live_feed(

@@ -129,3 +129,23 @@ def test_rejects_and_missing_key(spark):
     rows = parse_rejects(lines).collect()
     assert sorted(r.format for r in rows) == ["dns", "wifi"]
     assert len({r.id for r in parse_syslog(lines).collect()}) == 3
+
+
+def test_odd_characters_stay(spark):
+    texts = [
+        "<13>Mar  7 07:25:08 gw proc[1]: hello \uffff world \ufffe tail \ufdd1",
+        "\uffff<13>Mar  7 07:25:08 gw proc[1]: x",
+        "<1>Mar  7 07:25:08 gw suricata[1]: [1:5:1] Bad \uffff thing [**] [Classification: C] "
+        "[Priority: 2] {UDP} 1.2.3.4:5 -> 5.6.7.8:53",
+        "<13>Mar  7 07:25:08 gw suricata[1]: " + "long " * 300 + "end",
+    ]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id LONG, raw STRING").selectExpr(
+        "id", "current_timestamp() AS received_at", "raw"
+    )
+    rows = {r.id: r for r in parse_syslog(lines).collect()}
+    assert rows[0].message == "hello \uffff world \ufffe tail \ufdd1"
+    assert rows[1].raw_message == texts[1]
+    assert (rows[2].ids_signature, rows[2].src_ip, rows[2].event_type) == ("Bad \uffff thing", "1.2.3.4", "threat")
+    assert rows[3].message.endswith("end")
+    (reject,) = parse_rejects(lines).collect()
+    assert reject.text == texts[3]

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from netlantern.functions import net
 from netlantern.operators import enrich, events, hunt, stats
 from netlantern.plans.skew import hot_keys, lookup
-from netlantern.plans.topk import newest_per_key, sequence_rows
+from netlantern.plans.topk import aggregate_with_latest, newest_per_key, sequence_rows
 from netlantern.schema import EVENT_COLUMNS, INTEL_SCHEMA
 from netlantern.sources import documents, store
 from netlantern.sources.intel import append_intel, read_intel
+from netlantern.sources.store import complete
 from tests.conftest import T0
 
 SINCE = T0 - dt.timedelta(days=1)
@@ -280,3 +281,83 @@ def test_share_and_markers(spark):
                                "ip STRING, count BIGINT, threats BIGINT, blocked BIGINT, abuseScore INT")
     assert [r.share for r in stats.with_share(df).orderBy("ip").collect()] == [1.0, 0.5, 0.25]
     assert [r.marker for r in stats.with_markers(df).orderBy("ip").collect()] == ["blocked", "threat", "normal"]
+
+
+# ---------------------------------------------------------------- the event store
+def _hourly(spark, n, first_id=0, start="2024-01-01T00:30:00"):
+    base = f"timestamp '{start}Z'"
+    return complete(
+        spark.range(n).selectExpr(
+            f"id + {first_id} AS id", f"{base} + make_interval(0, 0, 0, 0, CAST(id AS INT)) AS received_at",
+            "'firewall' AS event_type", "concat('198.51.100.', id % 7) AS src_ip",
+        )
+    )
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Tokyo"])
+def test_retention_counts_utc_days(spark, tmp_path, zone):
+    path, before = str(tmp_path / "e"), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        store.append_events(_hourly(spark, 240), path, bulk=True)
+        assert store.run_retention(spark, path, "2024-01-11T00:00:00Z", 5) == 120
+        left = store.read_events(spark, path)
+        assert left.count() == 120 and left.agg(F.min("id")).first()[0] == 120
+        days = {str(r.event_date) for r in left.select("event_date").distinct().collect()}
+        assert days == {f"2024-01-{d:02}" for d in range(6, 11)}
+        assert store.run_retention(spark, path, "2024-01-11T00:00:00Z", 5) == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_writers_share_a_table(spark, tmp_path):
+    path = str(tmp_path / "e")
+    store.append_events(_hourly(spark, 48), path, batch="stream-0")
+    store.append_events(_hourly(spark, 48), path, batch="stream-0")
+    store.append_events(_hourly(spark, 24, first_id=100), path, bulk=True)
+    assert store.read_events(spark, path).count() == 72
+    store.compact_day(spark, path, dt.date(2024, 1, 1))
+    rows = store.read_events(spark, path)
+    assert rows.count() == 72 and rows.filter("event_date = '2024-01-01'").count() == 48
+    assert len(list((tmp_path / "e" / "event_date=2024-01-01").glob("batch=*"))) == 1
+
+
+@pytest.mark.parametrize("stage", ["unlisted", "listed"])
+def test_a_rewrite_cut_short_is_finished(spark, tmp_path, monkeypatch, stage):
+    path, day = str(tmp_path / "e"), dt.date(2024, 1, 1)
+    store.append_events(_hourly(spark, 48), path)
+    folder = tmp_path / "e" / f"event_date={day}"
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "_finish", stop)
+    monkeypatch.setattr(store, "finish_days", lambda *_: None)
+    with pytest.raises(RuntimeError):
+        store.rewrite_day(spark, path, day, lambda ev: ev.filter("id < 5"))
+    monkeypatch.undo()
+    assert store.read_events(spark, path).count() == 48
+    if stage == "unlisted":
+        (folder / "_next" / "_replaces").unlink()
+    store.append_events(_hourly(spark, 24, first_id=100), path)
+    store.finish_days(spark, path)
+    assert store.read_events(spark, path).count() == (72 if stage == "unlisted" else 53)
+    assert not (folder / "_next").exists()
+
+
+def test_newest_row_decides_on_equal_times(make_events):
+    rows = make_events([
+        dict(id=100, minute=11, src_ip="198.51.100.1", message="A"),
+        dict(id=5, minute=12, src_ip="198.51.100.1", message="A"),
+        dict(id=10, minute=12, src_ip="198.51.100.1", message="B"),
+        dict(id=-3, minute=12, src_ip="198.51.100.1", message="C"),
+    ])
+    (got,) = aggregate_with_latest(rows, ["src_ip"], ["message"]).collect()
+    assert (got.message, got["count"]) == ("B", 4)
+
+
+def test_other_addresses_lie_in_no_range(spark):
+    ips = spark.range(500).selectExpr("CASE WHEN id = 0 THEN '11.0.0.5' ELSE concat('fd00::', id) END AS ip")
+    ranges = spark.createDataFrame([(11 << 24, (11 << 24) + 9, "X")], "start_ip LONG, end_ip LONG, country STRING")
+    got = {r.ip: r.country for r in enrich.range_lookup(ips, ranges).collect()}
+    assert len(got) == 500 and {ip for ip, c in got.items() if c} == {"11.0.0.5"}

@@ -1313,7 +1313,7 @@ def _(spark, sf):
 @register("t3_live", FEED, "parsed")
 def _(spark, sf):
     path, state = fresh_path(spark, "feed"), fresh_path(spark, "state")
-    matched = feed.stream_feed(
+    matched = feed.match_subscriptions(
         feed.parsed_stream(_arriving(spark, sf)), tables.subscriptions(spark)
     ).select("sub_id", "id", "received_at", "event_type")
     writer = matched.writeStream.format("parquet").option("path", path)
