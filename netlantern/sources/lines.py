@@ -24,20 +24,22 @@ def read_lines(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
     same files read with the same split settings give the same places.
     """
     if fmt == "text":
-        return clean_lines(_placed(spark.read.text(path)))
+        return clean_lines(
+            spark.read.text(path).select(
+                F.col("value").alias("raw"),
+                F.col("_metadata.file_path").alias("source"),
+                F.monotonically_increasing_id().alias("offset"),
+            )
+        )
     return clean_lines(spark.read.schema(LINE_SCHEMA).format(fmt).load(path))
 
 
-def _placed(files: DataFrame) -> DataFrame:
-    return files.select(
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("offset"),
-    )
-
-
 def stream_lines(spark: SparkSession, fmt: str, options: dict[str, str]) -> DataFrame:
-    """A stream of raw lines from files (``text``, ``parquet``), ``kafka`` or a ``socket`` relay."""
+    """A stream of raw lines from files (``text``, ``parquet``), ``kafka`` or a ``socket`` relay.
+
+    Streams of text and socket lines know no places; ingest tells their equal lines apart by batch
+    and place in it.
+    """
     reader = spark.readStream.format(fmt).options(**options)
     if fmt == "kafka":
         return clean_lines(
@@ -49,8 +51,10 @@ def stream_lines(spark: SparkSession, fmt: str, options: dict[str, str]) -> Data
             )
         )
     if fmt == "text":
-        return clean_lines(_placed(reader.load()))
+        files = reader.load()
+        return clean_lines(
+            files.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source"))
+        )
     if fmt == "socket":
-        rows = reader.load().select(F.col("value").alias("raw"))
-        return clean_lines(rows.withColumn("offset", F.monotonically_increasing_id()))
+        return clean_lines(reader.load().select(F.col("value").alias("raw")))
     return clean_lines(reader.schema(LINE_SCHEMA).load())

@@ -52,8 +52,14 @@ def start_ingest(
     """Parse lines and append events by day (T1). A repeated batch replaces itself, and batch writers
     may add to the same table."""
 
+    placed = bool({"id", "offset"} & set(lines.columns))
+
     def save(batch: DataFrame, epoch: int) -> None:
-        append_events(batch, path, batch=_batch_name("ingest", checkpoint, epoch))
+        name = _batch_name("ingest", checkpoint, epoch)
+        if not placed:
+            place = F.monotonically_increasing_id()
+            batch = batch.withColumn("id", F.xxhash64("id", F.lit(name), place))
+        append_events(batch, path, batch=name)
 
     writer = parsed_stream(lines, keep_raw).writeStream.foreachBatch(save)
     return _start(writer.option("checkpointLocation", checkpoint), every)
