@@ -120,4 +120,29 @@ ORACLES = {
                count(*) OVER (PARTITION BY s) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, s AS text_sha256
         FROM d WINDOW w AS (PARTITION BY s ORDER BY length(t) DESC, doc_id)""",
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN counts USING (vec_id)""",
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+            FROM pages)
+        SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr(
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT)
+                        >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM p""",
 }

@@ -25,7 +25,8 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(llm, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     got, want = QUERIES[name](llm, SF).toPandas(), con.sql(ORACLES[name]).df()
     a, b = normal(got), normal(want)
     assert sorted(got.columns) == sorted(want.columns) and len(a) == len(b)
