@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "parse_all s6_roundtrip f_combined a6_timeline a9_top_blocked a11_top_clients a13_threat_intel "
     "a15_period_summary a16_geo_events j4_backfill j4a_capped j5_geo_range j10_resolve j12_related "
-    "h5_dst_ports h10_signatures h14_report t6_pending m1_retention m2_status"
+    "h5_dst_ports h10_signatures h14_report t6_pending m1_retention m2_status p2_router p13_rejects "
+    "s1_lines a18_overlay o6_intel_sort j3_two_sided j4_written m1_after_stream"
 ).split()
 
 
