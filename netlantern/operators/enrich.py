@@ -148,8 +148,11 @@ def recent_geo(ev: DataFrame, intel: DataFrame, limit: int | None = None) -> Dat
         ips = located.select(F.col("ip").alias(f"{side}_ip"))
         found.append(latest(ev.join(ips, f"{side}_ip", "left_semi").select(*ev.columns), rows))
     out = found[0].unionByName(found[1]).unionByName(found[2]).dropDuplicates(["id"])
+    # At most six addresses for each row asked for.
+    ips = out.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+    few = located.join(F.broadcast(ips), "ip", "left_semi")
     for side in SIDES:
-        out = _with_side(out, located, side, F.lit(True), True)
+        out = _with_side(out, few, side, F.lit(True), True)
     return latest(geo_present(out).select(*RECENT_GEO_COLUMNS), rows)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlantern.operators.enrich import related_ips
+from netlantern.operators.events import since_filter
 from netlantern.plans.sizing import checkpointed, is_small
 from netlantern.plans.skew import keep_listed
 from netlantern.plans.topk import top_k_per
@@ -18,12 +20,24 @@ HOUR = "yyyy-MM-dd'T'HH:00:00'Z'"
 INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
+# A list of at most this many addresses goes to the scan as a condition.
+FEW = 100
+
+
 @dataclass(frozen=True)
 class Targets:
-    """A distinct list of addresses, and whether it was found small enough to broadcast."""
+    """A distinct list of addresses, whether it was found small enough to broadcast, and its members
+    if they are few."""
 
     listed: DataFrame | None
     small: bool = False
+    few: tuple[str, ...] | None = None
+
+    def near(self, ev: DataFrame) -> DataFrame:
+        """Events with an end on a short list: the scan skips what cannot hold any."""
+        if self.few is None:
+            return ev
+        return ev.filter(F.col("src_ip").isin(*self.few) | F.col("dst_ip").isin(*self.few))
 
     def before(self, rows: DataFrame) -> DataFrame:
         if self.listed is not None and self.small:
@@ -44,6 +58,9 @@ def targets_of(targets: DataFrame | Targets | None) -> Targets:
     if targets is None:
         return Targets(None)
     listed = targets.select("target").distinct()
+    first = [r.target for r in listed.limit(FEW + 1).collect()]
+    if len(first) <= FEW:
+        return Targets(listed, True, tuple(t for t in first if t is not None))
     return Targets(listed, is_small(listed))
 
 
@@ -101,10 +118,13 @@ FACTS = (
 
 
 def dossier_facts(
-    ev: DataFrame, targets: DataFrame | Targets | None, wanted: tuple[str, ...] = FACTS
+    ev: DataFrame,
+    targets: DataFrame | Targets | None,
+    wanted: tuple[str, ...] = FACTS,
+    since: dt.datetime | str | None = None,
 ) -> DataFrame:
     """All wanted counts of all targets in one scan: ``target, fact, key, detail, count,
-    first_seen, last_seen``.
+    first_seen, last_seen``. With ``since``, older events don't count and their days aren't read.
 
     Each row names the facts it counts for; one hash aggregate adds them up, with partial counts
     before the shuffle, so a target that owns a third of the log is no burden to one task.
@@ -122,7 +142,7 @@ def dossier_facts(
         )
         for name in wanted
     ]
-    rows = scope.before(role_rows(ev))
+    rows = scope.before(role_rows(scope.near(since_filter(ev, since))))
     counted = (
         rows.select("target", "received_at", F.explode(F.array(*marks)).alias("_f"))
         .filter(F.col("_f").isNotNull())
@@ -255,11 +275,12 @@ def dossier(
     src_ports: int = SRC_PORTS,
     signatures: int = SIGNATURES,
     peers: int = PEERS,
+    since: dt.datetime | str | None = None,
 ) -> dict[str, DataFrame]:
     """Every fact table of the targets, with the given lengths of its lists. The events are scanned
     once: the counts go through a reliable checkpoint, which all the tables read."""
     scope = targets_of(targets)
-    facts = checkpointed(dossier_facts(ev, scope))
+    facts = checkpointed(dossier_facts(ev, scope, since=since))
     return {
         "intel": dossier_intel(scope.listed, intel),
         "total": _total(scope, facts),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -361,3 +362,18 @@ def test_other_addresses_lie_in_no_range(spark):
     ranges = spark.createDataFrame([(11 << 24, (11 << 24) + 9, "X")], "start_ip LONG, end_ip LONG, country STRING")
     got = {r.ip: r.country for r in enrich.range_lookup(ips, ranges).collect()}
     assert len(got) == 500 and {ip for ip, c in got.items() if c} == {"11.0.0.5"}
+
+
+def test_short_target_lists_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "e")
+    store.append_events(_hourly(spark, 240), path, bulk=True)
+    ev = store.read_events(spark, path)
+    targets = spark.createDataFrame([("198.51.100.3",), (None,), ("no",)], "target STRING")
+    facts = hunt.dossier_facts(ev, targets, ("total",), since="2024-01-05T00:00:00Z")
+    (scan,) = re.findall(r"FileScan parquet.*", facts._jdf.queryExecution().executedPlan().toString())
+    assert "src_ip" in scan.split("DataFilters:")[1] and "event_date" in scan.split("PartitionFilters:")[1]
+    assert re.search(r"src_ip#\d+ IN|src_ip#\d+ =", scan)
+    (row,) = facts.collect()
+    assert row["count"] == ev.filter("src_ip = '198.51.100.3' AND received_at >= '2024-01-05'").count()
+    none = hunt.dossier_facts(ev, targets.filter("target = 'x'"), ("total",))
+    assert none.count() == 0
