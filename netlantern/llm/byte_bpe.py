@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -286,16 +287,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def in_parts(texts: list, size: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch's values that hold about ``size`` characters or bytes, to work on in turn."""
-    first, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def in_parts(texts: pa.Array, size: int = WINDOW) -> Iterator[tuple[int, int, list[str]]]:
+    """A batch's texts some at a time, about ``size`` bytes each: (first, end, texts)."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        done = int(ends[first - 1]) if first else 0
+        end = min(len(texts), int(np.searchsorted(ends, done + size)) + 1)
+        yield first, end, texts.slice(first, end - first).to_pylist()
+        first = end
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
@@ -311,9 +311,8 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(ranks_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in in_parts(texts):
-                ids = list(known.encode(texts[low:high]))
+            for low, high, texts in in_parts(batch.column(1)):
+                ids = list(known.encode(texts))
                 places = [known.offsets(x).tobytes() for x in ids]
                 columns = [
                     batch.column(0).slice(low, high - low),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +30,11 @@ def ship(spark: SparkSession) -> SparkSession:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "netlantern.zip")
-    with open(path, "wb") as out:
-        out.write(held.getvalue())
-    spark.sparkContext.addPyFile(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{fresh_path(spark, 'code')}/netlantern.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
     spark.sparkContext._netlantern_shipped = True
     return spark
 

@@ -178,11 +178,10 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_codec(vocabulary_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in in_parts(texts):
+            for low, _, texts in in_parts(batch.column(1)):
                 rows = [
                     (i, at // (4 * capacity), ids[at : at + 4 * capacity])
-                    for i, found in enumerate(known.encode_all(texts[low:high]), low)
+                    for i, found in enumerate(known.encode_all(texts), low)
                     for ids in [found + end]
                     for at in range(0, len(ids), 4 * capacity)
                 ]

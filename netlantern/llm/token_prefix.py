@@ -265,9 +265,8 @@ def token_prefixes(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counter(vocabulary_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in in_parts(texts):
-                steps = list(known.steps_all(texts[low:high]))
+            for low, high, texts in in_parts(batch.column(1)):
+                steps = list(known.steps_all(texts))
                 counts = [total(s) for s in steps]
                 fits = [
                     len(s) if n <= budget and len(s) <= budget else longest_within(s, budget)
