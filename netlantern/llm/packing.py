@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from netlantern.llm.byte_bpe import in_parts
 from netlantern.llm.common import text_or_empty, written
-from netlantern.llm.word_bpe import word_codec
+from netlantern.llm.word_bpe import CACHED, word_codec
 
 CAPACITY = 4096
 GROUP = 8192
@@ -161,7 +161,11 @@ def _complete(
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, keep_ids: bool = False
+    docs: DataFrame,
+    vocabulary_path: str,
+    capacity: int = CAPACITY,
+    keep_ids: bool = False,
+    cached: int = CACHED,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every row."""
     end = np.array([END_ID], "<u4").tobytes()
@@ -176,7 +180,7 @@ def token_pieces(
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_codec(vocabulary_path)
+        known = word_codec(vocabulary_path, cached)
         for batch in batches:
             for low, _, texts in in_parts(batch.column(1)):
                 rows = [
@@ -207,6 +211,7 @@ def pack(
     keep_ids: bool = False,
     group: int = GROUP,
     nodes: int = NODES,
+    cached: int = CACHED,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``) of every piece.
 
@@ -214,9 +219,10 @@ def pack(
     ``capacity`` ids, the last perhaps shorter. A null or empty text is the end id alone. Every row is
     packed, repeated ones too, each by itself; an empty table gives no rows; other columns are not
     read. Pieces are dealt into groups by their place in the written table, whatever their keys, so no
-    key makes a group large.
+    key makes a group large. A worker's caches hold at most ``cached`` entries in each generation: more
+    take memory, fewer take time.
     """
-    pieces = written(token_pieces(docs, vocabulary_path, capacity, keep_ids), "pieces")
+    pieces = written(token_pieces(docs, vocabulary_path, capacity, keep_ids, cached), "pieces")
     columns = pieces.columns
     groups = max(1, -(-pieces.count() // group))
     placed = pieces.select(

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from netlantern.llm.byte_bpe import WHITE_SPACE
 
 #: Entries of one generation of a cache, and the longest text kept in one.
-CACHED = 250_000
+CACHED = 400_000
 CACHED_CHARS = 64
 #: Fixed value: how the vocabulary cuts normalised text into words.
 WORDS = (
@@ -33,7 +33,8 @@ TOGETHER = 512
 class WordCodec:
     """Texts to their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
+        self.cached = cached
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -91,7 +92,7 @@ class WordCodec:
         if len(normal) + len(more) != len(chunks):
             self.chunks.update((c, self._by_library(c)) for c in chunks)
             return
-        if len(self.words) >= CACHED:
+        if len(self.words) >= self.cached:
             self.older_words, self.words = self.words, {}
         known, older = self.words, self.older_words
         cuts = [self._words(n) for n in normal + more]
@@ -107,7 +108,7 @@ class WordCodec:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; many texts at a time cost less."""
-        if len(self.chunks) >= CACHED:
+        if len(self.chunks) >= self.cached:
             self.older, self.chunks = self.chunks, {"": b""}
         split = [text.replace("\n", " ").split(" ") for text in texts]
         get = self.chunks.get
@@ -137,5 +138,5 @@ class WordCodec:
 
 
 @lru_cache(2)
-def word_codec(path: str) -> WordCodec:
-    return WordCodec(path)
+def word_codec(path: str, cached: int = CACHED) -> WordCodec:
+    return WordCodec(path, cached)
