@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from netlantern.llm.byte_bpe import WHITE_SPACE
 
 #: Entries of one generation of a cache, and the longest text kept in one.
-CACHED = 400_000
+CACHED = 800_000
 CACHED_CHARS = 64
 #: Fixed value: how the vocabulary cuts normalised text into words.
 WORDS = (
