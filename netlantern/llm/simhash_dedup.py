@@ -234,7 +234,11 @@ def drop_near_copies(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
         docs.select("doc_id", row_hash().alias("h"), simhash_udf(text_or_empty()).alias("fp")),
         "fingerprints",
     )
-    named = classes(prints, most, root=True)
+    return first_of_classes(docs, prints, classes(prints, most, root=True))
+
+
+def first_of_classes(docs: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
+    """The first rows of ``docs`` by class, from ``prints(doc_id, h, fp)`` and ``named(fp, root)``."""
     rows = prints.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h", "copies"))
     keepers = rows.join(named, "fp").groupBy("root").agg(first.alias("row")).select("row.*")
