@@ -161,9 +161,17 @@ def rewrite_day(
     _finish(spark, files, folder)
 
 
-def compact_day(spark: SparkSession, path: str, day: dt.date, files: int = 1) -> None:
-    """Merge the small files that streams have left in a day into a few."""
-    rewrite_day(spark, path, day, lambda ev: ev.repartition(files))
+def compact_day(spark: SparkSession, path: str, day: dt.date, files: int | None = None) -> None:
+    """Merge the small files that streams have left in a day into a few.
+
+    Without ``files``, adaptive execution sizes them, so that many tasks write a big day.
+    """
+    rewrite_day(
+        spark,
+        path,
+        day,
+        lambda ev: ev.hint("rebalance") if files is None else ev.repartition(files),
+    )
 
 
 def finish_days(spark: SparkSession, path: str) -> None:

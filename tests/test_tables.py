@@ -323,6 +323,24 @@ def test_writers_share_a_table(spark, tmp_path):
     assert len(list((tmp_path / "e" / "event_date=2024-01-01").glob("batch=*"))) == 1
 
 
+def test_a_big_day_is_compacted_by_many_tasks(spark, tmp_path):
+    path, day = str(tmp_path / "e"), dt.date(2024, 1, 1)
+    store.append_events(_hourly(spark, 24), path, batch="a")
+    store.append_events(_hourly(spark, 24, first_id=100), path, batch="b")
+    sizes = {"advisoryPartitionSizeInBytes": "100b", "coalescePartitions.minPartitionSize": "1b"}
+    for name, value in sizes.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        store.compact_day(spark, path, day)
+    finally:
+        for name in sizes:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+    assert len(list((tmp_path / "e" / f"event_date={day}").glob("batch=*/*.parquet"))) > 1
+    assert store.read_events(spark, path).count() == 48
+    store.compact_day(spark, path, day)
+    assert len(list((tmp_path / "e" / f"event_date={day}").glob("batch=*/*.parquet"))) == 1
+
+
 @pytest.mark.parametrize("stage", ["unlisted", "listed"])
 def test_a_rewrite_cut_short_is_finished(spark, tmp_path, monkeypatch, stage):
     path, day = str(tmp_path / "e"), dt.date(2024, 1, 1)
