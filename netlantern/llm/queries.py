@@ -11,6 +11,8 @@ from netlantern.llm import (
     byte_bpe,
     embedding_dedup,
     exact_dedup,
+    hard_negatives,
+    lexical_search,
     packing,
     quality,
     sharding,
@@ -94,6 +96,16 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +119,8 @@ QUERIES = {
         op8_byte_bpe,
         op9_packing,
         op10_warc,
+        op11_hard_negatives,
+        op12_lexical_search,
     )
 }
 
@@ -145,4 +159,51 @@ ORACLES = {
                CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> last THEN last END AS refers_to
         FROM p""",
+    "op11_hard_negatives": """
+        WITH p AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+                   CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM p a JOIN p b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT a, b, score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+        SELECT x.a AS anchor_id, x.b AS positive_id,
+               CAST(row_number() OVER (PARTITION BY x.a, x.b ORDER BY s.score DESC, s.b) AS INTEGER)
+                   AS rank,
+               s.b AS negative_id, x.score AS positive_score, s.score AS negative_score
+        FROM positives x JOIN s ON s.a = x.a AND NOT s.same
+             AND 30 * x.score <= 100 * s.score AND 100 * s.score <= 90 * x.score
+        QUALIFY rank <= 10""",
+    "op12_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(
+                       text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+        total AS (SELECT count(*) AS d, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        asked AS (
+            SELECT DISTINCT item_id, term FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(
+                       text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark)),
+        scored AS (
+            SELECT item_id, doc_id, CAST(sum(
+                       CAST(floor(1000 * ln((2 * d + 2) / (2 * df + 1))) AS BIGINT)
+                       * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * d) // l)))))
+                   AS BIGINT) AS score
+            FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), total
+            GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)
+                             AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 50""",
 }
