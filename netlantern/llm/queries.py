@@ -17,6 +17,7 @@ from netlantern.llm import (
     quality,
     sharding,
     simhash_dedup,
+    suffix_dedup,
     token_prefix,
     toxicity,
     warc,
@@ -106,6 +107,17 @@ def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +133,7 @@ QUERIES = {
         op10_warc,
         op11_hard_negatives,
         op12_lexical_search,
+        op13_suffix_dedup,
     )
 }
 

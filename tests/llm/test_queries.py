@@ -19,13 +19,13 @@ from tests.llm.conftest import ODD, SF
 def test_all_are_registered():
     found = entry_points.queries()
     assert set(QUERIES) <= set(found) and "pipeline" in found
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(llm, name):
     con = duckdb.connect()
-    for name_ in ("documents", "embeddings", "pages"):
+    for name_ in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     got, want = QUERIES[name](llm, SF).toPandas(), con.sql(ORACLES[name]).df()
     a, b = normal(got), normal(want)
