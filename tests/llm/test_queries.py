@@ -11,9 +11,9 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from check import normal, same
-from netlantern.llm.fingerprint import simhash
 from netlantern.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import ODD, SF
+from tests.llm.test_near_texts import classes_of
 
 
 def test_all_are_registered():
@@ -48,19 +48,10 @@ def test_pipeline(llm):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(llm, docs, SF)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    prints = [simhash(t) for _, t in rows]
-    low = list(range(len(rows)))
-    for _ in rows:
-        before = list(low)
-        for i in range(len(rows)):
-            for j in range(i):
-                if (prints[i] ^ prints[j]).bit_count() <= 3:
-                    low[i] = low[j] = min(low[i], low[j])
-        if before == low:
-            break
+    low, _ = classes_of(rows)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = []
-    for k in sorted(set(low)):
+    for k in sorted(set(low.values())):
         ids = [*library.encode(rows[k][1] or "", add_special_tokens=False).ids, 1]
         for n, at in enumerate(range(0, len(ids), 4096)):
             want.append((rows[k][0], n, zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())))
