@@ -17,7 +17,7 @@ from netlantern.plans.skew import lookup
 from netlantern.plans.topk import newest_per_key, row_limit, top_k_per
 from netlantern.schema import ENRICHABLE_TYPES, INTEL_FACTS, INTEL_SCHEMA
 from netlantern.sources.intel import latest_intel, usable_intel
-from netlantern.sources.store import DAY, finish_days, read_events, rewrite_day
+from netlantern.sources.store import DAY, read_events, rewrite_days
 
 Moment = dt.datetime | str
 TTL = dt.timedelta(hours=24)
@@ -97,6 +97,8 @@ def enrich_events(
             rows = ev.filter(needed & F.col(f"{side}_ip").isNotNull()).select(
                 F.col(f"{side}_ip").alias("ip"), "received_at", "id"
             )
+            if small:  # rows of addresses without facts needn't be ranked
+                rows = rows.join(F.broadcast(usable.select("ip")), "ip", "left_semi")
             cut = (
                 newest_per_key(rows, "ip", max_rows_per_ip)
                 .filter(F.col("_rank") == max_rows_per_ip)
@@ -107,29 +109,38 @@ def enrich_events(
     return out
 
 
-def run_backfill(
-    spark: SparkSession, path: str, intel: DataFrame, max_rows_per_ip: int | None = None
-) -> list[dt.date]:
-    """Fill stored events from the intelligence table (J4, T6), day by day; the days it rewrote.
+def lacking_days(ev: DataFrame, intel: DataFrame) -> list[dt.date]:
+    """The days of stored events ``ev`` with an event that lacks facts the table has, in order.
 
-    Only days with an event that still lacks facts the table has are rewritten. A run that was cut
-    short can be repeated: it goes on with the days that are left. A cap counts rows per day.
+    A day is known by one of its rows, so each task passes on a row for each of its days.
     """
-    finish_days(spark, path)
     usable = usable_intel(intel)
+    small = is_small(usable)
     lacking = []
     for side in SIDES:
-        facts = usable.select(
-            F.col("ip").alias(f"{side}_ip"), *[F.col(f).alias(f"_{f}") for f in INTEL_FACTS]
-        )
-        rows = read_events(spark, path).filter(F.col(f"{side}_geo_country").isNull())
+        ip, country = F.col(f"{side}_ip"), F.col(f"{side}_geo_country")
+        rows = ev.filter(country.isNull() & ip.isNotNull())
+        rows = rows.select("id", DAY, f"{side}_ip", *[f"{side}_{f}" for f in INTEL_FACTS])
+        table = usable.withColumnRenamed("ip", f"{side}_ip")
+        found = lookup(rows, table, f"{side}_ip", "_found", small=small)
         other = F.lit(False)
         for fact in INTEL_FACTS:
-            other = other | ~F.col(f"_{fact}").eqNullSafe(F.col(f"{side}_{fact}"))
-        lacking.append(rows.join(facts, f"{side}_ip").filter(other).select(DAY))
-    days = sorted(r[DAY] for r in lacking[0].union(lacking[1]).distinct().collect())
-    for day in days:
-        rewrite_day(spark, path, day, lambda ev: enrich_events(ev, intel, max_rows_per_ip))
+            other = other | ~F.col(f"_found.{fact}").eqNullSafe(F.col(f"{side}_{fact}"))
+        lacking.append(found.filter(F.col("_found").isNotNull() & other).select(DAY).distinct())
+    return sorted(r[DAY] for r in lacking[0].union(lacking[1]).distinct().collect())
+
+
+def run_backfill(
+    spark: SparkSession, path: str, intel: DataFrame, max_rows_per_ip: int | None = None
+) -> list[dt.date]:
+    """Fill stored events from the intelligence table (J4, T6); the days it rewrote, all in one job.
+
+    Only days with an event that still lacks facts the table has are rewritten. A run that was cut
+    short can be repeated: until a day's new files are listed, its old ones count. A cap counts an
+    address's rows on each side over all days that are rewritten.
+    """
+    days = lacking_days(read_events(spark, path), intel)
+    rewrite_days(spark, path, days, lambda ev: enrich_events(ev, intel, max_rows_per_ip))
     return days
 
 

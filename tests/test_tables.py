@@ -320,7 +320,7 @@ def test_writers_share_a_table(spark, tmp_path):
     store.compact_day(spark, path, dt.date(2024, 1, 1))
     rows = store.read_events(spark, path)
     assert rows.count() == 72 and rows.filter("event_date = '2024-01-01'").count() == 48
-    assert len(list((tmp_path / "e" / "event_date=2024-01-01").glob("batch=*"))) == 1
+    assert len(list((tmp_path / "e" / "event_date=2024-01-01").glob("gen=1/batch=*"))) == 1
 
 
 def test_a_big_day_is_compacted_by_many_tasks(spark, tmp_path):
@@ -335,33 +335,119 @@ def test_a_big_day_is_compacted_by_many_tasks(spark, tmp_path):
     finally:
         for name in sizes:
             spark.conf.unset(f"spark.sql.adaptive.{name}")
-    assert len(list((tmp_path / "e" / f"event_date={day}").glob("batch=*/*.parquet"))) > 1
+    assert len(list((tmp_path / "e" / f"event_date={day}").glob("gen=1/batch=*/*.parquet"))) > 1
     assert store.read_events(spark, path).count() == 48
     store.compact_day(spark, path, day)
-    assert len(list((tmp_path / "e" / f"event_date={day}").glob("batch=*/*.parquet"))) == 1
+    assert len(list((tmp_path / "e" / f"event_date={day}").glob("gen=2/batch=*/*.parquet"))) == 1
 
 
-@pytest.mark.parametrize("stage", ["unlisted", "listed"])
-def test_a_rewrite_cut_short_is_finished(spark, tmp_path, monkeypatch, stage):
+def _ids(spark, path):
+    return sorted(r.id for r in store.read_events(spark, path).select("id").collect())
+
+
+def test_a_replayed_batch_replaces_itself_after_a_rewrite(spark, tmp_path):
     path, day = str(tmp_path / "e"), dt.date(2024, 1, 1)
-    store.append_events(_hourly(spark, 48), path)
-    folder = tmp_path / "e" / f"event_date={day}"
+    for name, first in (("a", 0), ("b", 100)):
+        store.append_events(_hourly(spark, 30, first_id=first), path, batch=name)
+    want = [*range(30), *range(100, 130)]
+    for _ in range(3):
+        store.compact_day(spark, path, day)
+        assert _ids(spark, path) == want
+        store.append_events(_hourly(spark, 30), path, batch="a")  # the same epoch once more
+        assert _ids(spark, path) == want
+    store.append_events(_hourly(spark, 5, first_id=100), path, batch="b")  # replaced by fewer rows
+    assert _ids(spark, path) == [*range(30), *range(100, 105), *range(124, 130)]
+    store.compact_day(spark, path, day)
+    store.clean_days(spark, path)
+    assert _ids(spark, path) == [*range(30), *range(100, 105), *range(124, 130)]
+    assert {p.parent.name for p in (tmp_path / "e" / f"event_date={day}").glob("gen=*/batch=*")} == {"gen=4"}
+
+
+def test_batches_that_come_during_a_rewrite_count(spark, tmp_path, monkeypatch):
+    path, day = str(tmp_path / "e"), dt.date(2024, 1, 1)
+    store.append_events(_hourly(spark, 24), path, batch="a")
+    before = store.read_events(spark, path)
+    real = store._list
+
+    def late(*args):
+        store.append_events(_hourly(spark, 3, first_id=100), path, batch="new")
+        assert _ids(spark, path) == [*range(24), 100, 101, 102]
+        real(*args)
+        assert _ids(spark, path) == [*range(5), 100, 101, 102]
 
-    def stop(*_):
+    monkeypatch.setattr(store, "_list", late)
+    store.rewrite_days(spark, path, [day], lambda ev: ev.filter("id < 5"))
+    monkeypatch.undo()
+    assert before.count() == 24  # who began to read before still can
+    store.rewrite_days(spark, path, [day], lambda ev: ev.filter("id <> 101"))
+    assert _ids(spark, path) == [*range(5), 100, 102]
+    store.rewrite_days(spark, path, [day], lambda ev: ev.filter("id > 1000"))
+    assert _ids(spark, path) == []
+    store.append_events(_hourly(spark, 2, first_id=7), path, batch="a")
+    assert _ids(spark, path) == [7, 8]
+
+
+@pytest.mark.parametrize("step", ["write", "create", "rename", "second"])
+def test_a_rewrite_may_be_killed_at_any_step(spark, tmp_path, monkeypatch, step):
+    path, days = str(tmp_path / "e"), [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    store.append_events(_hourly(spark, 48), path, batch="a")
+    real, calls = store._list, []
+
+    def stop(spark_, path_, day):
+        calls.append(day.day)
+        if step == "second" and len(calls) == 1:
+            return real(spark_, path_, day)
+        if step == "rename":
+            folder = tmp_path / "e" / f"event_date={day.day}" / f"gen={day.gen + 1}"
+            (folder / "_batches.half").write_text("a")
+        if step == "create":
+            folder = tmp_path / "e" / f"event_date={day.day}" / f"gen={day.gen + 1}"
+            (folder / "_batches").write_text("a")  # a list that was cut off
+        raise RuntimeError("lost")
+
+    def never(*_):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(store, "_finish", stop)
-    monkeypatch.setattr(store, "finish_days", lambda *_: None)
+    monkeypatch.setattr(store, "_list", stop)
+    if step == "write":
+        monkeypatch.setattr(store, "_write", never)
+    add = lambda ev: ev.withColumn("src_port", F.lit(9))
     with pytest.raises(RuntimeError):
-        store.rewrite_day(spark, path, day, lambda ev: ev.filter("id < 5"))
+        store.rewrite_days(spark, path, days, add)
     monkeypatch.undo()
-    assert store.read_events(spark, path).count() == 48
-    if stage == "unlisted":
-        (folder / "_next" / "_replaces").unlink()
-    store.append_events(_hourly(spark, 24, first_id=100), path)
-    store.finish_days(spark, path)
-    assert store.read_events(spark, path).count() == (72 if stage == "unlisted" else 53)
-    assert not (folder / "_next").exists()
+    assert _ids(spark, path) == list(range(48))
+    done = store.read_events(spark, path).filter("src_port = 9").count()
+    assert done == (24 if step == "second" else 0)
+    store.append_events(_hourly(spark, 48), path, batch="a")
+    assert _ids(spark, path) == list(range(48))
+    store.rewrite_days(spark, path, days, add)
+    assert _ids(spark, path) == list(range(48))
+    assert store.read_events(spark, path).filter("src_port = 9").count() == 48
+    store.clean_days(spark, path)
+    assert _ids(spark, path) == list(range(48))
+
+
+def test_backfill_rewrites_lacking_days_in_one_job(spark, tmp_path):
+    path = str(tmp_path / "e")
+    ev = _hourly(spark, 96).withColumn("src_ip", F.when(F.col("id") < 72, F.col("src_ip")).otherwise("10.0.0.1"))
+    store.append_events(ev, path, bulk=True)
+    intel = spark.createDataFrame(
+        [("198.51.100.3", "AA"), ("198.51.100.4", "BB")], "ip STRING, geo_country STRING"
+    )
+    intel = intel.select(*[
+        (F.col(f.name) if f.name in intel.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in INTEL_SCHEMA.fields
+    ])
+    want = store.read_events(spark, path).filter("src_ip IN ('198.51.100.3', '198.51.100.4')")
+    ids = sorted(r.id for r in want.select("id").collect())
+    assert enrich.run_backfill(spark, path, intel, 2) == [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    rows = store.read_events(spark, path).filter("src_geo_country IS NOT NULL").collect()
+    newest = [i for r in (3, 4) for i in [k for k in ids if k % 7 == r][-2:]]
+    assert sorted(r.id for r in rows) == sorted(newest)  # the cap counts an address over all days
+    assert enrich.run_backfill(spark, path, intel) == [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    assert enrich.run_backfill(spark, path, intel) == []
+    rows = store.read_events(spark, path).filter("src_geo_country IS NOT NULL").collect()
+    assert sorted(r.id for r in rows) == ids and _ids(spark, path) == list(range(96))
 
 
 def test_newest_row_decides_on_equal_times(make_events):
