@@ -3,12 +3,13 @@
 Method: suffix arrays, built by linear grouping (``suffix_order.py``), over strings that can hold the same
 window of ``LENGTH`` bytes. To bring those together each window names its least gram of bytes, the leftmost
 of equal ones: equal windows name the same gram, and neighbouring windows share theirs. A run of windows
-with one gram is a piece of text. Pieces whose gram occurs once in all documents are left out; equal pieces
-are one piece, whose first occurrence stands for all, and the windows of the others start earlier elsewhere
-by that alone. The different pieces of a gram go to one string, its suffixes are sorted, and equal windows
-are neighbours there; all but the first start earlier elsewhere.
+with one gram, which lies in the first or in the second half of all of them, is a piece of text; all its
+windows hold the same longer core about the gram. Pieces whose core occurs once in all documents are left
+out; equal pieces are one piece, whose first occurrence stands for all, and the windows of the others start
+earlier elsewhere by that alone. The different pieces of a core go to one string, its suffixes are sorted,
+and equal windows are neighbours there; all but the first start earlier elsewhere.
 
-A gram inside a line of a third of all documents has very many different pieces. Such pieces are cut into
+A core inside a line of a third of all documents has very many different pieces. Such pieces are cut into
 their single windows, which then are equal or have nothing in common, so that no string is larger than
 ``PIECES`` pieces. Pieces are told apart by 128 bits of hashes.
 """
@@ -31,13 +32,15 @@ from netlantern.plans.sizing import broadcast_if_small, is_small
 
 LENGTH = 100
 GRAM = 24
-#: A gram with more different pieces has them cut into windows.
+#: Parts of the places that a gram can have in a window.
+PARTS = 2
+#: A core with more different pieces has them cut into windows.
 PIECES = 2048
-#: The pieces of several grams share a string of about so many bytes.
+#: The pieces of several cores share a string of about so many bytes.
 STRING_BYTES = 1 << 17
 #: Windows looked at together; a power of two.
 AT_ONCE = 1 << 20
-#: Bits of the map of grams that occur again. It saves work; what it lets through by chance does no harm.
+#: Bits of the map of cores that occur again. It saves work; what it lets through by chance does no harm.
 MAP_BITS = 27
 #: Pieces with more than one in so many of the rows are looked up from a broadcast; there are fewer of them.
 HOT_SHARE = 4096
@@ -89,19 +92,29 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first windows, numbers of windows, hashes of the grams) of a text's pieces, in parts.
+    """(first windows, numbers of windows, hashes of the cores) of a text's pieces, in parts.
 
-    The least gram is that of the least leading hash bits, then the leftmost: the same in equal windows.
+    The least gram is that of the least leading hash bits, then the leftmost: the same in equal windows. So
+    is its place in them, and the core, which begins at the least place of its part.
     """
     values = np.frombuffer(text, np.uint8)
     width = length - gram + 1
+    part = -(-width // PARTS)
+    reach = width - part  # from the first gram of a core to its last
+    steps = sorted({*range(0, reach, gram), reach})
     place = np.uint64(2 * AT_ONCE - 1)
     for start in range(0, len(values) - length + 1, AT_ONCE):
         hashes = gram_hashes(values[start : start + AT_ONCE + length - 1], gram)
         ranked = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
         least = (least_of(ranked, width) & place).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        yield start + first, np.diff(np.r_[first, len(least)]), hashes[least[first]].view(np.int64)
+        at = (least - np.arange(len(least))) // part
+        first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (at[1:] != at[:-1])])
+        core = least[first] - at[first] * part
+        keys = hashes[core]
+        for k in steps[1:]:
+            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(ODD) + hashes[core + k]
+        keys ^= keys >> np.uint64(29)
+        yield start + first, np.diff(np.r_[first, len(least)]), (keys * np.uint64(BASE)).view(np.int64)
 
 
 def piece_hashes(text: bytes, a: np.ndarray, r: np.ndarray, length: int) -> np.ndarray:
@@ -114,7 +127,7 @@ def piece_hashes(text: bytes, a: np.ndarray, r: np.ndarray, length: int) -> np.n
 
 
 def recurring(docs: DataFrame, length: int, gram: int) -> np.ndarray:
-    """A map of bits: set for the hashes of all grams that occur twice or more."""
+    """A map of bits: set for the hashes of all cores that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +148,7 @@ def recurring(docs: DataFrame, length: int, gram: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, shared: Broadcast, length: int, gram: int) -> DataFrame:
-    """``no_id, id, h, a, r, key, seg``: pieces from window ``a`` on whose grams may occur again, written."""
+    """``no_id, id, h, a, r, key, seg``: pieces from window ``a`` on whose cores may occur again, written."""
     names = [*PLACE, "r", "key", "seg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +239,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int, single: bool) -> Da
 def repeated_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """``no_id, id, h, a, b``: bytes of windows of these pieces that start earlier in another of them.
 
-    Windows are equal only within a gram's pieces, which are all here.
+    Windows are equal only within a core's pieces, which are all here.
     """
     held = rows["held"].tolist()
     sizes = np.fromiter(map(len, held), np.int64, len(held))
@@ -264,7 +277,7 @@ def repeated_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``no_id, id, h, a, b`` of windows that several of the ``wanted`` pieces of a gram share."""
+    """``no_id, id, h, a, b`` of windows that several of the ``wanted`` pieces of a core share."""
     total = wanted.agg(F.sum(F.col("r") + length)).first()[0] or 0
     strings = max(1, -(-total // STRING_BYTES))
     texts = cut_out(docs, wanted.select(*PLACE, "r", "key"), length, False)
@@ -289,7 +302,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None
     spans.append(sorted_spans(docs, written(first.join(broadcast_if_small(few), "key"), "wanted"), length))
     many = several.filter(F.col("kinds") > PIECES)
     if not many.isEmpty():
-        # Each such gram has over PIECES of the rows joined here, so hot ones are fewer still.
+        # Each such core has over PIECES of the rows joined here, so hot ones are fewer still.
         held = many.agg(F.sum("kinds")).first()[0]
         hot = F.col("kinds") * HOT_SHARE > F.lit(held)
         wide = first.join(F.broadcast(many.filter(hot)), "key", "left_semi")

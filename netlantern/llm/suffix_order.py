@@ -54,33 +54,47 @@ def _group(label: list[int], groups: list[Group]) -> list[int]:
                 label[j] += len(old)
                 groups[label[j]] = j
             continue
-        pointed: dict[int, int] = {}
+        # Rising members have rising pointers: equal ones follow one another.
+        once: dict[int, list[int]] = {}
+        often: dict[tuple[int, int], list[int]] = {}
+        last, times = -1, 0
         for i in members:
             j = i - 1
             while j >= 0 and label[j] >= g:
                 j = smaller[j]
             smaller[i] = j
-            if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
-        if len(pointed) == 1:
-            moves = {(1, label[j]): [j] for j in pointed}
-        else:
-            moves = {}
-            for j, times in pointed.items():
-                moves.setdefault((times, label[j]), []).append(j)
-        for key in sorted(moves, reverse=True) if len(moves) > 1 else moves:
-            some, old = moves[key], groups[key[1]]
-            if type(old) is int or len(some) == len(old):
+            if j == last:
+                times += 1
                 continue
-            for j in some:
-                del old[j]
-            new = key[1] + len(old)
-            groups[new] = dict.fromkeys(some) if len(some) > 1 else some[0]
-            for j in some:
-                label[j] = new
+            if times == 1 and last >= 0:
+                once.setdefault(label[last], []).append(last)
+            elif last >= 0:
+                often.setdefault((times, label[last]), []).append(last)
+            last, times = j, 1
+        if times == 1 and last >= 0:
+            once.setdefault(label[last], []).append(last)
+        elif last >= 0:
+            often.setdefault((times, label[last]), []).append(last)
+        for times, at in sorted(often, reverse=True):
+            _rise(label, groups, at, often[times, at])
+        for at, some in once.items():
+            _rise(label, groups, at, some)
     return smaller
 
 
+def _rise(label: list[int], groups: list[Group], at: int, some: list[int]) -> None:
+    """Moves some members of a group to a new one above what is left of it."""
+    old = groups[at]
+    if type(old) is int or len(some) == len(old):
+        return
+    for j in some:
+        del old[j]
+    new = at + len(old)
+    groups[new] = dict.fromkeys(some) if len(some) > 1 else some[0]
+    for j in some:
+        label[j] = new
+
+
 def _places(label: list[int], groups: list, smaller: list[int]) -> list[int]:
     """Each suffix's place, found from those already placed; without the empty suffix."""
     n = len(label) - 1
