@@ -48,18 +48,21 @@ def _batch_name(kind: str, checkpoint: str, epoch: int) -> str:
 def start_ingest(
     lines: DataFrame, path: str, checkpoint: str, every: str | None = INGEST_EVERY,
     keep_raw: bool = False,
+    name: str | None = None,
 ) -> StreamingQuery:
-    """Parse lines and append events by day (T1). A repeated batch replaces itself, and batch writers
-    may add to the same table."""
+    """Parse lines and append events by day (T1). A repeated batch replaces itself, also after its days
+    were rewritten, and batch writers may add to the same table. Batches are known by ``name``, the
+    checkpoint's by default: a stream that starts over under its old name adds nothing twice, if its
+    batches are those it had."""
 
     placed = bool({"id", "offset"} & set(lines.columns))
 
     def save(batch: DataFrame, epoch: int) -> None:
-        name = _batch_name("ingest", checkpoint, epoch)
+        own = _batch_name("ingest", name or checkpoint, epoch)
         if not placed:
             place = F.monotonically_increasing_id()
-            batch = batch.withColumn("id", F.xxhash64("id", F.lit(name), place))
-        append_events(batch, path, batch=name)
+            batch = batch.withColumn("id", F.xxhash64("id", F.lit(own), place))
+        append_events(batch, path, batch=own)
 
     writer = parsed_stream(lines, keep_raw).writeStream.foreachBatch(save)
     return _start(writer.option("checkpointLocation", checkpoint), every)

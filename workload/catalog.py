@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netlantern.functions import net, times
-from netlantern.operators import enrich, events, hunt, parse, stats
+from netlantern.operators import enrich, events, hunt, parse, rollup, stats
 from netlantern.plans.sizing import fresh_path
 from netlantern.plans.topk import top_k_per
 from netlantern.schema import EVENT_COLUMNS, INTEL_SCHEMA, PARSED_COLUMNS, PORT_NAMES
@@ -48,6 +48,17 @@ def register(name: str, sql: str | None = None, *ctes: str):
     return add
 
 
+def register_again(name: str, other: str):
+    """A query that must give the rows of another one."""
+
+    def add(fn: Query) -> Query:
+        register(name)(fn)
+        ORACLES[name] = ORACLES[other]
+        return fn
+
+    return add
+
+
 def ts(value: str) -> str:
     return f"TIMESTAMP '{value}'"
 
@@ -1362,6 +1373,94 @@ def _(spark, sf):
     return feed.read_intel(spark, path)
 
 
+@register("t1_replayed", f"SELECT {', '.join(_PARSED)} FROM parsed", "parsed")
+def _(spark, sf):
+    """A stream's batches come again from its start after days were compacted; nothing is added twice."""
+    path = fresh_path(spark, "replayed")
+    state, copy = fresh_path(spark, "state"), fresh_path(spark, "state")
+    feed.start_ingest(_arriving(spark, sf), path, state, every=None).awaitTermination()
+    for day in store.stored_days(spark, path)[5:9]:
+        store.compact_day(spark, path, day)
+    feed.start_ingest(_arriving(spark, sf), path, copy, every=None, name=state).awaitTermination()
+    return store.read_events(spark, path).select(*_PARSED)
+
+
+@register("s4_during_rewrite", f"SELECT {BRIEF} FROM ev", "ev")
+def _(spark, sf):
+    """What readers see when days were rewritten and the new generation of some was never listed."""
+    path = fresh_path(spark, "rewritten")
+    store.append_events(tables.events(spark, sf), path, bulk=True)
+    days = store.stored_days(spark, path)
+    store.rewrite_days(spark, path, days[:6], lambda ev: ev)
+    files, root = store._folder(spark, path)
+    for day in days[3:6]:
+        listed = f"{store.DAY}={day}/{store.GEN}=1/{store.LISTED}"
+        files.delete(store._child(spark, root, listed), False)
+    return store.read_events(spark, path).select(*BRIEF_COLUMNS)
+
+
+# ================================================================ stored summaries (A)
+ODD_SINCE = "2024-01-10 07:40:00"
+
+
+def _counted(spark, sf, since):
+    return rollup.slots(spark, tables.summarised(spark, sf), since)
+
+
+@register(
+    "a4_rollup",
+    f"SELECT event_type, count(*) AS count FROM ev WHERE received_at >= {ts(ODD_SINCE)} GROUP BY 1",
+    "ev",
+)
+def _(spark, sf):
+    return rollup.type_counts(_counted(spark, sf, ODD_SINCE))
+
+
+@register_again("a5_rollup", "a5_overview")
+def _(spark, sf):
+    return rollup.overview(_counted(spark, sf, SINCE_30D))
+
+
+@register(
+    "a6_rollup",
+    "SELECT time_bucket(INTERVAL '15' MINUTE, received_at) AS ts, "
+    f"{_TYPE_COUNTS}, count(*) AS total FROM ev WHERE received_at >= {ts(ODD_SINCE)} GROUP BY 1",
+    "ev",
+)
+def _(spark, sf):
+    return rollup.timeline(_counted(spark, sf, ODD_SINCE), "15m")
+
+
+@register_again("a7_rollup", "a7_timeline_firewall")
+def _(spark, sf):
+    return rollup.timeline_firewall(_counted(spark, sf, SINCE_30D), "1d")
+
+
+@register("a8_rollup", _ranking_sql("src", _TALK, f"received_at >= {ts(ODD_SINCE)}", 10), "ev")
+def _(spark, sf):
+    return rollup.top(spark, tables.summarised(spark, sf), rollup.TALKERS["src"], ODD_SINCE)
+
+
+@register_again("a9_rollup", "a9_top_blocked")
+def _(spark, sf):
+    return rollup.top(spark, tables.summarised(spark, sf), rollup.BLOCKED["src"], SINCE_30D, 50, True)
+
+
+@register_again("a10_rollup", "a10_top_ports")
+def _(spark, sf):
+    return rollup.top(spark, tables.summarised(spark, sf), rollup.PORTS, SINCE_30D)
+
+
+@register_again("a12_rollup", "a12_top_threats")
+def _(spark, sf):
+    return rollup.top(spark, tables.summarised(spark, sf), rollup.THREATS, SINCE_30D)
+
+
+@register_again("a15_rollup", "a15_period_summary")
+def _(spark, sf):
+    return rollup.period_summary(spark, tables.summarised(spark, sf), SINCE_30D)
+
+
 # ================================================================ maintenance (M)
 @register(
     "m1_retention",
@@ -1448,3 +1547,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return stats.status_summary(tables.events(spark, sf), "2024-01-30 15:00:00")
+
+
+@register_again("m2_rollup", "m2_status")
+def _(spark, sf):
+    return rollup.status_summary(_counted(spark, sf, None), "2024-01-30 15:00:00")

@@ -9,18 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlantern.functions.times import instant
+from netlantern.functions.times import instant, parse_instant
 from netlantern.operators.enrich import (
     enrich_events,
     pending_ips,
     resolve_intel,
     upsert_intel,
 )
+from netlantern.operators import rollup
 from netlantern.operators.parse import parse_syslog
 from netlantern.plans.barrier import filters_stay_above
 from netlantern.plans.sizing import configure, fresh_path
 from netlantern.schema import INTEL_SCHEMA
-from netlantern.sources.store import append_events, read_events, with_raw
+from netlantern.sources.store import append_events, compact_day, read_events, with_raw
 from workload import shapes
 from workload.shapes import HOT_USER, ext_ip, lan_ip, text
 
@@ -29,6 +30,8 @@ SINCE_30D = "2024-01-01 00:00:00"
 SINCE_7D = "2024-01-24 00:00:00"
 # Events received before this have been backfilled with intelligence; later ones not yet.
 BACKFILLED_UNTIL = "2024-01-25 00:00:00"
+# Days before this are summarised before the rest arrives.
+SUMMARISED_UNTIL = "2024-01-27 00:00:00"
 
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 TWO_LETTERS = (
@@ -222,6 +225,20 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return read_events(spark, written(spark, sf, "events", write))
 
 
+def summarised(spark: SparkSession, sf: str) -> str:
+    """Path of the same table with summaries of all but its last days, one of them compacted since."""
+
+    def write(path: str) -> None:
+        stored = events(spark, sf)
+        early = F.col("received_at") < instant(SUMMARISED_UNTIL)
+        append_events(stored.filter(early), path, bulk=True)
+        rollup.refresh_all(spark, path)
+        append_events(stored.filter(~early), path, bulk=True)
+        compact_day(spark, path, parse_instant("2024-01-12").date())
+
+    return written(spark, sf, "summarised", write)
+
+
 def arrivals(spark: SparkSession, sf: str) -> str:
     """Folder of the rendered log in several slices of time, as a stream would find it."""
 
