@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from netlantern.functions import net
 from netlantern.functions.times import instant, parse_instant
-from netlantern.operators.events import exclude_private, geo_present, latest
+from netlantern.operators.events import exclude_private, geo_present, latest, since_filter
 from netlantern.operators.stats import RECENT_GEO_COLUMNS, RECENT_GEO_LIMIT
-from netlantern.plans.sizing import broadcast_if_small, is_small
+from netlantern.plans.sizing import broadcast_if_small, checkpointed, is_small
 from netlantern.plans.skew import lookup
 from netlantern.plans.topk import newest_per_key, row_limit, top_k_per
 from netlantern.schema import ENRICHABLE_TYPES, INTEL_FACTS, INTEL_SCHEMA
@@ -148,23 +148,36 @@ def recent_geo(ev: DataFrame, intel: DataFrame, limit: int | None = None) -> Dat
     """Newest events with a located end, coordinates taken from the intelligence table.
 
     Which events those are needs no facts: the newest with a known source, a known destination or
-    coordinates of their own are found first, and facts are attached to these few.
+    coordinates of their own are found first, from their ids, times and addresses alone. Whole events are
+    then read of the time since the oldest of these few, and facts are attached to them.
     """
     rows = row_limit(limit, RECENT_GEO_LIMIT)
     located = intel.filter(
         ~F.coalesce("is_private", F.lit(False)) & F.col("geo_lat").isNotNull()
     ).select("ip", *INTEL_FACTS)
-    found = [latest(geo_present(ev), rows)]
+    place = ["id", "received_at"]
+    found = latest(geo_present(ev).select(*place), rows)
     for side in SIDES:
         ips = located.select(F.col("ip").alias(f"{side}_ip"))
-        found.append(latest(ev.join(ips, f"{side}_ip", "left_semi").select(*ev.columns), rows))
-    out = found[0].unionByName(found[1]).unionByName(found[2]).dropDuplicates(["id"])
+        ends = ev.select(*place, f"{side}_ip").join(ips, f"{side}_ip", "left_semi")
+        found = found.unionByName(latest(ends.select(*place), rows))
+    few = checkpointed(found.distinct())  # at most three rows for each one asked for
+    oldest = few.agg(F.min("received_at")).first()[0]
+    if oldest is None:
+        return _with_facts(ev.limit(0), located, rows)
+    out = since_filter(ev, oldest.astimezone(dt.timezone.utc))
+    out = out.join(F.broadcast(few), place, "left_semi").select(*ev.columns)
+    return _with_facts(out.dropDuplicates(["id"]), located, rows)
+
+
+def _with_facts(few: DataFrame, located: DataFrame, rows: int) -> DataFrame:
+    """The newest located of a few events."""
     # At most six addresses for each row asked for.
-    ips = out.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
-    few = located.join(F.broadcast(ips), "ip", "left_semi")
+    ips = few.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+    facts = located.join(F.broadcast(ips), "ip", "left_semi")
     for side in SIDES:
-        out = _with_side(out, few, side, F.lit(True), True)
-    return latest(geo_present(out).select(*RECENT_GEO_COLUMNS), rows)
+        few = _with_side(few, facts, side, F.lit(True), True)
+    return latest(geo_present(few).select(*RECENT_GEO_COLUMNS), rows)
 
 
 # ---------------------------------------------------------------- lookup tables
@@ -299,7 +312,8 @@ def resolve_intel(
     The feed's score replaces the old one; the host is the first PTR name when that source is
     used. Private addresses come out as rows marked private.
     """
-    ips = pending.select("ip").distinct()
+    # Several lookups and the result need it, and finding it reads the log.
+    ips = checkpointed(pending.select("ip").distinct())
     known = fresh_intel(intel, as_of, ttl).select("ip", F.struct(*INTEL_FACTS).alias("_old"))
     rows = ips.join(known, "ip", "left")
 

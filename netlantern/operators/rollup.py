@@ -1,7 +1,8 @@
 """Dashboard answers from stored summaries: same rows as the operators over the whole log.
 
-Counts come from slots of five minutes by type and action (A1, A3-A7, M2), rankings from lists of counts by
-day folder (A8-A10, A12), and distinct addresses from bitmaps that merge (A15).
+Counts come from slots of five minutes by type and action (A1, A3-A7, M2, deep pages), rankings from lists of counts by
+day folder (A8-A10, A12), distinct addresses from bitmaps that merge (A15), and the days of an address from
+lists of those seen.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from netlantern.functions import net
-from netlantern.functions.times import bucket, instant
+from netlantern.functions.times import bucket, instant, utc_day
 from netlantern.operators import stats
 from netlantern.operators.events import exclude_private as drop_private
 from netlantern.plans.sizing import broadcast_if_small
 from netlantern.plans.topk import row_limit, top_k
 from netlantern.schema import TIMELINE_TYPES
+from netlantern.sources.store import DAY, read_events
 from netlantern.sources.summaries import Kind, partials, refresh
 
 Moment = dt.datetime | str
@@ -275,8 +277,78 @@ def period_summary(spark: SparkSession, path: str, since: Moment | None = None)
     )
 
 
+# ---------------------------------------------------------------- deep pages
+def page_at(
+    spark: SparkSession,
+    path: str,
+    limit: int,
+    offset: int,
+    event_type: str | None = None,
+    action: str | None = None,
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the log, newest first (O3), without sorting those before.
+
+    Slots say how many events each time holds, so only the slots that the page lies in are read. Their
+    counts come to the driver for whole days, and then for the slots of the days that the page is in.
+    """
+    wanted = F.lit(True)
+    if event_type:
+        wanted = wanted & (F.col("event_type") == event_type)
+    if action:
+        wanted = wanted & (F.col("action") == action)
+    counted = slots(spark, path).filter(wanted)
+    days = counted.groupBy(utc_day(F.col("slot")).alias("at")).agg(F.sum("count").alias("n"))
+    before, some = _within(days.collect(), offset, limit)
+    if not some:
+        return read_events(spark, path).limit(0)
+    own = counted.filter(utc_day(F.col("slot")).isin(some))
+    micros = F.unix_micros("slot").alias("at")
+    more, found = _within(own.groupBy(micros).agg(F.sum("count").alias("n")).collect(), offset - before, limit)
+    first, last = F.timestamp_micros(F.lit(min(found))), F.timestamp_micros(F.lit(max(found)))
+    at = F.col("received_at")
+    rows = read_events(spark, path).filter(F.col("event_date").isin(some) & wanted)
+    rows = rows.filter((at >= first) & (at < last + F.expr("INTERVAL 5 MINUTES")))
+    return rows.orderBy(F.desc("received_at"), F.desc("id")).offset(offset - before - more).limit(limit)
+
+
+def _within(counts: list[Row], offset: int, limit: int) -> tuple[int, list]:
+    """(rows before, newest first) of the times that rows ``offset`` to ``offset + limit`` lie in."""
+    before, seen, found = 0, 0, []
+    for row in sorted(counts, key=lambda r: r.at, reverse=True):
+        if seen + row.n <= offset:
+            before += row.n
+        elif seen < offset + limit:
+            found.append(row.at)
+        seen += row.n
+    return before, found
+
+
+# ---------------------------------------------------------------- days of an address
+ADDRESSES = ("src_ip", "dst_ip", "client_mac", "wifi_client_mac", "dhcp_mac", "mac_src", "mac_dst")
+
+
+def _seen(rows: DataFrame, folder: list[str]) -> DataFrame:
+    names = F.explode(F.array_distinct(F.array_compact(F.array(*ADDRESSES)))).alias("address")
+    return rows.select(*folder, names).distinct()
+
+
+SEEN = Kind("seen", _seen)
+
+
+def days_of(spark: SparkSession, path: str, addresses: DataFrame) -> list[dt.date]:
+    """The days on which any of ``addresses(address)``, an IP or a MAC, occurs."""
+    found = partials(spark, path, SEEN).select(DAY, "address")
+    found = found.join(broadcast_if_small(addresses.select("address").distinct()), "address", "left_semi")
+    return sorted(r[DAY] for r in found.select(DAY).distinct().collect())
+
+
+def events_of(spark: SparkSession, path: str, addresses: DataFrame) -> DataFrame:
+    """The stored events of the days on which any of the addresses occurs; other days aren't read."""
+    return read_events(spark, path).filter(F.col(DAY).isin(days_of(spark, path, addresses)))
+
+
 KINDS = (
-    SLOTS, HOSTS, PORTS.kind, THREATS.kind,
+    SLOTS, HOSTS, SEEN, PORTS.kind, THREATS.kind,
     *(r.kind for r in TALKERS.values()), *(r.kind for r in BLOCKED.values()),
 )
 

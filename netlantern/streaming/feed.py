@@ -86,6 +86,59 @@ def stream_timeline(ev: DataFrame, bucket: str, delay: str) -> DataFrame:
     )
 
 
+def start_timeline(
+    ev: DataFrame, bucket: str, delay: str, path: str, checkpoint: str, every: str | None = COUNTS_EVERY
+) -> StreamingQuery:
+    """Timeline of a stream with rows that come too late set apart (T4).
+
+    A batch's rows are late when they are older than the newest event of the batches before by more than
+    ``delay``. Counts of the others are added to their buckets, and late rows are kept as they are, so none
+    is lost: read both with :func:`read_timeline` and :func:`read_late`. A bucket that ends before that
+    limit is closed. Each batch writes folders of its own, which a repeated batch replaces, and one row with
+    the newest event time so far.
+    """
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = F.lit(_newest_before(spark, path, epoch)).cast("timestamp")
+        batch = checkpointed(batch)
+        newest = batch.agg(F.greatest(F.max("received_at"), before).alias("newest"))
+        limit = before - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col("received_at") < limit, F.lit(False))
+        counts = timeline_counts(batch.filter(~late), bucket)
+        counts.write.mode("overwrite").parquet(f"{path}/counts/version={epoch}")
+        batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/version={epoch}")
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/newest/version={epoch}")
+
+    writer = ev.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return _start(writer, every)
+
+
+def timeline_counts(ev: DataFrame, bucket: str) -> DataFrame:
+    return ev.groupBy(F.window("received_at", bucket_width(bucket)).getField("start").alias("ts")).agg(
+        *[F.count_if(is_type(t)).alias(t) for t in TIMELINE_TYPES], F.count("*").alias("total")
+    )
+
+
+def _newest_before(spark: SparkSession, path: str, epoch: int) -> dt.datetime | None:
+    """The newest event time of the batches before this one, as the last of them left it."""
+    if not epoch:
+        return None
+    schema = "newest TIMESTAMP"
+    return spark.read.schema(schema).parquet(f"{path}/newest/version={epoch - 1}").first().newest
+
+
+def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """Counts by bucket of all rows that came in time."""
+    rows = spark.read.parquet(f"{path}/counts")
+    return rows.groupBy("ts").agg(*[F.sum(c).alias(c) for c in (*TIMELINE_TYPES, "total")])
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that came too late, with the batch in which they did."""
+    return spark.read.parquet(f"{path}/late")
+
+
 def start_table(
     result: DataFrame, path: str, checkpoint: str, mode: str, every: str | None
 ) -> StreamingQuery:
@@ -215,7 +268,7 @@ def enrich_batch(
     """
     spark = batch.sparkSession
     known = read_intel(spark, intel_path, before=epoch)
-    pending = checkpointed(pending_ips(batch, known, as_of))
+    pending = pending_ips(batch, known, as_of)
     append_intel(resolve_intel(pending, known, as_of, **sources), intel_path, epoch)
     return read_intel(spark, intel_path, before=epoch + 1)
 

@@ -104,3 +104,33 @@ def test_odd_addresses_count_as_written(spark, make_events, tmp_path):
     (got,) = rollup.period_summary(spark, path, T0).collect()
     assert (got.enriched, got.flagged, got.highThreat, got.countries) == (8, 8, 8, 1)
     assert summaries.partials(spark, path, rollup.HOSTS).filter(F.col("bits").isNotNull()).count() > 0
+
+
+@pytest.mark.parametrize("asked", [dict(), dict(event_type="firewall", action="block")])
+def test_deep_pages_read_their_slots_only(spark, make_events, tmp_path, asked):
+    path, ev = str(tmp_path / "e"), _log(make_events, 300)
+    store.append_events(ev, path, bulk=True)
+    rollup.refresh_all(spark, path)
+    every = [r for r in store.read_events(spark, path).collect()
+             if all(r[k] == v for k, v in asked.items())]
+    every.sort(key=lambda r: (r.received_at, r.id), reverse=True)
+    for offset in (0, 7, len(every) - 5, len(every) + 3):
+        page = rollup.page_at(spark, path, 10, offset, **asked)
+        assert [r.id for r in page.collect()] == [r.id for r in every[offset : offset + 10]]
+    page = rollup.page_at(spark, path, 5, len(every) // 2, **asked)
+    (scan,) = re.findall(r"FileScan parquet.*", page._jdf.queryExecution().executedPlan().toString())
+    assert "event_date" in scan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_days_of_an_address(spark, make_events, tmp_path):
+    path = str(tmp_path / "e")
+    rows = [dict(minute=1440 * d, src_ip=f"198.51.100.{d}", mac_src=f"02:00:00:00:00:0{d % 3}") for d in range(6)]
+    store.append_events(make_events(rows), path, bulk=True)
+    rollup.refresh_all(spark, path)
+    of = lambda *names: rollup.days_of(
+        spark, path, spark.createDataFrame([(n,) for n in names], "address string")
+    )
+    first = T0.date()
+    day = lambda n: first + dt.timedelta(days=n)
+    assert of("198.51.100.2") == [day(2)] and of("no") == [] == of(None)
+    assert of("02:00:00:00:00:01", "198.51.100.0") == [day(0), day(1), day(4)]

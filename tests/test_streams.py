@@ -62,3 +62,22 @@ def test_text_lines(spark, tmp_path):
     rows = read_events(spark, str(tmp_path / "e")).collect()
     assert [(r.hostname, r.message, r.severity) for r in rows] == [("h", "b", 5)] * 2
     assert rows[0].received_at is not None and len({r.id for r in rows}) == 2
+
+
+def test_late_rows_are_set_apart(spark, make_events, tmp_path):
+    """Counts and late rows together are the log; a batch that is repeated changes nothing."""
+    rows = [dict(minute=m) for m in range(0, 600, 5)]
+    ev = make_events(rows).select("id", "received_at", "event_type")
+    src = tmp_path / "in"
+    for k, some in enumerate(("id < 60 AND id % 10 > 0", "id >= 60", "id < 60 AND id % 10 = 0")):
+        ev.filter(some).coalesce(1).write.mode("append").parquet(f"{src}/part={k}")
+    stream = spark.readStream.schema("id LONG, received_at TIMESTAMP, event_type STRING, part INT")
+    stream = stream.option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = str(tmp_path / "out")
+    for state in ("c1", "c2"):  # the second run repeats all batches over what the first one wrote
+        feed.start_timeline(stream, "1h", "4 hours", out, str(tmp_path / state), None).awaitTermination()
+        late = sorted(r.id for r in feed.read_late(spark, out).collect())
+        # The newest event of the first two batches is that of minute 595.
+        assert late == [i for i in range(0, 60, 10) if i * 5 < 595 - 240]
+        counted = feed.read_timeline(spark, out).agg({"total": "sum"}).first()[0]
+        assert counted + len(late) == len(rows)

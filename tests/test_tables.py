@@ -481,3 +481,12 @@ def test_short_target_lists_reach_the_scan(spark, tmp_path):
     assert row["count"] == ev.filter("src_ip = '198.51.100.3' AND received_at >= '2024-01-05'").count()
     none = hunt.dossier_facts(ev, targets.filter("target = 'x'"), ("total",))
     assert none.count() == 0
+
+
+def test_row_limits_have_a_default_and_a_maximum():
+    from netlantern.plans.topk import row_limit
+
+    assert [row_limit(x, 10) for x in (None, "", 3, "7")] == [10, 10, 3, 7]
+    assert row_limit(500, 10, 500) == 500 and row_limit(None, 10, 500) == 10
+    with pytest.raises(ValueError, match="at most 500"):
+        row_limit(501, 10, 500)

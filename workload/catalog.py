@@ -197,6 +197,25 @@ def _(spark, sf):
     return spark.read.parquet(path).select("seq", "sub_id", "id")
 
 
+@register(
+    "s8_batches",
+    f"SELECT count(*) AS rows, 1 AS first, count(*) AS last, count(*) AS numbers FROM ({FEED}) AS f",
+    "parsed",
+)
+def _(spark, sf):
+    """The feed over several batches: its numbers have no gap and none comes twice."""
+    path, state = fresh_path(spark, "feed"), fresh_path(spark, "state")
+    options = {"path": tables.arrivals(spark, sf), "maxFilesPerTrigger": "6"}
+    stream = feed.parsed_stream(lines.stream_lines(spark, "parquet", options))
+    feed.live_feed(stream, tables.subscriptions(spark), path, state, every=None).awaitTermination()
+    return spark.read.parquet(path).agg(
+        F.count("*").alias("rows"),
+        F.min("seq").cast("int").alias("first"),
+        F.max("seq").alias("last"),
+        F.count_distinct("seq").alias("numbers"),
+    )
+
+
 # ================================================================ parse job (P)
 @register("p1_header", "SELECT * FROM header", "header")
 def _(spark, sf):
@@ -332,6 +351,12 @@ _filter_query(
     "OR contains(lower(coalesce(hostname, '')), 'ads.')",
     search="ADS.",
 )
+_filter_query(
+    "f11_search_found",
+    " OR ".join(f"contains(lower(coalesce({c}, '')), 'ethernet3')"
+                for c in ("message", "src_ip", "dst_ip", "dns_name", "hostname")),
+    search="Ethernet3",
+)
 _filter_query(
     "f_combined",
     f"event_type = 'firewall' AND action = 'block' AND dst_port = 22 AND {SINCE7}",
@@ -1373,6 +1398,34 @@ def _(spark, sf):
     return feed.read_intel(spark, path)
 
 
+LATE = "id % 50 = 7 AND received_at < TIMESTAMP '2024-01-09 00:00:00'"
+
+
+@register(
+    "t4_late",
+    "WITH m AS (SELECT max(received_at) AS newest FROM parsed WHERE received_at < "
+    f"TIMESTAMP '2024-01-23 00:00:00' AND NOT ({LATE})) "
+    f"SELECT time_bucket(INTERVAL '1' HOUR, received_at) AS ts, "
+    f"count(*) FILTER (NOT ({LATE} AND received_at < newest - INTERVAL '2' DAY)) AS in_time, "
+    f"count(*) FILTER ({LATE} AND received_at < newest - INTERVAL '2' DAY) AS late "
+    "FROM parsed, m GROUP BY 1",
+    "parsed",
+)
+def _(spark, sf):
+    """Slices of time arrive in order, but a few rows of the first come with the last one."""
+    path, state = fresh_path(spark, "late"), fresh_path(spark, "state")
+    stream = lines.stream_lines(
+        spark, "parquet", {"path": tables.arrivals_with_late(spark, sf, LATE), "maxFilesPerTrigger": "1"}
+    )
+    feed.start_timeline(
+        feed.parsed_stream(stream), "1h", "2 days", path, state, every=None
+    ).awaitTermination()
+    came = feed.read_timeline(spark, path).select("ts", F.col("total").alias("in_time"))
+    late = feed.timeline_counts(feed.read_late(spark, path), "1h").select("ts", F.col("total").alias("late"))
+    joined = came.join(late, "ts", "full")
+    return joined.select("ts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_time", "late")])
+
+
 @register("t1_replayed", f"SELECT {', '.join(_PARSED)} FROM parsed", "parsed")
 def _(spark, sf):
     """A stream's batches come again from its start after days were compacted; nothing is added twice."""
@@ -1549,6 +1602,33 @@ def _(spark, sf):
     return stats.status_summary(tables.events(spark, sf), "2024-01-30 15:00:00")
 
 
+@register(
+    "o3_deep_page",
+    "SELECT id, received_at, event_type, message FROM ev ORDER BY received_at DESC, id DESC LIMIT 50 OFFSET 900",
+    "ev",
+)
+def _(spark, sf):
+    return rollup.page_at(spark, tables.summarised(spark, sf), 50, 900).select(
+        "id", "received_at", "event_type", "message"
+    )
+
+
+@register(
+    "f5_days_of",
+    f"SELECT {BRIEF} FROM ev WHERE src_ip IN (SELECT target FROM targets) "
+    "OR dst_ip IN (SELECT target FROM targets)",
+    "targets", "ev",
+)
+def _(spark, sf):
+    """Events of the targets, from the days on which they occur."""
+    targets = tables.lookup_table(spark, sf, "targets").select(F.col("target").alias("address"))
+    path = tables.summarised(spark, sf)
+    wanted = [r.address for r in targets.collect()]  # six
+    ev = rollup.events_of(spark, path, targets)
+    found = ev.filter(F.col("src_ip").isin(wanted) | F.col("dst_ip").isin(wanted))
+    return found.select(*BRIEF_COLUMNS)
+
+
 @register_again("m2_rollup", "m2_status")
 def _(spark, sf):
     return rollup.status_summary(_counted(spark, sf, None), "2024-01-30 15:00:00")

@@ -249,3 +249,17 @@ def arrivals(spark: SparkSession, sf: str) -> str:
             rendered.filter((day > start) & (day <= end)).write.mode("append").parquet(path)
 
     return written(spark, sf, "arrivals", write)
+
+
+def arrivals_with_late(spark: SparkSession, sf: str, late: str) -> str:
+    """The same with one file for each slice, and ``late`` rows in the last of them."""
+
+    def write(path: str) -> None:
+        rendered = lines(spark, sf)
+        for start, end in ((0, 8), (8, 15), (15, 22), (22, 40)):
+            day = F.dayofmonth("received_at")
+            own = (day > start) & (day <= end) & ~F.expr(late)
+            slice_ = rendered.filter(own | F.expr(late) if end == 40 else own)
+            slice_.coalesce(1).write.mode("append").parquet(path)
+
+    return written(spark, sf, "arrivals-late", write)
