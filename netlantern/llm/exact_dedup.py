@@ -1,8 +1,9 @@
 """Exact duplicates, with frequent digests split off.
 
 A Misra-Gries summary of each task finds every digest that may hold more than ``SHARE`` of the
-rows; there are at most ``1 / SHARE`` of those. Their winners are counted exactly and broadcast, so
-their rows never move. All other digests are grouped by an ordinary shuffle.
+rows; there are at most ``1 / SHARE`` of those. Each task passes on one partial winner of such a digest,
+the verified winners are broadcast, and where rows are dropped those of the losers are dropped in place:
+rows of frequent digests never move. All other digests are grouped by an ordinary shuffle.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlantern.llm.common import row_hash, rows_kept, text_or_empty, written
+from netlantern.llm.common import new_name, row_hash, rows_kept, text_or_empty, written
 
 #: Every digest with more than this share of the rows is split off.
 SHARE = 1 / 256
@@ -23,19 +24,21 @@ COUNTERS = 1024
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def text_digest() -> Column:
+    return F.unhex(F.sha2(F.translate(text_or_empty(), WHITE, ""), 256))
+
+
 def digested(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, points, h`` of every row, as a written table.
 
     The digest is the SHA-256 of the text without ASCII white space; points are the code points of
     the text as it is. A null text counts as empty.
     """
-    text = text_or_empty()
-    bare = F.translate(text, WHITE, "")
     return written(
         docs.select(
             "doc_id",
-            F.unhex(F.sha2(bare, 256)).alias("digest"),
-            F.length(text).alias("points"),
+            text_digest().alias("digest"),
+            F.length(text_or_empty()).alias("points"),
             row_hash().alias("h"),
         ),
         "digests",
@@ -87,13 +90,29 @@ def winners(rows: DataFrame) -> DataFrame:
     )
 
 
+def frequent_winners(rows: DataFrame) -> DataFrame:
+    """The same for frequent digests, written. Each task passes on one row of a digest and its count."""
+    least = F.min(F.struct((-F.col("points")).alias("p"), F.isnull("doc_id").alias("no_id"), "doc_id", "h"))
+    groups = rows.groupBy("digest").agg(least.alias("best"), F.count("*").alias("group_size"))
+    best = groups.select(
+        "digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.h").alias("keep_h")
+    )
+    best = written(best, "winners")
+    repeats = rows.join(F.broadcast(best), "digest").filter(stays()).groupBy("digest")
+    copies = repeats.agg(F.count("*").alias("copies"))
+    return written(best.join(copies, "digest"), "winners")
+
+
+def stays() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))
+
+
 def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows of frequent digests, their winners, other rows, their winners)."""
     hot = written(frequent(rows), "frequent")
     common = rows.join(F.broadcast(hot), "digest", "left_semi")
-    verified = written(winners(common), "winners")
     rest = rows.join(F.broadcast(hot), "digest", "left_anti")
-    return common, verified, rest, winners(rest)
+    return common, frequent_winners(common), rest, winners(rest)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -110,9 +129,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))).alias(
-            "kept"
-        ),
+        stays().alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -126,4 +143,19 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     keepers = verified.unionByName(others).select(
         F.col("keep_id").alias("doc_id"), F.col("keep_h").alias("h"), "copies"
     )
-    return rows_kept(docs, written(keepers, "keepers"))
+    return rows_kept(without_losers(docs, verified), written(keepers, "keepers"))
+
+
+def without_losers(docs: DataFrame, verified: DataFrame) -> DataFrame:
+    """``docs`` without the rows that lose to one of the ``verified`` winners, which are broadcast."""
+    if verified.isEmpty():
+        return docs
+    names = [new_name(docs, c) for c in ("_digest", "_keep_id", "_keep_h")]
+    best = verified.select(*[F.col(c).alias(n) for c, n in zip(("digest", "keep_id", "keep_h"), names)])
+    digest, keep_id, keep_h = (F.col(n) for n in names)
+    best = best.withColumnRenamed(names[0], f"{names[0]}_of")
+    found = docs.withColumn(names[0], text_digest()).join(
+        F.broadcast(best), digest == F.col(f"{names[0]}_of"), "left"
+    )
+    wins = docs["doc_id"].eqNullSafe(keep_id) & (row_hash() == keep_h)
+    return found.filter(F.col(f"{names[0]}_of").isNull() | wins).select(*[docs[c] for c in docs.columns])

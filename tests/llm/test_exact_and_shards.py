@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from netlantern.llm import exact_dedup, sharding
 from tests.llm.conftest import EXTRA, ODD
@@ -50,6 +51,38 @@ def test_frequent_digests_take_the_same_answer(llm, docs_of):
     assert got[1149] == (1149, 2, True) and got[1299] == (1149, 2, False)
 
 
+def test_a_frequent_digest_sends_one_row_a_task(llm, docs_of):
+    """Of a text in a third of the rows, no more partial winners are shuffled than there are tasks."""
+    rows = [(i, "hot " if i % 3 else " hot") for i in range(400)] + [(1000 + i, f"t{i}") for i in range(200)]
+    dealt = exact_dedup.written(docs_of(rows).repartition(5), "dealt")
+    common = exact_dedup.written(
+        exact_dedup.digested(dealt).filter(F.hex("digest") == hashlib.sha256(b"hot").hexdigest().upper()),
+        "common",
+    )
+    (best,) = exact_dedup.frequent_winners(common).collect()
+    assert (best.keep_id, best.group_size, best.copies) == (0, 400, 1)
+    plan = common.groupBy("digest").agg(F.min(F.struct("points", "doc_id")))
+    lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
+    exchange = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert any("partial_min" in line for line in lines[exchange:])
+    kept = exact_dedup.drop_copies(dealt).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(1000, 1200)]
+
+
+def test_losers_of_frequent_digests_go_before_the_shuffle(llm, docs_of):
+    """They are dropped by a broadcast join; what is left to shuffle holds one row of the digest."""
+    rows = [(i, " hot"[i % 2 :]) for i in range(300)] + [(None, "hot"), (0, " hot"), (500, "other"), (501, None)]
+    docs = docs_of(rows)
+    _, verified, _, _ = exact_dedup.grouped(exact_dedup.digested(docs))
+    left = exact_dedup.without_losers(docs, verified)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(
+        [(0, " hot"), (0, " hot"), (500, "other"), (501, None)], key=repr
+    )
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_misra_gries_bound():
     values = ["a"] * 300 + [f"x{i}" for i in range(2000)] + ["b"] * 200
     batches = [pd.DataFrame({"digest": values[i::7]}) for i in range(7)]
