@@ -2,18 +2,18 @@
 
 Pieces are dealt at random into groups of bounded size, and each group is packed by itself: best fit
 on falling lengths gives an incumbent, then bin completion looks for fewer sequences. A node fills the
-sequence of the largest piece left; its branches are the undominated fillings, fullest first; it is
-cut off when its waste already exceeds what one sequence fewer would allow. A group meets its lower
-bound almost always at once; where it doesn't, the search ends after ``NODES`` steps and the
-incumbent stands, so the result is whole in any case. Groups cost at most one sequence each.
+sequence of the largest piece left; its branches are the undominated fillings of any number of pieces,
+fullest first; it is cut off when its waste already exceeds what one sequence fewer would allow. A group
+meets its lower bound almost always at once; where it doesn't, the search ends after ``NODES`` steps and
+the incumbent stands, so the result is whole in any case. Groups cost at most one sequence each.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,10 +28,8 @@ from netlantern.llm.word_bpe import CACHED, word_codec
 
 CAPACITY = 4096
 GROUP = 8192
-NODES = 50_000
+NODES = 250_000
 END_ID = 1
-#: Pieces that a filling may hold beside its largest; longer fillings come from the incumbent.
-FILLERS = 6
 
 
 # --- one group ---------------------------------------------------------------------------------
@@ -55,51 +53,95 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def dominated(filling: tuple[int, ...], room: int, left: list[int]) -> bool:
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Martello and Toth's L2: pieces over half a sequence can't meet, and what lies beside them is full.
+
+    For each least length counted, large pieces have a sequence each, and the others of that length or
+    more need what room is left there and sequences of their own.
+    """
+    rising = sorted(lengths)
+    sums = [0]
+    for n in rising:
+        sums.append(sums[-1] + n)
+    half = bisect_right(rising, capacity // 2)
+    best = 0
+    for least in {0, *(n for n in rising[:half])}:
+        alone = bisect_right(rising, capacity - least)  # longer ones leave no room for the least
+        small = bisect_left(rising, least)
+        large = len(rising) - half
+        room = (alone - half) * capacity - (sums[alone] - sums[half]) if alone > half else 0
+        rest = sums[half] - sums[small] - room
+        best = max(best, large + max(0, -(-rest // capacity)))
+    return best
+
+
+def dominated(filling: tuple[int, ...], room: int, kinds: list[int], left: Counter) -> bool:
     """Whether a piece left out could stand in for part of the filling and waste less.
 
-    ``left`` holds the other lengths, rising. Such a filling needn't be tried: swapping the two gives
-    a packing no worse.
+    Such a filling needn't be tried: swapping the two gives a packing no worse. ``left`` counts the
+    lengths ``kinds`` that there are beside the largest piece.
     """
     slack = room - sum(filling)
     if not slack:
         return False
-    for n in range(len(filling) + 1):
-        for part in combinations(filling, n):
-            least = sum(part)
-            at = bisect_left(left, least + 1)
-            if at < len(left) and left[at] <= least + slack:
-                return True
+    parts = 1  # bit s: some part of the filling has the sum s
+    for n in filling:
+        parts |= parts << n
+    window = (1 << slack) - 1
+    for n in kinds:
+        near = parts >> (n - slack) if n > slack else parts << (slack - n)
+        if near & window and left[n] > filling.count(n):
+            return True
     return False
 
 
 def fillings(
-    largest: int, left: list[int], capacity: int, waste: int, budget: list[int]
+    largest: int, left: Counter, capacity: int, waste: int, budget: list[int]
 ) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings beside the largest piece that waste at most ``waste``, those with the
-    longest pieces first. ``left`` holds the lengths of the other pieces, rising; each step takes one
-    from ``budget[0]``, and none come when that is used up."""
-    room = capacity - largest
+    """Undominated fillings beside the largest piece that waste at most ``waste``, the fullest first and
+    of equal ones those with the longest pieces.
 
-    def grow(chosen: tuple[int, ...], free: int, upto: int) -> Iterator[tuple[int, ...]]:
-        # Choosing only lengths no larger than the last one names each filling once.
-        budget[0] -= 1
-        i = bisect_left(left, free + 1, 0, upto) - 1
-        if len(chosen) < FILLERS:
-            while i >= 0 and budget[0] > 0:
-                n = left[i]
-                yield from grow((*chosen, n), free - n, i)
-                i = bisect_left(left, n, 0, i) - 1
-                if i >= 0 and free > waste and left[i] * (FILLERS - len(chosen)) < free - waste:
-                    break
-        if free <= waste and budget[0] > 0:
-            others = left.copy()
-            for n in chosen:
-                del others[bisect_left(others, n)]
-            if not dominated(chosen, room, others):
-                yield chosen
-
-    yield from grow((), room, len(left))
+    ``left`` counts the lengths of the other pieces; any number of them may make a filling. Sums that the
+    shortest lengths can have are bits of whole numbers, so no step is taken that leads to none. Steps are
+    taken from ``budget[0]``, and none come when that is used up.
+    """
+    room = capacity - largest
+    kinds = sorted(n for n, c in left.items() if c > 0 and n <= room)
+    whole = (1 << (room + 1)) - 1
+    sums = [1]
+    for n in kinds:
+        bits, some, size = sums[-1], min(left[n], room // n), 1
+        while some > 0:
+            size = min(size, some)
+            bits |= (bits << (n * size)) & whole
+            some -= size
+            size *= 2
+        sums.append(bits)
+    budget[0] -= 1 + len(kinds) // 16
+
+    def grow(total: int, upto: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        # The longest length of the filling, then how many of it.
+        for i in range(min(upto, bisect_right(kinds, total)), 0, -1):
+            if budget[0] <= 0 or not (sums[i] >> total) & 1:
+                return
+            n = kinds[i - 1]
+            for some in range(min(left[n], total // n), 0, -1):
+                if (sums[i - 1] >> (total - some * n)) & 1:
+                    budget[0] -= 1
+                    for rest in grow(total - some * n, i - 1):
+                        yield (n,) * some + rest
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if (sums[-1] >> total) & 1:
+            for filling in grow(total, len(kinds)):
+                budget[0] -= len(kinds) // 16 if total < room else 0
+                if not dominated(filling, room, kinds, left):
+                    yield filling
+        if budget[0] <= 0:
+            return
 
 
 def fewest(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
@@ -109,12 +151,12 @@ def fewest(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) ->
     bound = -(-whole // capacity)
     if len(incumbent) <= max(bound, sum(2 * n > capacity for n in lengths)):
         return incumbent
+    bound = max(bound, lower_bound(lengths, capacity))
     budget = [nodes]
     while len(incumbent) > bound and budget[0] > 0:
         # Ask for one fewer: all of its waste is then spread over that many sequences.
         target = len(incumbent) - 1
-        spare = target * capacity - whole
-        best = _complete(sorted(lengths), capacity, target, spare, budget)
+        best = _complete(lengths, capacity, target, target * capacity - whole, budget)
         if best is None:
             break
         places: dict[int, list[int]] = {}
@@ -125,35 +167,45 @@ def fewest(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) ->
 
 
 def _complete(
-    left: list[int], capacity: int, target: int, spare: int, budget: list[int]
+    lengths: list[int], capacity: int, target: int, spare: int, budget: list[int]
 ) -> list[tuple[int, ...]] | None:
-    """At most ``target`` sequences, or None: depth first over fillings of the largest piece left."""
-    stack = []
-    lots: list[tuple[int, ...]] = []
+    """At most ``target`` sequences, or None: depth first over fillings of the largest piece left.
 
-    def open_node(left: list[int], spare: int) -> None:
-        rest = left[:-1]
-        stack.append((left[-1], rest, spare, fillings(left[-1], rest, capacity, spare, budget)))
+    A branch ends where the waste left for it isn't enough, and at the last sequence allowed.
+    """
+    left, many = Counter(lengths), len(lengths)
+    rising = sorted(lengths)
+    stack: list[tuple] = []
+    lots: list[tuple[int, ...]] = []
 
-    open_node(left, spare)
-    while stack and budget[0] > 0:
-        largest, rest, spare, branches = stack[-1]
-        filling = next(branches, None)
+    def open_node(at: int, spare: int) -> None:
+        """``at``: pieces from there on are used up or none is left of their length."""
+        while not left[rising[at]]:
+            at -= 1
+        largest = rising[at]
+        left[largest] -= 1
+        stack.append((at, largest, spare, fillings(largest, left, capacity, spare, budget)))
+
+    open_node(len(rising) - 1, spare)
+    while stack:
+        if len(lots) == len(stack):  # back from a branch
+            left.update(lots[-1][1:])
+            many += len(lots.pop())
+        at, largest, spare, branches = stack[-1]
+        filling = next(branches, None) if budget[0] > 0 else None
         if filling is None:
+            if budget[0] <= 0:
+                return None
             stack.pop()
-            if lots:
-                lots.pop()
+            left[largest] += 1
             continue
-        after = rest.copy()
-        for n in filling:
-            del after[bisect_left(after, n)]
+        left.subtract(filling)
         lots.append((largest, *filling))
-        if not after:
+        many -= len(lots[-1])
+        if not many:
             return lots
-        if len(lots) >= target:
-            lots.pop()
-            continue
-        open_node(after, spare - (capacity - largest - sum(filling)))
+        if len(lots) < target:
+            open_node(at, spare - (capacity - largest - sum(filling)))
     return None
 
 

@@ -186,3 +186,23 @@ def test_pack_documents(docs_of, group):
     joined = packing.sequences(got).collect()
     assert {r.sequence_id: len(r.ids) // 4 for r in joined} == lots
     assert packing.pack(docs_of([]), WORDS).count() == 0
+
+
+@pytest.mark.parametrize(
+    "low, high, n, gain", [(900, 1700, 600, 4), (330, 480, 2000, 4), (900, 1700, 3000, 20), (330, 480, 4000, 6)]
+)
+def test_search_beats_best_fit(low, high, n, gain):
+    """Sequences of four and of ten pieces: the search saves sequences that best fit leaves open."""
+    draw = random.Random(n)
+    lengths = [draw.randint(low, high) for _ in range(n)]
+    lots = packing.fewest(lengths)
+    assert sorted(i for lot in lots for i in lot) == list(range(n))
+    assert all(sum(lengths[i] for i in lot) <= packing.CAPACITY for lot in lots)
+    bound = packing.lower_bound(lengths, packing.CAPACITY)
+    assert bound <= len(lots) <= max(bound, len(packing.best_fit(lengths, packing.CAPACITY)) - gain)
+
+
+def test_lower_bound_counts_halves():
+    assert packing.lower_bound([60] * 7 + [30] * 4, 100) == 7
+    assert packing.lower_bound([60] * 7 + [45] * 4, 100) == 9
+    assert packing.lower_bound([50] * 5, 100) == 3 and packing.lower_bound([], 100) == 0
