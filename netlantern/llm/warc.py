@@ -41,6 +41,9 @@ LINES = 1000
 PART = 50_000
 ARCHIVE_BYTES = 256 << 20
 OPEN = 16
+#: Keys with more than one in so many of the rows are looked up apart; revisits of one response that a
+#: task gets at once.
+HOT_SHARE, AT_ONCE = 4096, 1000
 #: Payloads of at least this many bytes are written once.
 LEAST_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -54,12 +57,12 @@ def open_folder(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (arrow_fs.LocalFileSystem(), path)
 
 
-def url_key() -> Column:
+def url_key(name: str = "url") -> Column:
     """``com,example,blog)/path?query``: host reversed and lower-cased; no scheme, user or fragment.
 
     A port stays, behind the host. A null URL has the empty key.
     """
-    url = F.coalesce(F.col("url"), F.lit(""))
+    url = F.coalesce(F.col(name), F.lit(""))
     bare = F.regexp_replace(F.substring_index(url, "#", 1), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
     place = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*", 0), r"^.*@", "")
     rest = F.regexp_extract(bare, r"(?s)^[^/?]*(.*)$", 1)
@@ -89,7 +92,12 @@ def header_text(value: str) -> str:
 
 
 def make_record(
-    page_id: int | None, url: str | None, payload: bytes, digest: str, response: int | None
+    page_id: int | None,
+    url: str | None,
+    payload: bytes,
+    digest: str,
+    response: int | None,
+    response_url: str | None = None,
 ) -> bytes:
     """One record; a revisit of page ``response`` if that is given, which leaves out the payload."""
     http = (
@@ -113,6 +121,8 @@ def make_record(
             ("WARC-Refers-To", record_id(response, digest)),
             ("X-Refers-To-Page-Id", str(response)),
         ]
+        if response_url is not None:
+            headers.append(("WARC-Refers-To-Target-URI", header_value(response_url)))
     headers += [
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -130,6 +140,7 @@ class Record:
     payload_bytes: int
     payload: bytes | None
     refers_to: int | None
+    refers_to_url: str | None = None
 
 
 def _headers(lines: bytes) -> dict[str, str]:
@@ -153,7 +164,7 @@ def read_record(data: bytes) -> Record:
     if kind == "response" and (len(payload) != stated or digest_of(payload) != digest):
         raise ValueError("a payload doesn't fit its digest")
     number = {k: int(own[k]) if k in own else None for k in ("X-Page-Id", "X-Refers-To-Page-Id")}
-    url = own.get("WARC-Target-URI")
+    url, other = (own.get(k) for k in ("WARC-Target-URI", "WARC-Refers-To-Target-URI"))
     return Record(
         kind,
         number["X-Page-Id"],
@@ -162,6 +173,7 @@ def read_record(data: bytes) -> Record:
         stated,
         payload if kind == "response" else None,
         number["X-Refers-To-Page-Id"],
+        None if other is None else header_text(other),
     )
 
 
@@ -169,29 +181,43 @@ def read_record(data: bytes) -> Record:
 
 
 def decided(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """``page_id, url, key, html, digest, response``: the last is the page whose record has the
-    payload, null where it is the page's own.
+    """``page_id, url, key, html, digest, response, response_url``: the last two name the page whose
+    record has the payload, null where it is the page's own.
 
-    Only rows that revisit another are joined back, by page_id and digest: no key of that join is
-    frequent unless its rows repeat in full.
+    Digests of many pages are looked up from a broadcast of those few. Only rows that revisit another
+    are joined back, by page_id and digest: no key of that join is frequent unless its rows repeat in
+    full.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     digest = F.unhex(F.sha1(html.cast("binary")))
     narrow = written(
-        pages.select("page_id", digest.alias("digest")).filter(F.octet_length(html) >= least), "digests"
+        pages.select("page_id", "url", digest.alias("digest")).filter(F.octet_length(html) >= least), "digests"
     )
-    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    same = narrow.groupBy("page_id", "digest").agg(F.count("*").alias("_n"))
+    last = F.max(F.struct("page_id", "url")).alias("last")
+    groups = narrow.groupBy("digest").agg(last, F.count("*").alias("n")).filter("n > 1")
+    groups = groups.select(
+        "digest", "n", F.col("last.page_id").alias("response"), F.col("last.url").alias("response_url")
+    )
+    same = narrow.groupBy("page_id", "digest").agg(F.count("*").alias("_n")).drop("_n")
     revisits = (
-        same.join(groups.filter("n > 1"), "digest")
+        by_count(same, written(groups, "groups"), ["digest"])
         .filter(~F.col("page_id").eqNullSafe(F.col("response")) & F.col("response").isNotNull())
-        .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "response")
+        .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "response", "response_url")
     )
     rows = pages.select("page_id", "url", url_key().alias("key"), html.alias("html"), digest.alias("digest"))
     where = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
     return rows.join(written(revisits, "revisits"), where, "left").drop("_page", "_digest")
 
 
+def by_count(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """Rows joined with a written ``table`` that counts them in ``n``: keys with more than one in
+    ``HOT_SHARE`` of the counted rows, of which there are fewer than that, are looked up from a broadcast."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE > F.lit(total)
+    few, many = table.filter(hot).drop("n"), table.filter(~hot).drop("n")
+    return rows.join(F.broadcast(few), by).unionByName(rows.join(many, by))
+
+
 CAPTURE = T.StructType(
     [
         T.StructField("key", T.StringType()),
@@ -223,14 +249,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
         try:
             for batch in batches:
                 places = []
-                for key, page, url, html, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, page, url, html, digest, response, other in zip(
+                    *(c.to_pylist() for c in batch.columns)
+                ):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = files.open_output_stream(f"{path}/{name}", compression=None)
                     text = base64.b32encode(digest).decode()
-                    record = make_record(page, url, html, text, response)
+                    record = make_record(page, url, html, text, response, other)
                     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     data = packer.compress(record) + packer.flush()
                     out.write(data)
@@ -244,7 +272,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> D
     make_folder(folder)
     rows = decided(pages, least).select(
         "key", F.col("page_id").cast("long"), "url", F.col("html").cast("binary"), "digest",
-        F.col("response").cast("long"),
+        F.col("response").cast("long"), "response_url",
     )
     return written(rows.mapInArrow(write, CAPTURE), "captures")
 
@@ -376,6 +404,7 @@ FOUND = T.StructType(
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload", T.BinaryType()),
         T.StructField("refers_to", T.LongType()),
+        T.StructField("refers_to_url", T.StringType()),
     ]
 )
 ROUTED = T.StructType([T.StructField("part", T.IntegerType()), *CAPTURE.fields[:2]])
@@ -389,7 +418,7 @@ def read_captures(
     """The records that ``wanted(key, page_id)`` asks for, read back from the archives.
 
     With ``any_page`` only the key counts and every capture of it comes. A revisit has no payload but
-    the digest and length of the full one, and the page it refers to. What the index doesn't hold gives
+    the digest and length of the full one, and the page and URL it refers to: see :func:`Archive.follow`. What the index doesn't hold gives
     no row; a request that repeats gives its rows again, and so do captures written several times.
     The list of parts (one entry per ``PART`` captures) is all that each task gets.
     """
@@ -418,8 +447,9 @@ def read_captures(
                 for _, _, file, offset, length in part.find(key, page, any_page):
                     r = read_record(records.read(file, offset, length))
                     out.append(
-                        (key, r.page_id, r.url, r.kind, r.digest, r.payload_bytes, r.payload, r.refers_to)
-                    )
+                        (key, r.page_id, r.url, r.kind, r.digest, r.payload_bytes, r.payload, r.refers_to,
+                         r.refers_to_url)
+                    )
                     held += len(r.payload or b"")
                     if held >= HANDED:
                         yield batch_of(FOUND, out)
@@ -458,6 +488,42 @@ class Archive:
         """The records of ``wanted(key, page_id)``."""
         return read_captures(wanted, self.index, self.records, self.index_folder)
 
+    def follow(self, found: DataFrame) -> DataFrame:
+        """``found`` records, those of revisits with the payload they refer to.
+
+        A second lookup reads each response once, by its key and page, and :func:`read_record` has checked
+        its payload against its digest. A revisit whose response isn't there, or doesn't fit the digest and
+        length that the revisit states, is an error. A response that many revisits share goes out in
+        copies, each for ``AT_ONCE`` of them.
+        """
+        found = written(found, "found")
+        on = ["_key", "refers_to", "payload_digest"]
+        revisits = found.filter("record_type = 'revisit'").withColumn("_key", url_key("refers_to_url"))
+        counts = written(revisits.groupBy(*on).agg(F.count("*").alias("n")), "referred")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        hot = (F.col("n") > AT_ONCE) & (F.col("n") * HOT_SHARE > F.lit(total))
+        many = counts.filter(hot).select(*on, F.ceil(F.col("n") / AT_ONCE).cast("int").alias("_parts"))
+        many = F.broadcast(written(many, "many"))
+        parts = F.coalesce("_parts", F.lit(1))
+        asked = counts.select(F.col("_key").alias("key"), F.col("refers_to").alias("page_id")).distinct()
+        others = self.read(asked).filter("record_type = 'response'")
+        others = others.dropDuplicates(["key", "page_id", "payload_digest"]).select(
+            F.col("key").alias("_key"),
+            F.col("page_id").alias("refers_to"),
+            "payload_digest",
+            F.struct("payload", "payload_bytes").alias("_other"),
+        )
+        others = others.join(many, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        spread = revisits.join(many, on, "left").withColumn(
+            "_part", F.pmod(F.xxhash64("page_id", "url", "key"), parts).cast("int")
+        )
+        joined = spread.join(others.drop("_parts"), [*on, "_part"], "left")
+        fits = F.col("_other.payload_bytes") == F.col("payload_bytes")
+        wrong = F.raise_error(F.lit("a revisit's payload isn't there or doesn't fit its digest"))
+        payload = F.when(F.coalesce(fits, F.lit(False)), F.col("_other.payload")).otherwise(wrong.cast("binary"))
+        filled = joined.withColumn("payload", payload).select(*found.columns)
+        return found.filter("record_type <> 'revisit'").unionByName(filled)
+
 
 def archive(
     spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = LEAST_BYTES
@@ -474,9 +540,23 @@ def archive(
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write all pages, then look every capture up and read it back: one row per row of ``pages``."""
+    """Write all pages, then look every capture up and read it back: one row per row of ``pages``.
+
+    A revisit's digest and length are those of the payload it refers to, as that was read back.
+    """
     made = archive(spark, pages)
     wanted = made.captures.select("key", "page_id").distinct()
-    return made.read(wanted).select(
+    found = made.read(wanted).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+    found = written(found, "found")
+    own, others = (found.filter(f"record_type {sign} 'response'") for sign in ("=", "<>"))
+    counts = others.groupBy("payload_digest", "refers_to").agg(F.count("*").alias("n"))
+    held = own.select(
+        "payload_digest", F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("held")
+    ).distinct()
+    by = ["payload_digest", "refers_to"]
+    counts = written(counts.join(held, by, "left"), "referred")
+    missing = F.raise_error(F.lit("a revisit's payload isn't there or doesn't fit its length")).cast("long")
+    size = F.when(F.col("held") == F.col("payload_bytes"), F.col("held")).otherwise(missing)
+    return own.unionByName(by_count(others, counts, by).withColumn("payload_bytes", size).select(*own.columns))

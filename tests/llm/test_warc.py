@@ -94,3 +94,25 @@ def test_small_payloads_stay_responses(llm, pages):
     kinds = {r.page_id: r.record_type for r in got.read(wanted).collect()}
     assert kinds[1] == "revisit" and kinds[4] == kinds[5] == "response"
     assert kinds[2**62 + 1] == "response"
+
+
+@pytest.mark.parametrize("at_once, share", [(1000, 4096), (1, 4096), (1000, 0)])
+def test_revisits_are_followed_to_their_payload(llm, pages, monkeypatch, at_once, share):
+    """Every capture comes back with its payload, whoever's record holds it."""
+    monkeypatch.setattr(warc, "AT_ONCE", at_once)
+    monkeypatch.setattr(warc, "HOT_SHARE", share)
+    made = warc.archive(llm, pages)
+    found = made.read(made.captures.select("key", "page_id").distinct())
+    assert any(r.payload is None and r.refers_to_url for r in found.collect())
+    got = made.follow(found).collect()
+    data = sorted((repr(r.page_id), repr(r.url), bytes(r.payload).decode()) for r in got)
+    assert data == sorted((repr(i), repr(u), html or "") for i, u, html in PAGES)
+    assert all(warc.digest_of(bytes(r.payload)) == r.payload_digest for r in got)
+
+
+def test_a_revisit_without_its_response_is_an_error(llm, pages):
+    made = warc.archive(llm, pages)
+    urls = llm.createDataFrame([(PAGES[0][1],)], "url string")
+    found = made.lookup(urls).withColumn("payload_bytes", warc.F.col("payload_bytes") + 1)
+    with pytest.raises(Exception, match="payload"):
+        made.follow(found).collect()
