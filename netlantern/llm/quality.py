@@ -151,7 +151,7 @@ def with_quality(docs: DataFrame, model: QualityModel, name: str = "quality_scor
     """``docs`` with a score from 0 to 1, which depends on the whole text alone.
 
     A null text counts as empty, and that has a score like any other. Rows and other columns stay as
-    they are; ``name`` must be new.
+    they are, and rows that repeat get equal scores; an empty table stays empty; ``name`` must be new.
     """
 
     @F.pandas_udf(T.DoubleType())
@@ -164,7 +164,11 @@ def with_quality(docs: DataFrame, model: QualityModel, name: str = "quality_scor
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least the threshold, all columns as they are."""
+    """The rows of ``docs`` that score at least the threshold, all columns as they are.
+
+    A score equal to the threshold stays; of rows that repeat all stay or none. Without labels of both
+    kinds every score is one half, and all rows stay at the default threshold.
+    """
     name = new_name(docs, "quality_score")
     scored = with_quality(docs, fit(docs, labels), name)
     return scored.filter(F.col(name) >= threshold).select(*[docs[c] for c in docs.columns])

@@ -238,8 +238,13 @@ def drop_near_copies(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
 
 def first_of_classes(docs: DataFrame, prints: DataFrame, named: DataFrame) -> DataFrame:
-    """The first rows of ``docs`` by class, from ``prints(doc_id, h, fp)`` and ``named(fp, root)``."""
+    """The first rows of ``docs`` by class, from ``prints(doc_id, h, fp)`` and ``named(fp, root)``.
+
+    The first row of each fingerprint comes from partial aggregates, so that one with a third of the
+    rows joins its class as one row.
+    """
     rows = prints.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "h", "copies"))
-    keepers = rows.join(named, "fp").groupBy("root").agg(first.alias("row")).select("row.*")
+    each = rows.groupBy("fp").agg(first.alias("row")).join(named, "fp")
+    keepers = each.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     return rows_kept(docs, written(keepers.drop("no_id"), "keepers"))

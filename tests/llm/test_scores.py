@@ -114,3 +114,49 @@ def test_sample(llm, docs_of):
     got = {r.doc_id for r in labelled_sample(docs_of(rows), marks, "toxic", 100).collect()}
     assert got == {i for i in range(50) if not held_out(i)} - {3, 5}
     assert labelled_sample(docs_of(rows), marks, "toxic", 7).count() == 7
+
+
+def test_bradley_terry_against_a_plain_optimiser():
+    """Newton's weights have the least loss: small steps downhill from elsewhere come to the same."""
+    rng = np.random.default_rng(4)
+    better, worse = rng.normal(0.3, 1, (400, 5)), rng.normal(0, 1, (400, 5))
+    z = better - worse
+
+    def loss(w):
+        return np.logaddexp(0, -z @ w).mean() + quality.RIDGE / 2 * w @ w
+
+    found, plain = quality.bradley_terry(better, worse), rng.normal(size=5)
+    for _ in range(20_000):
+        slope = -(z / (1 + np.exp(z @ plain))[:, None]).mean(0) + quality.RIDGE * plain
+        plain = plain - 0.3 * slope
+    assert np.allclose(found, plain, atol=1e-6)
+    for k in range(5):
+        for step in (-1e-3, 1e-3):
+            assert loss(found) < loss(found + step * np.eye(5)[k])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_cut_against_all_cuts(seed):
+    """No cut has fewer labels on its wrong side, and none falls between equal scores."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    scores = rng.integers(0, 8, n).astype(float)
+    y = (scores + rng.normal(0, 3, n) > 4).astype(float)
+    wrong = lambda cut: int(((scores > cut) != (y > 0)).sum())
+    cuts = [-1.0, *(np.unique(scores) + 0.5)]
+    cut = quality.best_cut(scores, y)
+    assert cut not in scores and wrong(cut) == min(map(wrong, cuts))
+
+
+def test_repeated_rows_and_equal_scores(llm, docs_of):
+    """Rows that repeat have one score each, the same; a score at the threshold stays."""
+    rows = [(k, t) for k in range(3) for t in ("Good words, and some more.", "bad bad bad bad !!!", "", None)]
+    x = np.array([quality.features(t or "") for _, t in rows[:2]])
+    model = quality.fit_quality(x, np.array([1.0, 0.0]))
+    found = quality.with_quality(docs_of(rows), model, "mark").collect()
+    scores = {}
+    for r in found:
+        scores.setdefault(r.text or "", set()).add(r.mark)
+    assert len(found) == len(rows) and all(len(s) == 1 for s in scores.values())
+    half = quality.QualityModel(model.mean, model.spread, np.zeros(quality.FEATURES), 0.0)
+    assert set(half.score(x).tolist()) == {0.5}
