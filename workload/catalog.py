@@ -1403,12 +1403,11 @@ LATE = "id % 50 = 7 AND received_at < TIMESTAMP '2024-01-09 00:00:00'"
 
 @register(
     "t4_late",
-    "WITH m AS (SELECT max(received_at) AS newest FROM parsed WHERE received_at < "
-    f"TIMESTAMP '2024-01-23 00:00:00' AND NOT ({LATE})) "
-    f"SELECT time_bucket(INTERVAL '1' HOUR, received_at) AS ts, "
+    "SELECT time_bucket(INTERVAL '1' HOUR, received_at) AS ts, "
     f"count(*) FILTER (NOT ({LATE} AND received_at < newest - INTERVAL '2' DAY)) AS in_time, "
     f"count(*) FILTER ({LATE} AND received_at < newest - INTERVAL '2' DAY) AS late "
-    "FROM parsed, m GROUP BY 1",
+    "FROM parsed, (SELECT max(received_at) AS newest FROM parsed "
+    f"WHERE received_at < TIMESTAMP '2024-01-23 00:00:00' AND NOT ({LATE})) AS m GROUP BY 1",
     "parsed",
 )
 def _(spark, sf):
