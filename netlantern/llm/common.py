@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import zipfile
@@ -47,7 +48,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def forget(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Delete written tables that nothing will read again, and let Spark drop shuffles nobody refers to.
+
+    Spark deletes the files of a shuffle once the driver's garbage collection finds it unused, which
+    otherwise may be long after.
+    """
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -3,11 +3,12 @@
 Method: suffix arrays, built by linear grouping (``suffix_order.py``), over strings that can hold the same
 window of ``LENGTH`` bytes. To bring those together each window names its least gram of bytes, the leftmost
 of equal ones: equal windows name the same gram, and neighbouring windows share theirs. A run of windows
-with one gram, which lies in the first or in the second half of all of them, is a piece of text; all its
-windows hold the same longer core about the gram. Pieces whose core occurs once in all documents are left
+with one gram, which lies in the same third of all of them, is a piece of text; all its windows hold the
+same longer core about the gram. Pieces whose core occurs once in all documents are left
 out; equal pieces are one piece, whose first occurrence stands for all, and the windows of the others start
-earlier elsewhere by that alone. The different pieces of a core go to one string, its suffixes are sorted,
-and equal windows are neighbours there; all but the first start earlier elsewhere.
+earlier elsewhere by that alone. The different pieces of a core go to one string, in which the core is one
+letter; its suffixes are sorted, and equal windows are neighbours there; all but the first start earlier
+elsewhere.
 
 A core inside a line of a third of all documents has very many different pieces. Such pieces are cut into
 their single windows, which then are equal or have nothing in common, so that no string is larger than
@@ -21,25 +22,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlantern.llm.common import row_hash, text_or_empty, written
+from netlantern.llm.common import forget, row_hash, text_or_empty, written
 from netlantern.llm.suffix_order import suffix_array
 from netlantern.plans.sizing import broadcast_if_small, is_small
 
 LENGTH = 100
 GRAM = 24
 #: Parts of the places that a gram can have in a window.
-PARTS = 2
+PARTS = 3
 #: A core with more different pieces has them cut into windows.
 PIECES = 2048
 #: The pieces of several cores share a string of about so many bytes.
 STRING_BYTES = 1 << 17
 #: Windows looked at together; a power of two.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Bits of the map of cores that occur again. It saves work; what it lets through by chance does no harm.
 MAP_BITS = 27
 #: Pieces with more than one in so many of the rows are looked up from a broadcast; there are fewer of them.
@@ -91,30 +93,71 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def pieces(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first windows, numbers of windows, hashes of the cores) of a text's pieces, in parts.
+def core_bytes(length: int, gram: int) -> int:
+    """The bytes about a gram that all windows of a piece hold."""
+    width = length - gram + 1
+    return length - -(-width // PARTS) + 1
+
+
+def pieces(text: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first windows, numbers of windows, starts of the cores from there, their hashes), in parts.
 
     The least gram is that of the least leading hash bits, then the leftmost: the same in equal windows. So
     is its place in them, and the core, which begins at the least place of its part.
     """
-    values = np.frombuffer(text, np.uint8)
+    for start in range(0, len(text) - length + 1, AT_ONCE):
+        part = np.frombuffer(text, np.uint8)[start : start + AT_ONCE + length - 1]
+        first, r, c, keys = _cut(part, np.zeros(len(part) - length + 1, np.int8), length, gram)
+        yield start + first, r, c, keys
+
+
+def _cut(values: np.ndarray, of: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The pieces of some bytes. ``of`` tells windows of different texts apart; negative ones are none."""
     width = length - gram + 1
     part = -(-width // PARTS)
     reach = width - part  # from the first gram of a core to its last
-    steps = sorted({*range(0, reach, gram), reach})
     place = np.uint64(2 * AT_ONCE - 1)
-    for start in range(0, len(values) - length + 1, AT_ONCE):
-        hashes = gram_hashes(values[start : start + AT_ONCE + length - 1], gram)
-        ranked = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
-        least = (least_of(ranked, width) & place).astype(np.int64)
-        at = (least - np.arange(len(least))) // part
-        first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (at[1:] != at[:-1])])
-        core = least[first] - at[first] * part
-        keys = hashes[core]
-        for k in steps[1:]:
-            keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(ODD) + hashes[core + k]
-        keys ^= keys >> np.uint64(29)
-        yield start + first, np.diff(np.r_[first, len(least)]), (keys * np.uint64(BASE)).view(np.int64)
+    hashes = gram_hashes(values, gram)
+    ranked = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
+    least = (least_of(ranked, width) & place).astype(np.int64)
+    at = (least - np.arange(len(least))) // part
+    new = (least[1:] != least[:-1]) | (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(np.r_[True, new])
+    r = np.diff(np.r_[first, len(least)])
+    some = of[first] >= 0
+    first, r = first[some], r[some]
+    core = least[first] - at[first] * part
+    keys = hashes[core]
+    for k in sorted({*range(gram, reach, gram), reach}):
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(ODD) + hashes[core + k]
+    keys ^= keys >> np.uint64(29)
+    return first, r, core - first, (keys * np.uint64(BASE)).view(np.int64)
+
+
+def all_pieces(texts: pa.Array, length: int, gram: int) -> Iterator[tuple]:
+    """(bytes, texts' numbers, places in the bytes, first windows, numbers of windows, starts and hashes
+    of the cores) of the pieces of binary texts. Short ones are looked at many at once."""
+    sizes = pc.binary_length(texts).to_numpy()
+    low = 0
+    while low < len(sizes):
+        if sizes[low] > AT_ONCE:
+            text = texts[low].as_buffer().to_pybytes()
+            for a, r, c, keys in pieces(text, length, gram):
+                yield text, np.full(len(a), low), a, a, r, c, keys
+            low += 1
+            continue
+        ends = np.cumsum(sizes[low:])
+        n = max(1, int(np.searchsorted(ends, AT_ONCE, "right")))
+        ends = ends[:n]
+        joined = b"".join([v.as_buffer() for v in texts.slice(low, n)])
+        if len(joined) >= length:
+            starts = ends - sizes[low : low + n]
+            of = np.repeat(np.arange(n), sizes[low : low + n])[: len(joined) - length + 1]
+            whole = np.arange(len(of)) + length <= ends[of]
+            first, r, c, keys = _cut(np.frombuffer(joined, np.uint8), np.where(whole, of, -1), length, gram)
+            own = of[first]
+            yield joined, low + own, first, first - starts[own], r, c, keys
+        low += n
 
 
 def piece_hashes(text: bytes, a: np.ndarray, r: np.ndarray, length: int) -> np.ndarray:
@@ -131,9 +174,8 @@ def recurring(docs: DataFrame, length: int, gram: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                for _, _, keys in pieces(value.as_buffer().to_pybytes(), length, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+            for *_, keys in all_pieces(batch.column(0), length, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
     texts = docs.select(text_or_empty().cast("binary").alias("text"))
     texts = texts.filter(F.octet_length("text") >= length)
@@ -148,37 +190,33 @@ def recurring(docs: DataFrame, length: int, gram: int) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, shared: Broadcast, length: int, gram: int) -> DataFrame:
-    """``no_id, id, h, a, r, key, seg``: pieces from window ``a`` on whose cores may occur again, written."""
-    names = [*PLACE, "r", "key", "seg"]
+    """``no_id, id, h, a, r, c, key, seg``: pieces from window ``a`` on whose cores, ``c`` bytes behind, may
+    occur again, written."""
+    names = [*PLACE, "r", "c", "key", "seg"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            for k, value in enumerate(batch.column("text")):
-                text = value.as_buffer().to_pybytes()
-                for a, r, keys in pieces(text, length, gram):
-                    at = keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)
-                    again = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1
-                    some = np.flatnonzero(again)
-                    if not len(some):
-                        continue
-                    a, r, keys = a[some], r[some], keys[some]
-                    doc = [pa.repeat(batch.column(c)[k], len(some)) for c in DOC]
-                    segs = piece_hashes(text, a, r, length)
-                    columns = [*doc, pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array(keys), pa.array(segs)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            for text, *found in all_pieces(batch.column("text"), length, gram):
+                at = (found[-1].view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                some = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
+                doc, place, a, r, c, keys = (x[some] for x in found)
+                segs = piece_hashes(text, place, r, length)
+                columns = [batch.column(x).take(pa.array(doc)) for x in DOC]
+                columns += [pa.array(x, pa.int64()) for x in (a, r, c, keys, segs)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = documents(docs, text_or_empty().cast("binary").alias("text"))
     texts = texts.filter(F.octet_length("text") >= length)
-    schema = "no_id boolean, id long, h long, a long, r long, key long, seg long"
+    schema = "no_id boolean, id long, h long, a long, r long, c long, key long, seg long"
     return written(texts.mapInArrow(run, schema), "pieces")
 
 
 def first_pieces(found: DataFrame) -> DataFrame:
-    """``key, seg, r, n`` and the place of the first of each different piece, written."""
+    """``key, seg, r, c, n`` and the place of the first of each different piece, written."""
     least = F.min(F.struct(*PLACE)).alias("first")
-    each = found.groupBy("key", "seg", "r").agg(least, F.count("*").alias("n"))
-    return written(each.select("key", "seg", "r", "n", "first.*"), "first")
+    each = found.groupBy("key", "seg", "r", "c").agg(least, F.count("*").alias("n"))
+    return written(each.select("key", "seg", "r", "c", "n", "first.*"), "first")
 
 
 def later_spans(found: DataFrame, first: DataFrame, length: int) -> DataFrame:
@@ -206,7 +244,7 @@ def later_spans(found: DataFrame, first: DataFrame, length: int) -> DataFrame:
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int, single: bool) -> DataFrame:
     """The texts of the ``wanted`` pieces, or with ``single`` the occurrences of their windows."""
-    each = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("a", "r", "key")).alias("cuts"))
+    each = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("a", "r", "c", "key")).alias("cuts"))
     each = written(each, "cuts")
     texts = documents(docs, F.col("text").cast("binary").alias("text"))
     if is_small(each):
@@ -228,31 +266,35 @@ def cut_out(docs: DataFrame, wanted: DataFrame, length: int, single: bool) -> Da
                     digests = [xxhash.xxh3_128_digest(text[i : i + length]) for i in at.tolist()]
                     pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                     doc = [pa.repeat(batch.column(c)[k], len(at)) for c in DOC]
-                    columns = [*doc, pa.array(at), pa.array(np.ones(len(at), np.int64))]
+                    columns = [*doc, pa.array(at), *[pa.array(np.full(len(at), x)) for x in (1, 0)]]
                     columns += [pa.array(np.ascontiguousarray(pairs[:, j])) for j in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*PLACE, "r", "key", "seg"])
+                    yield pa.RecordBatch.from_arrays(columns, names=[*PLACE, "r", "c", "key", "seg"])
 
-    schema = "no_id boolean, id long, h long, a long, r long, key long, seg long"
+    schema = "no_id boolean, id long, h long, a long, r long, c long, key long, seg long"
     return rows.mapInArrow(run, schema)
 
 
-def repeated_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+def repeated_windows(rows: pd.DataFrame, length: int, core: int) -> pd.DataFrame:
     """``no_id, id, h, a, b``: bytes of windows of these pieces that start earlier in another of them.
 
-    Windows are equal only within a core's pieces, which are all here.
+    Windows are equal only within a core's pieces, which are all here. A window is the bytes before its
+    core, a letter for the core, and the bytes behind, and begins where it does in the text.
     """
-    held = rows["held"].tolist()
-    sizes = np.fromiter(map(len, held), np.int64, len(held))
-    string = np.zeros(int(sizes.sum()) + len(held), np.int64)
+    held, begin = rows["held"].tolist(), rows["c"].to_numpy()
+    ends = [c + core for c in begin.tolist()]
+    letters: dict[bytes, int] = {}
+    known = [letters.setdefault(h[e - core : e], len(letters)) for h, e in zip(held, ends)]
+    flat = b"".join([h[: e - core] + b" " + h[e:] + b" " for h, e in zip(held, ends)])
+    string = np.frombuffer(flat, np.uint8).astype(np.int64) + 1
+    sizes = np.fromiter(map(len, held), np.int64, len(held)) - core + 1
     begins = np.cumsum(sizes + 1) - sizes - 1
-    inside = np.ones(len(string), bool)
-    inside[begins + sizes] = False  # a letter below all others parts the pieces
-    string[inside] = np.frombuffer(b"".join(held), np.uint8).astype(np.int64) + 1
+    string[begins + begin] = 257 + np.array(known, np.int64)
+    string[begins + sizes] = 0  # a letter below all others parts the pieces
     piece = np.repeat(np.arange(len(held)), sizes + 1)
     offset = np.arange(len(string)) - begins[piece]
     order = np.array(suffix_array(string), np.int64)
-    order = order[offset[order] <= sizes[piece[order]] - length]
-    windows = np.lib.stride_tricks.sliding_window_view(string.astype(np.uint16), length)
+    order = order[offset[order] < rows["r"].to_numpy()[piece[order]]]
+    windows = np.lib.stride_tricks.sliding_window_view(string.astype(np.int32), length - core + 1)
     same = np.zeros(len(order), bool)
     for low in range(1, len(order), 1 << 15):
         at = order[low : low + (1 << 15)]
@@ -276,14 +318,14 @@ def repeated_windows(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return found.assign(a=at[low], b=at[last] + length if len(own) else at[low])
 
 
-def sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, core: int) -> DataFrame:
     """``no_id, id, h, a, b`` of windows that several of the ``wanted`` pieces of a core share."""
-    total = wanted.agg(F.sum(F.col("r") + length)).first()[0] or 0
+    total = wanted.agg(F.sum(F.col("r") + length - core)).first()[0] or 0
     strings = max(1, -(-total // STRING_BYTES))
-    texts = cut_out(docs, wanted.select(*PLACE, "r", "key"), length, False)
+    texts = cut_out(docs, wanted.select(*PLACE, "r", "c", "key"), length, False)
     dealt = texts.withColumn("string", F.pmod(F.xxhash64("key"), F.lit(strings)))
     schema = "no_id boolean, id long, h long, a long, b long"
-    return dealt.groupBy("string").applyInPandas(lambda rows: repeated_windows(rows, length), schema)
+    return dealt.groupBy("string").applyInPandas(lambda rows: repeated_windows(rows, length, core), schema)
 
 
 # --- documents --------------------------------------------------------------------------------------
@@ -295,11 +337,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None
     shared = docs.sparkSession.sparkContext.broadcast(recurring(docs, length, gram))
     found = occurrences(docs, shared, length, gram)
     first = first_pieces(found)
+    scratch = [found, first]
     several = first.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     several = written(several, "several")
     spans = [later_spans(found, first, length)]
     few = several.filter(F.col("kinds") <= PIECES)
-    spans.append(sorted_spans(docs, written(first.join(broadcast_if_small(few), "key"), "wanted"), length))
+    wanted = written(first.join(broadcast_if_small(few), "key"), "wanted")
+    scratch.append(wanted)
+    spans.append(sorted_spans(docs, wanted, length, core_bytes(length, gram)))
     many = several.filter(F.col("kinds") > PIECES)
     if not many.isEmpty():
         # Each such core has over PIECES of the rows joined here, so hot ones are fewer still.
@@ -308,12 +353,15 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None
         wide = first.join(F.broadcast(many.filter(hot)), "key", "left_semi")
         wide = wide.unionByName(first.join(many.filter(~hot), "key", "left_semi"))
         windows = written(cut_out(docs, wide, length, True), "windows")
+        scratch.append(windows)
         spans.append(later_spans(windows, first_pieces(windows), length))
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
     listed = every.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return written(listed.mapInArrow(_joined, listed.schema), "spans")
+    out = written(listed.mapInArrow(_joined, listed.schema), "spans")
+    forget(docs.sparkSession, scratch)
+    return out
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

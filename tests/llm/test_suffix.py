@@ -113,7 +113,7 @@ def test_parts():
     for at_once in (1 << 12, 1 << 20):
         old, suffix_dedup.AT_ONCE = suffix_dedup.AT_ONCE, at_once
         keys = np.zeros(len(text), np.int64)
-        for a, r, k in suffix_dedup.pieces(text, 100, 24):
+        for a, r, _, k in suffix_dedup.pieces(text, 100, 24):
             for i, n, key in zip(a, r, k):
                 keys[i : i + n] = key
         suffix_dedup.AT_ONCE = old
