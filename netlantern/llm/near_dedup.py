@@ -1,6 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, exact for every pair.
+"""Near-duplicates by SimHash, checked and completed by the Jaccard similarity of five-word shingles.
 
-Method: prefix filtering. Under any one order of shingles, two sets of similarity 4/5 or more share a
+Method: each set of shingles has a SimHash fingerprint, and fingerprints within a few bits are found by
+the generalised pigeonhole of ``simhash_dedup``. Sets with such fingerprints are candidates; links are
+those that are similar enough on the shingles of the whole texts. Similar sets may be further apart in
+bits, so what fingerprints don't connect is found by prefix filtering, which misses no pair. Under any one order of shingles, two sets of similarity 4/5 or more share a
 shingle among the first ``n - ceil(4n / 5) + 1`` of each, so sets meet only at those. The order is by a
 sketch of how many texts hold a shingle, rarest first: a line in a third of all texts then counts only
 for texts made of little else. Heads' shingles that no other head holds are left out by a map of bits.
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from netlantern.llm.common import row_hash, text_or_empty, written
 from netlantern.llm.components import components
-from netlantern.llm.fingerprint import SEED
+from netlantern.llm.fingerprint import CHUNK, SEED
 from netlantern.llm.simhash_dedup import first_of_classes
+from netlantern.llm.simhash_dedup import links as near_prints
 from netlantern.plans.sizing import broadcast_if_small, is_small
 
 WORDS = 5
@@ -68,6 +72,15 @@ def shingles(text: bytes | str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, n))
 
 
+def set_print(found: np.ndarray) -> int:
+    """SimHash of a set of shingles, unsigned: bits set in over half of their hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), CHUNK):
+        part = found[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(found), bitorder="little").tobytes(), "little")
+
+
 def _buckets(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -108,22 +121,24 @@ def shingle_order(docs: DataFrame) -> np.ndarray:
 
 
 def prefixed(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``doc_id, h, fp, n, head`` of every row, as a written table.
+    """``doc_id, h, fp, n, head, print`` of every row, as a written table.
 
-    ``fp`` stands for the set of shingles, ``n`` is its size and ``head`` its first shingles.
+    ``fp`` stands for the set of shingles, ``n`` is its size, ``head`` its first shingles and ``print`` its
+    SimHash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(low, ROWS_OUT)
-                names, sizes, heads = [], [], []
+                names, sizes, heads, prints = [], [], [], []
                 for value in batch.column("text"):
                     found = shingles(value.as_buffer().to_pybytes())
                     n = len(found)
                     most = n - -(-OVER * n // UNDER) + 1
                     heads.append(found[np.lexsort((found, ranks[_buckets(found)]))[:most]])
                     names.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                    prints.append(set_print(found))
                     sizes.append(n)
                 columns = [
                     batch.column("doc_id"),
@@ -131,12 +146,14 @@ def prefixed(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     pa.array(np.array(names, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int64()),
                     _lists(heads),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "n", "head"])
+                names = ["doc_id", "h", "fp", "n", "head", "print"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select("doc_id", row_hash().alias("h"), text_or_empty().cast("binary").alias("text"))
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    schema = f"doc_id {kind}, h long, fp long, n long, head array<long>"
+    schema = f"doc_id {kind}, h long, fp long, n long, head array<long>, print long"
     return written(rows.mapInArrow(run, schema), "prefixes")
 
 
@@ -358,11 +375,33 @@ def _join_counted(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame
     return rows.join(parts[0], by).unionByName(rows.join(parts[1], by))
 
 
+def print_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between sets whose fingerprints differ in few bits and that are similar enough.
+
+    The sets of one fingerprint meet the first of them, and the first ones of near fingerprints meet, so
+    candidates grow with the fingerprints, however many sets share one.
+    """
+    named = rows.select("fp", "print").distinct()
+    firsts = written(named.groupBy("print").agg(F.min("fp").alias("first")), "prints")
+    same = named.join(firsts, "print").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = near_prints(firsts.select(F.col("print").alias("fp")))
+    for end in ("a", "b"):
+        own = firsts.select(F.col("print").alias(end), F.col("first").alias(f"first_{end}"))
+        near = near.join(own, end)
+    near = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return verified(docs, rows, sets, written(same.filter("a < b").unionByName(near).distinct(), "near"))
+
+
 def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``a, b``: links that connect all sets of ``rows`` that pairs similar enough connect."""
+    """``a, b``: links that connect all sets of ``rows`` that pairs similar enough connect.
+
+    Those of near fingerprints come first; stars and pairs are of what these leave apart.
+    """
     sets = shared_heads(rows)
     shared = sets.select(F.explode("head").alias("k"), "fp", "n", F.col("fp").alias("c"))
-    links = written(shared.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0), "links")
+    links = written(print_links(docs, rows, sets).select("a", "b"), "links")
+    if not links.isEmpty():
+        shared = _in_components(shared.select("k", "fp", "n"), links)
     before = float("inf")
     for turn in range(ROUNDS):
         size = size_class()

@@ -97,3 +97,33 @@ def test_blocks_link_all_classes(llm, docs_of, monkeypatch):
     got = roots(set(fps.values()), [(r.a, r.b) for r in links])
     same = lambda i, j: got[fps[rows[i][0]]] == got[fps[rows[j][0]]]
     assert all(same(i, j) == (low[i] == low[j]) for i in range(len(rows)) for j in range(i))
+
+
+def test_links_of_near_fingerprints(llm, docs_of):
+    """Fingerprints in few bits are the stage's first candidates, and only similar texts of them link."""
+    rows = ODD + copies()
+    docs = docs_of(rows)
+    heads = near_dedup.prefixed(docs, near_dedup.shingle_order(docs))
+    found = near_dedup.print_links(docs, heads, near_dedup.shared_heads(heads)).collect()
+    facts = {r.fp: r for r in heads.select("fp", "n", "print").collect()}
+    held = {}
+    for _, text in rows:
+        hashes = near_dedup.shingles(text)
+        held[int(near_dedup.xxhash.xxh64_intdigest(hashes.tobytes(), near_dedup.SEED))] = set(hashes.tolist())
+    held = {fp - (1 << 64) if fp >> 63 else fp: h for fp, h in held.items()}
+    assert len(found) >= 10
+    for a, b in found:
+        x, y = held[a], held[b]
+        assert bin((facts[a].print ^ facts[b].print) & (1 << 64) - 1).count("1") <= 3
+        assert 5 * len(x & y) >= 4 * len(x | y)
+    # Sets that are alone with their fingerprint miss no near and similar one.
+    alone = [r for r in facts.values() if sum(o.print == r.print for o in facts.values()) == 1]
+    want = {
+        (min(a.fp, b.fp), max(a.fp, b.fp))
+        for a in alone
+        for b in alone
+        if a.fp < b.fp
+        and bin((a.print ^ b.print) & (1 << 64) - 1).count("1") <= 3
+        and 5 * len(held[a.fp] & held[b.fp]) >= 4 * len(held[a.fp] | held[b.fp]) > 0
+    }
+    assert want <= {(r.a, r.b) for r in found} and want
