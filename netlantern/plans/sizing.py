@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def written_once(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The same rows, made once and read back from Parquet in the shared folder, for as long as the block lasts."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Run-time settings: UTC times, adaptive execution, and generated code the JVM compiles.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from netlantern.plans.sizing import checkpointed
 
 SALTS = 64
+#: About so many rows are sorted by one task.
+RANGE_ROWS = 200_000
 
 
 def row_limit(limit: int | str | None, default: int, most: int | None = None) -> int:
@@ -96,16 +98,22 @@ def aggregate_with_latest(
 def sequence_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """Number all rows ``start+1, start+2, ...`` in the given order without a one-task window.
 
-    The rows are range-partitioned and checkpointed, so that partition numbers cannot change
-    between the two passes; the offsets table has one row per partition.
+    The rows, which are read three times, are sorted in ranges of bounded size and checkpointed, so that
+    a row's partition and its place in it cannot change: they are its number once the rows of the
+    partitions before are added. That table has one row per partition.
     """
-    sorted_rows = checkpointed(df.orderBy(*order)).withColumn("_part", F.spark_partition_id())
-    sizes = sorted_rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # Partition and place, the place in the lower 33 bits.
+    placed = checkpointed(ranged).withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return (
-        sorted_rows.join(F.broadcast(offsets), "_part")
+        placed.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.lit(start) + F.col("_before") + within)
-        .drop("_part", "_before")
+        .drop("_part", "_before", "_place")
     )

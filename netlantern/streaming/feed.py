@@ -18,7 +18,7 @@ from netlantern.operators.enrich import (
 )
 from netlantern.operators.parse import parse_syslog
 from netlantern.operators.stats import is_type
-from netlantern.plans.sizing import checkpointed, is_small
+from netlantern.plans.sizing import is_small, written_once
 from netlantern.plans.topk import sequence_rows
 from netlantern.schema import EVENT_TYPES, TIMELINE_TYPES
 from netlantern.sources.intel import append_intel, read_intel
@@ -101,14 +101,14 @@ def start_timeline(
     def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         before = F.lit(_newest_before(spark, path, epoch)).cast("timestamp")
-        batch = checkpointed(batch)
-        newest = batch.agg(F.greatest(F.max("received_at"), before).alias("newest"))
         limit = before - F.expr(f"INTERVAL {delay}")
         late = F.coalesce(F.col("received_at") < limit, F.lit(False))
-        counts = timeline_counts(batch.filter(~late), bucket)
-        counts.write.mode("overwrite").parquet(f"{path}/counts/version={epoch}")
-        batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/version={epoch}")
-        newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/newest/version={epoch}")
+        with written_once(batch, "arrived") as rows:
+            newest = rows.agg(F.greatest(F.max("received_at"), before).alias("newest"))
+            counts = timeline_counts(rows.filter(~late), bucket)
+            counts.write.mode("overwrite").parquet(f"{path}/counts/version={epoch}")
+            rows.filter(late).write.mode("overwrite").parquet(f"{path}/late/version={epoch}")
+            newest.coalesce(1).write.mode("overwrite").parquet(f"{path}/newest/version={epoch}")
 
     writer = ev.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return _start(writer, every)
@@ -228,11 +228,10 @@ def live_feed(
 
     def deliver(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        matched = match_subscriptions(batch, subscriptions)
-        numbered = sequence_rows(
-            matched, ["received_at", "id", "sub_id"], "seq", _feed_before(spark, path, epoch)
-        )
-        numbered.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        order = ["received_at", "id", "sub_id"]
+        with written_once(match_subscriptions(batch, subscriptions), "matched") as matched:
+            numbered = sequence_rows(matched, order, "seq", _feed_before(spark, path, epoch))
+            numbered.write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     writer = ev.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
     return _start(writer, every)
@@ -247,8 +246,10 @@ def stream_enrich(
     read anew for each batch."""
 
     def save(batch: DataFrame, epoch: int) -> None:
-        enriched = enrich_events(complete(batch), load_intel())
-        append_events(enriched, path, batch=_batch_name("enrich", checkpoint, epoch))
+        # Lookups in a large table read the batch several times, but its lines are parsed once.
+        with written_once(complete(batch), "arrived") as rows:
+            enriched = enrich_events(rows, load_intel())
+            append_events(enriched, path, batch=_batch_name("enrich", checkpoint, epoch))
 
     writer = ev.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return _start(writer, every)
