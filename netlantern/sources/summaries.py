@@ -82,9 +82,12 @@ def refresh(spark: SparkSession, path: str, kind: Kind) -> int:
         named = [(*_values(f), marks[f]) for f in sorted(missing)]
         table = spark.createDataFrame(named, f"{DAY} date, {GEN} int, {BATCH} string, {MARK} string")
         rows = kind.build(store.stored_rows(spark, path, _only(days, missing)), FOLDER)
-        rows.join(F.broadcast(table), FOLDER).write.partitionBy(*FOLDER, MARK, *kind.parts).option(
-            "partitionOverwriteMode", "dynamic"
-        ).mode("overwrite").parquet(summary_path(path, kind))
+        places = [*FOLDER, MARK, *kind.parts]
+        # Else every task of the aggregate would write a file into every folder.
+        ready = rows.join(F.broadcast(table), FOLDER).hint("rebalance", *places)
+        ready.write.partitionBy(*places).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(
+            summary_path(path, kind)
+        )
     files, root = store._folder(spark, summary_path(path, kind))
     for name in kept - set(wanted):
         files.delete(store._child(spark, root, name), True)
