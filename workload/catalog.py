@@ -1413,9 +1413,8 @@ LATE = "id % 50 = 7 AND received_at < TIMESTAMP '2024-01-09 00:00:00'"
 def _(spark, sf):
     """Slices of time arrive in order, but a few rows of the first come with the last one."""
     path, state = fresh_path(spark, "late"), fresh_path(spark, "state")
-    stream = lines.stream_lines(
-        spark, "parquet", {"path": tables.arrivals_with_late(spark, sf, LATE), "maxFilesPerTrigger": "1"}
-    )
+    folder, files = tables.arrivals_with_late(spark, sf, LATE)
+    stream = lines.stream_lines(spark, "parquet", {"path": folder, "maxFilesPerTrigger": str(files)})
     feed.start_timeline(
         feed.parsed_stream(stream), "1h", "2 days", path, state, every=None
     ).awaitTermination()

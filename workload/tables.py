@@ -6,7 +6,7 @@ users seen in ``events``. All of them grow with the given tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlantern.functions.times import instant, parse_instant
@@ -33,6 +33,10 @@ BACKFILLED_UNTIL = "2024-01-25 00:00:00"
 # Days before this are summarised before the rest arrives.
 SUMMARISED_UNTIL = "2024-01-27 00:00:00"
 
+# Lines that a task renders at most, and that a file of an arrival folder has. Files are in blocks that
+# several tasks can read.
+ROWS_A_TASK, ROWS_A_FILE, BLOCK = 25_000, 500_000, str(4 << 20)
+
 ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 TWO_LETTERS = (
     f"concat(substr({ALPHABET}, CAST(1 + n_nationkey % 26 AS INT), 1), "
@@ -123,16 +127,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf: str) -> DataFrame:
+def base(spark: SparkSession, sf: str, wanted: Column | None = None) -> DataFrame:
+    """What lines are rendered from, of the events ``wanted(id, received_at)``, dealt out to many tasks.
+
+    Events are narrow and their lines are dear, so the blocks of the file would make too few tasks.
+    """
     users = table(spark, sf, "events").selectExpr(
         "event_id AS e", f"{shapes.TIME} AS ts", f"{shapes.USER} AS u", f"event_id % {shapes.SHAPE_COUNT} AS k"
     )
+    if wanted is not None:
+        placed = users.selectExpr("*", "e AS id", "CAST(ts AS TIMESTAMP) AS received_at")
+        users = placed.filter(wanted).select(*users.columns)
+    tasks = -(-users.count() // ROWS_A_TASK)
+    if tasks > 1:
+        users = users.repartition(tasks)
     return users.selectExpr("*", *[f"{sql} AS {name}" for name, sql in shapes.PIECES.items()])
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The rendered log: ``id, received_at, raw``."""
-    rendered = base(spark, sf).selectExpr(
+def lines(spark: SparkSession, sf: str, wanted: Column | None = None) -> DataFrame:
+    """The rendered log: ``id, received_at, raw``; only lines ``wanted(id, received_at)`` are rendered."""
+    rendered = base(spark, sf, wanted).selectExpr(
         "e AS id", "CAST(ts AS TIMESTAMP) AS received_at", f"{shapes.RAW} AS raw"
     )
     return filters_stay_above(rendered)
@@ -239,27 +253,56 @@ def summarised(spark: SparkSession, sf: str) -> str:
     return written(spark, sf, "summarised", write)
 
 
+def _slices(late: str | None = None) -> list[Column]:
+    """Which lines arrive in each slice of time, ``late`` ones in the last."""
+    day = F.dayofmonth("received_at")
+    own = [(day > start) & (day <= end) for start, end in ((0, 8), (8, 15), (15, 22), (22, 40))]
+    if late is None:
+        return own
+    own = [slice_ & ~F.expr(late) for slice_ in own]
+    return [*own[:-1], own[-1] | F.expr(late)]
+
+
+def _files(rows: int, most: int) -> int:
+    """Files of ``most`` rows, and a few of less where there are as many tasks' rows."""
+    return max(1, -(-rows // most), min(4, -(-rows // ROWS_A_TASK)))
+
+
+def _arrive(rendered: DataFrame, files: int, path: str) -> None:
+    dealt = rendered.repartition(files)
+    dealt.write.option("parquet.block.size", BLOCK).mode("append").parquet(path)
+
+
+def _sizes(spark: SparkSession, sf: str, slices: list[Column]) -> list[int]:
+    events = table(spark, sf, "events")
+    placed = events.selectExpr("event_id AS id", f"CAST({shapes.TIME} AS TIMESTAMP) AS received_at")
+    return list(placed.agg(*[F.count_if(w).alias(f"n{i}") for i, w in enumerate(slices)]).first())
+
+
 def arrivals(spark: SparkSession, sf: str) -> str:
     """Folder of the rendered log in several slices of time, as a stream would find it."""
 
     def write(path: str) -> None:
-        rendered = lines(spark, sf)
-        for start, end in ((0, 8), (8, 15), (15, 22), (22, 40)):
-            day = F.dayofmonth("received_at")
-            rendered.filter((day > start) & (day <= end)).write.mode("append").parquet(path)
+        slices = _slices()
+        for wanted, rows in zip(slices, _sizes(spark, sf, slices)):
+            _arrive(lines(spark, sf, wanted), _files(rows, ROWS_A_FILE), path)
 
     return written(spark, sf, "arrivals", write)
 
 
-def arrivals_with_late(spark: SparkSession, sf: str, late: str) -> str:
-    """The same with one file for each slice, and ``late`` rows in the last of them."""
+def arrivals_with_late(spark: SparkSession, sf: str, late: str) -> tuple[str, int]:
+    """The same with ``late`` rows in the last slice, and how many files each of the slices has."""
 
     def write(path: str) -> None:
-        rendered = lines(spark, sf)
-        for start, end in ((0, 8), (8, 15), (15, 22), (22, 40)):
-            day = F.dayofmonth("received_at")
-            own = (day > start) & (day <= end) & ~F.expr(late)
-            slice_ = rendered.filter(own | F.expr(late) if end == 40 else own)
-            slice_.coalesce(1).write.mode("append").parquet(path)
-
-    return written(spark, sf, "arrivals-late", write)
+        slices = _slices(late)
+        sizes = _sizes(spark, sf, slices)
+        # Rows are dealt in turn, so with many more rows than files none is left without rows.
+        files = max(1, min(_files(max(sizes), 4 * ROWS_A_TASK), min(sizes) // 1000))
+        for wanted in slices:
+            _arrive(lines(spark, sf, wanted), files, path)
+
+    path = written(spark, sf, "arrivals-late", write)
+    files = len(spark.read.parquet(path).inputFiles())
+    if files % len(_slices()):
+        raise AssertionError("slices of the log have different numbers of files")
+    return path, files // len(_slices())
