@@ -287,17 +287,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def in_parts(texts: pa.Array, size: int = WINDOW) -> Iterator[tuple[int, int, list[str]]]:
-    """A batch's texts some at a time, about ``size`` bytes each: (first, end, texts)."""
+def slices(texts: pa.Array, size: int = WINDOW) -> Iterator[tuple[int, pa.Array]]:
+    """A batch's texts some at a time, about ``size`` bytes each: (first, texts)."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(texts):
         done = int(ends[first - 1]) if first else 0
         end = min(len(texts), int(np.searchsorted(ends, done + size)) + 1)
-        yield first, end, texts.slice(first, end - first).to_pylist()
+        yield first, texts.slice(first, end - first)
         first = end
 
 
+def in_parts(texts: pa.Array, size: int = WINDOW) -> Iterator[tuple[int, int, list[str]]]:
+    """The same as lists: (first, end, texts)."""
+    for first, part in slices(texts, size):
+        yield first, first + len(part), part.to_pylist()
+
+
 def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """``doc_id, ids, offsets`` of every row.
 

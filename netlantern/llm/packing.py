@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlantern.llm.byte_bpe import in_parts
+from netlantern.llm.byte_bpe import slices
 from netlantern.llm.common import text_or_empty, written
 from netlantern.llm.word_bpe import CACHED, word_codec
 
@@ -30,6 +30,8 @@ CAPACITY = 4096
 GROUP = 8192
 NODES = 250_000
 END_ID = 1
+#: Bytes of texts whose different chunks are looked up together.
+TOGETHER = 1 << 22
 
 
 # --- one group ---------------------------------------------------------------------------------
@@ -234,7 +236,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_codec(vocabulary_path, cached)
         for batch in batches:
-            for low, _, texts in in_parts(batch.column(1)):
+            for low, texts in slices(batch.column(1), TOGETHER):
                 rows = [
                     (i, at // (4 * capacity), ids[at : at + 4 * capacity])
                     for i, found in enumerate(known.encode_all(texts), low)
@@ -271,8 +273,8 @@ def pack(
     ``capacity`` ids, the last perhaps shorter. A null or empty text is the end id alone. Every row is
     packed, repeated ones too, each by itself; an empty table gives no rows; other columns are not
     read. Pieces are dealt into groups by their place in the written table, whatever their keys, so no
-    key makes a group large. A worker's caches hold at most ``cached`` entries in each generation: more
-    take memory, fewer take time.
+    key makes a group large. A worker's cache holds about ``cached`` entries in each of its two generations:
+    more take memory, fewer take time.
     """
     pieces = written(token_pieces(docs, vocabulary_path, capacity, keep_ids, cached), "pieces")
     columns = pieces.columns

@@ -1,25 +1,29 @@
 """Token ids by a vocabulary of words with end marks (lower case, white space dropped).
 
-Nothing reaches across a space, so a text's ids are those of its chunks between spaces. Each chunk is
-worked out once and cached, and so are the words within chunks; the library merges new words, many at
-a time.
+Nothing reaches across a space, so a text's ids are those of its chunks between spaces. The different
+chunks of many texts are looked up once, and the ids of all are gathered from those. Chunks are cached
+without the signs at their end; the library encodes new ones, many at a time, with a character between
+them that has a token of its own.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 from netlantern.llm.byte_bpe import WHITE_SPACE
 
-#: Entries of one generation of a cache, and the longest text kept in one.
-CACHED = 800_000
+#: Entries of one generation of the cache, and the longest chunk kept in it.
+CACHED = 400_000
 CACHED_CHARS = 64
 #: Fixed value: how the vocabulary cuts normalised text into words.
 WORDS = (
@@ -27,7 +31,23 @@ WORDS = (
     + "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
     + r"\p{L}\p{N}]+"
 )
+SIGNS = string.punctuation
+#: New chunks handed to the library as one text, and what stands between them.
 TOGETHER = 512
+BETWEEN = "\0"
+
+
+def without_signs(chunk: str) -> tuple[str, str]:
+    """A chunk as what it begins with and the ASCII signs at its end, ids of which are those of both.
+
+    Words end between a letter or digit and a sign. ASCII letters come in lower case, as the vocabulary
+    has them. Letters that normalising could give a mark at the end keep their signs.
+    """
+    key = chunk.rstrip(SIGNS)
+    end = key[-1:]
+    if not (end.isascii() or "\xc0" <= end <= "\xff") or not end.isalnum():
+        key = chunk
+    return key.lower() if key.isascii() else key, chunk[len(key) :]
 
 
 class WordCodec:
@@ -44,94 +64,78 @@ class WordCodec:
         plain = cut.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
         if not end or plain.replace("\\s", "") != regex.sub(r"\\u[0-9a-f]{4}", "", WORDS):
             raise ValueError(f"{path} isn't a vocabulary of words with end marks")
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        for token, i in known["model"]["vocab"].items():
-            self.ends[i] = token.endswith(end)
         self.marks = [t["content"] for t in known["added_tokens"]]
         if not all(mark.startswith("<") for mark in self.marks):
             raise ValueError(f"a special string of {path} doesn't begin with <")
-        self.cut = regex.compile(WORDS).findall
-        self.normal = self.library.normalizer.normalize_str
-        # Two generations each: a full one becomes the older, and what is still in use returns.
+        between = self.library.encode(BETWEEN, add_special_tokens=False).ids
+        if len(between) != 1:
+            raise ValueError(f"{path} has no token of its own for what stands between chunks")
+        self.between = between[0]
+        # Two generations: a full one becomes the older, and what is still in use returns.
         self.chunks: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merge(self, words: list[str]) -> None:
-        """Add the ids of new normalised words, each of which is one word to the library too."""
-        lots = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        joined = [" ".join(lot) for lot in lots]
-        for lot, found in zip(lots, self.library.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+    def _learn(self, keys: list[str]) -> None:
+        """Add the ids of new keys, none of them long or holding a special string or ``BETWEEN``."""
+        for at in range(0, len(keys), TOGETHER):
+            lot = keys[at : at + TOGETHER]
+            joined = f" {BETWEEN} ".join([*lot, ""])
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(ids == self.between) * 4
             data, last = ids.tobytes(), 0
             if len(stops) != len(lot):
-                self.words.update((w, self._by_library(w)) for w in lot)
+                self.chunks.update((k, self._by_library(k)) for k in lot)
                 continue
-            for word, stop in zip(lot, stops.tolist()):
-                self.words[word] = data[last:stop]
-                last = stop
-
-    def _words(self, normal: str) -> list[str]:
-        if normal.isalpha():
-            return [normal]
-        if normal[-1] in ".,;:!?" and normal[:-1].isalpha():
-            return [normal[:-1], normal[-1]]
-        return self.cut(normal)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Add the ids of new chunks, none of them long or holding a special string."""
-        # Normalising doesn't reach across a space and makes none.
-        ascii_, other = [c for c in chunks if c.isascii()], [c for c in chunks if not c.isascii()]
-        normal = " ".join(ascii_).lower().split(" ") if ascii_ else []
-        more = self.normal(" ".join(other)).split(" ") if other else []
-        if len(normal) + len(more) != len(chunks):
-            self.chunks.update((c, self._by_library(c)) for c in chunks)
-            return
-        if len(self.words) >= self.cached:
-            self.older_words, self.words = self.words, {}
-        known, older = self.words, self.older_words
-        cuts = [self._words(n) for n in normal + more]
-        new = []
-        for w in {w for words in cuts for w in words if w not in known}:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
-            else:
-                new.append(w)
-        self._merge(new)
-        for c, words in zip(ascii_ + other, cuts):
-            self.chunks[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; many texts at a time cost less."""
+            for key, stop in zip(lot, stops.tolist()):
+                self.chunks[key] = data[last:stop]
+                last = stop + 4
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks."""
         if len(self.chunks) >= self.cached:
             self.older, self.chunks = self.chunks, {"": b""}
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        get = self.chunks.get
-        found = [list(map(get, chunks)) for chunks in split]
-        unknown = set()
-        for chunks, ids in zip(split, found):
-            if None in ids:
-                unknown.update([c for c, x in zip(chunks, ids) if x is None])
-        rare, new = {}, []
-        for c in unknown:
-            ids = self.older.get(c)
-            if ids is not None:
-                self.chunks[c] = ids
-            elif len(c) > CACHED_CHARS or ("<" in c and any(mark in c for mark in self.marks)):
-                rare[c] = self._by_library(c)
-            else:
-                new.append(c)
-        if new:
-            self._learn(new)
-        for chunks, ids in zip(split, found):
-            if None in ids:
-                ids = [rare[c] if (x := get(c)) is None else x for c in chunks]
-            yield b"".join(ids)
+        get, old = self.chunks.get, self.older.get
+        ids = list(map(get, chunks))
+        cut, new = [], {}
+        for i, x in enumerate(ids):
+            if x is not None:
+                continue
+            c = chunks[i]
+            if len(c) > CACHED_CHARS or BETWEEN in c or ("<" in c and any(m in c for m in self.marks)):
+                ids[i] = self._by_library(c)
+                continue
+            keys = without_signs(c)
+            cut.append((i, keys))
+            for k in keys:
+                if get(k) is None:
+                    if (x := old(k)) is None:
+                        new[k] = True
+                    else:
+                        self.chunks[k] = x
+        self._learn(list(new))
+        for i, (key, signs) in cut:
+            ids[i] = get(key) + get(signs) if signs else get(key)
+        return ids
+
+    def encode_all(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """The ids of each text; many texts at a time cost less."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        ends = np.cumsum(np.append(0, sizes[codes]))
+        at = np.repeat(starts[codes] - ends[:-1], sizes[codes]) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        last = 0
+        for stop in ends[np.cumsum(pc.list_value_length(split).to_numpy())].tolist():
+            yield data[last * 4 : stop * 4]
+            last = stop
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -121,6 +122,23 @@ def test_word_ids():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_chunks_by_generation():
+    """A small cache, odd chunks between, and texts in an Arrow slice; a worker's cache stays small."""
+    library, known = Tokenizer.from_file(WORDS), word_bpe.WordCodec(WORDS, 50)
+    odd = ["a\0b", "İ, J\u030c. É! don't. x…, ²; 5) ß? ×, Ab\x01. ŉ. Ω, \ufb1d,", "\0", "\0 \0\0", "x<|endoftext|>y <|endoftext|>", "a\u2003b \u0301c", "\t \n\n x\r", "é" * 70, "J\u030c"]
+    texts = noise(500) + odd + ["Word, word. WORD!"] * 3
+    whole = pa.array(["before", *texts, "after"])
+    for _ in range(2):
+        for low in range(0, len(texts), 40):
+            part = whole.slice(low + 1, min(40, len(texts) - low))
+            for text, ids in zip(texts[low : low + 40], known.encode_all(part), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert list(known.encode_all([])) == []
+    # The cache is all that a worker keeps: no second one of words, and no more entries than twice 400,000.
+    held = [k for k, v in vars(known).items() if isinstance(v, dict)]
+    assert sorted(held) == ["chunks", "older"] and word_bpe.CACHED <= 400_000
+
+
 def fewest(lengths, capacity):
     best = [len(lengths)]
 
