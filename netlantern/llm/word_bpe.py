@@ -99,25 +99,27 @@ class WordCodec:
             self.older, self.chunks = self.chunks, {"": b""}
         get, old = self.chunks.get, self.older.get
         ids = list(map(get, chunks))
-        cut, new = [], {}
-        for i, x in enumerate(ids):
-            if x is not None:
-                continue
+        # Lists of strings and numbers alone: many small tuples would keep the garbage collector busy.
+        places, keys, signs = [], [], []
+        for i in [i for i, x in enumerate(ids) if x is None]:
             c = chunks[i]
             if len(c) > CACHED_CHARS or BETWEEN in c or ("<" in c and any(m in c for m in self.marks)):
                 ids[i] = self._by_library(c)
                 continue
-            keys = without_signs(c)
-            cut.append((i, keys))
-            for k in keys:
-                if get(k) is None:
-                    if (x := old(k)) is None:
-                        new[k] = True
-                    else:
-                        self.chunks[k] = x
-        self._learn(list(new))
-        for i, (key, signs) in cut:
-            ids[i] = get(key) + get(signs) if signs else get(key)
+            key, sign = without_signs(c)
+            places.append(i)
+            keys.append(key)
+            signs.append(sign)
+        new = []
+        for k in {*keys, *signs}:
+            if get(k) is None:
+                if (x := old(k)) is None:
+                    new.append(k)
+                else:
+                    self.chunks[k] = x
+        self._learn(new)
+        for i, key, sign in zip(places, keys, signs):
+            ids[i] = get(key) + get(sign) if sign else get(key)
         return ids
 
     def encode_all(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
