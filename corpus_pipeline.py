@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netlantern.llm import exact_dedup, near_dedup, packing, quality, toxicity
-from netlantern.llm.common import ship, table, written
+from netlantern.llm.common import forget, ship, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, made = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(spark, made)
+        made = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

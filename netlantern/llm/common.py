@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import os
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,14 @@ def forget(spark: SparkSession, tables: list[DataFrame]) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Give the system the memory that earlier tasks of this worker freed; a worker runs many, one after another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 

@@ -3,31 +3,40 @@
 Method: each set of shingles has a SimHash fingerprint, and fingerprints within a few bits are found by
 the generalised pigeonhole of ``simhash_dedup``. Sets with such fingerprints are candidates; links are
 those that are similar enough on the shingles of the whole texts. Similar sets may be further apart in
-bits, so what fingerprints don't connect is found by prefix filtering, which misses no pair. Under any one order of shingles, two sets of similarity 4/5 or more share a
-shingle among the first ``n - ceil(4n / 5) + 1`` of each, so sets meet only at those. The order is by a
-sketch of how many texts hold a shingle, rarest first: a line in a third of all texts then counts only
-for texts made of little else. Heads' shingles that no other head holds are left out by a map of bits.
-Every candidate is verified on the shingles of the whole texts.
+bits, so what fingerprints don't connect is found by prefix filtering, which misses no pair. Under any one
+order of shingles, two sets of similarity 4/5 or more share a shingle among the first
+``n - ceil(4n / 5) + 1`` of each, so sets meet only at those. The order is by a sketch of how many texts
+hold a shingle, rarest first: a line in a third of all texts then counts only for texts made of little
+else. Heads' shingles that no other head holds are left out by a map of bits.
+
+Every candidate is verified on the shingles of the whole texts. Before these move, bitmaps of about a bit
+a shingle leave out nearly all pairs that aren't similar: each bit says whether an odd number of a set's
+shingles falls on it, so two sets differ in at least as many shingles as their bitmaps in bits. Pairs are
+verified in lots, and what a lot has written and shuffled goes before the next one, so that disk follows
+the input however many candidates there are.
 
 A large group of near copies shares many shingles. So a shingle's sets are first verified against one
 set drawn from them, a star instead of all pairs; pairs that are connected by then need no check. Stars
 are repeated with other draws while they leave fewer pairs and many are left. What is left of a shingle of
-at most ``BLOCK_SETS`` sets is verified pair by pair, each pair once whatever it shares. The sets of other
-shingles are compared in blocks, where only links that connect something are passed on.
+at most ``BLOCK_SETS`` sets is verified pair by pair, each pair once whatever it shares, if the shingle can
+be the first that both share. The sets of other shingles are compared in blocks, where only links that
+connect something are passed on; shingles of much the same sets count as one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlantern.llm.common import row_hash, text_or_empty, written
+from netlantern.llm.common import forget, give_back, row_hash, text_or_empty, written
 from netlantern.llm.components import components
 from netlantern.llm.fingerprint import CHUNK, SEED
 from netlantern.llm.simhash_dedup import first_of_classes
@@ -54,6 +63,12 @@ HOT_SHARE = 4096
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
 #: Rows handed over at once.
 ROWS_OUT = 1000
+#: Bits of a bitmap at most.
+PARITY_BITS = 1 << 16
+#: Bytes that a lot of pairs carries, and pairs that shingles give in a lot before repeated ones go.
+LOT_BYTES, LOT_PAIRS = 1 << 28, 1 << 26
+#: A lot carries up to one in so many of all shingles where that is more.
+LOT_SHARE = 4
 
 
 def shingles(text: bytes | str | None, words: int = WORDS) -> np.ndarray:
@@ -81,6 +96,35 @@ def set_print(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(found), bitorder="little").tobytes(), "little")
 
 
+def parities(found: np.ndarray, size: int | None = None) -> np.ndarray:
+    """A bitmap of a set's shingles, as words: where an odd number of them falls.
+
+    It has a power of two of bits, 64 at least, and about as many as there are shingles.
+    """
+    size = size or min(PARITY_BITS, max(64, 1 << (len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart(some: pa.Array, others: pa.Array) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ, at the size of the smaller one."""
+    sizes = np.stack([pc.binary_length(x).to_numpy() for x in (some, others)])
+    out = np.zeros(len(some), np.int64)
+    for pair in np.unique(sizes, axis=1).T:
+        at = np.flatnonzero((sizes == pair[:, None]).all(axis=0))
+        folded = []
+        for side in (some, others):
+            words = np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), np.uint64)
+            folded.append(np.bitwise_xor.reduce(words.reshape(len(at), -1, pair.min() // 8), axis=1))
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def may_link(far: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of ``sizes`` shingles, both together, can link if no fewer than ``far`` are of one alone."""
+    return far * (OVER + UNDER) <= sizes * (UNDER - OVER)
+
+
 def _buckets(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -121,17 +165,18 @@ def shingle_order(docs: DataFrame) -> np.ndarray:
 
 
 def prefixed(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``doc_id, h, fp, n, head, print`` of every row, as a written table.
+    """``doc_id, h, fp, n, head, print, bits`` of every row, as a written table.
 
-    ``fp`` stands for the set of shingles, ``n`` is its size, ``head`` its first shingles and ``print`` its
-    SimHash.
+    ``fp`` stands for the set of shingles, ``n`` is its size, ``head`` its first shingles, ``print`` its
+    SimHash and ``bits`` its bitmap.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(low, ROWS_OUT)
-                names, sizes, heads, prints = [], [], [], []
+                names, sizes, heads, prints, bits = [], [], [], [], []
                 for value in batch.column("text"):
                     found = shingles(value.as_buffer().to_pybytes())
                     n = len(found)
@@ -139,6 +184,7 @@ def prefixed(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     heads.append(found[np.lexsort((found, ranks[_buckets(found)]))[:most]])
                     names.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                     prints.append(set_print(found))
+                    bits.append(parities(found).tobytes())
                     sizes.append(n)
                 columns = [
                     batch.column("doc_id"),
@@ -147,13 +193,14 @@ def prefixed(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     _lists(heads),
                     pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array(bits, pa.binary()),
                 ]
-                names = ["doc_id", "h", "fp", "n", "head", "print"]
+                names = ["doc_id", "h", "fp", "n", "head", "print", "bits"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select("doc_id", row_hash().alias("h"), text_or_empty().cast("binary").alias("text"))
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    schema = f"doc_id {kind}, h long, fp long, n long, head array<long>, print long"
+    schema = f"doc_id {kind}, h long, fp long, n long, head array<long>, print long, bits binary"
     return written(rows.mapInArrow(run, schema), "prefixes")
 
 
@@ -164,9 +211,9 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def shared_heads(rows: DataFrame) -> DataFrame:
-    """``fp, n, held, head`` of the sets with a shingle that several heads hold, written.
+    """``fp, n, bits, head, places`` of the sets with a shingle that several heads hold, written.
 
-    ``held`` is the size of the whole head, ``head`` what of it other heads may hold.
+    ``head`` is what of it other heads may hold, ``places`` are those of its shingles in the whole head.
     """
     keys = rows.select(F.explode("head").alias("k")).groupBy("k").agg(F.count("*").alias("held"))
     at = F.shiftrightunsigned("k", 64 - MAP_BITS)
@@ -183,20 +230,25 @@ def shared_heads(rows: DataFrame) -> DataFrame:
         for batch in batches:
             heads = batch.column("head")
             keys = heads.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), heads.value_lengths().to_numpy())
+            lengths = heads.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             at = (keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
             some = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
             left, sizes = np.unique(row[some], return_counts=True)
             ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
-            columns = [batch.column(c).take(pa.array(left)) for c in ("fp", "n")]
-            columns.append(heads.value_lengths().cast(pa.int64()).take(pa.array(left)))
-            columns.append(pa.ListArray.from_arrays(ends, pa.array(keys[some])))
-            yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "held", "head"])
+            columns = [batch.column(c).take(pa.array(left)) for c in ("fp", "n", "bits")]
+            for values in (keys, place.astype(np.int32)):
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(values[some])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "fp long, n long, held long, head array<long>"
-    heads = rows.select("fp", "n", "head").mapInArrow(run, schema)
-    same = heads.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "held", "head")))
-    return written(same, "sets")
+    names = ["fp", "n", "bits", "head", "places"]
+    schema = "fp long, n long, bits binary, head array<long>, places array<int>"
+    heads = rows.select("fp", "n", "head", "bits").mapInArrow(run, schema)
+    same = written(heads.groupBy("fp").agg(*(F.first(c).alias(c) for c in names[1:])), "sets")
+    shared.destroy()
+    forget(rows.sparkSession, [])
+    return same
 
 
 # --- verifying ---------------------------------------------------------------------------------
@@ -207,13 +259,17 @@ def alike(n: str, m: str) -> Column:
     return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
 
 
-def _with_facts(pairs: DataFrame, facts: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the facts of one side. A set in a large share of them goes to several tasks."""
+def _many(pairs: DataFrame, side: str) -> DataFrame:
+    """The sets in a large share of the pairs, written, and how many parts their pairs go to."""
     counts = pairs.groupBy(side).agg(F.count("*").alias("_n"))
-    total = pairs.count()
-    hot = (F.col("_n") > AT_ONCE) & (F.col("_n") * HOT_SHARE > total)
+    hot = (F.col("_n") > AT_ONCE) & (F.col("_n") * HOT_SHARE > pairs.count())
     many = counts.filter(hot).select(side, F.ceil(F.col("_n") / AT_ONCE).cast("int").alias("_parts"))
-    many = F.broadcast(written(many, "many"))
+    return written(many, "many")
+
+
+def _with_facts(pairs: DataFrame, facts: DataFrame, side: str, many: DataFrame) -> DataFrame:
+    """``pairs`` with the facts of one side. A set in a large share of them goes to several tasks."""
+    many = F.broadcast(many)
     parts = F.coalesce("_parts", F.lit(1))
     own = facts.select(F.col("fp").alias(side), F.struct(*facts.columns[1:]).alias(f"{side}s"))
     own = own.join(many, side, "left").withColumn(
@@ -226,19 +282,48 @@ def _with_facts(pairs: DataFrame, facts: DataFrame, side: str) -> DataFrame:
 
 
 def _with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    return _with_facts(_with_facts(pairs, facts, "a"), facts, "b")
+    many = {side: _many(pairs, side) for side in ("a", "b")}
+    return _with_facts(_with_facts(pairs, facts, "a", many["a"]), facts, "b", many["b"])
 
 
-def promising(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the written ``pairs(a, b)`` that can be similar enough, as a written table.
+def lots(rows: DataFrame, size: float, most: float, *by: str) -> Iterator[DataFrame]:
+    """``rows`` in as many parts as it takes to have no more than about ``most`` of ``size`` in one.
 
-    What two sets share is in both heads, or behind the head that ends first.
+    Before the next part what was shuffled for the one before goes.
     """
-    both = _with_both(pairs, sets)
-    common = F.size(F.array_intersect("as.head", "bs.head"))
-    behind = F.greatest(F.col("as.n") - F.col("as.held"), F.col("bs.n") - F.col("bs.held"))
-    enough = (common + behind) * (OVER + UNDER) >= (F.col("as.n") + F.col("bs.n")) * OVER
-    return written(both.filter(enough).select("a", "b"), "promising")
+    n = max(1, int(-(-size // most)))
+    for k in range(n):
+        if k:
+            forget(rows.sparkSession, [])
+        yield rows if n == 1 else rows.filter(F.pmod(F.xxhash64(F.lit("lot"), *by), F.lit(n)) == k)
+
+
+def lot_bytes(rows: DataFrame) -> float:
+    """What a lot may carry, by the shingles of all ``rows``."""
+    return max(LOT_BYTES, 8 * (rows.agg(F.sum("n")).first()[0] or 0) / LOT_SHARE)
+
+
+def promising(sets: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
+    """Those of the written ``pairs(a, b)`` that can be similar enough, written, with the sum ``n`` of sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = apart(batch.column("x"), batch.column("y"))
+            some = np.flatnonzero(may_link(far, batch.column("n").to_numpy()))
+            yield batch.select(["a", "b", "n"]).take(pa.array(some))
+
+    each = sets.agg(F.avg(F.length("bits"))).first()[0] or 0
+    found = []
+    for lot in lots(pairs, pairs.count() * (each + 16), most, "a", "b"):
+        both = _with_both(lot, sets.select("fp", "n", "bits"))
+        n = (F.col("as.n") + F.col("bs.n")).alias("n")
+        both = both.select("a", "b", n, F.col("as.bits").alias("x"), F.col("bs.bits").alias("y"))
+        found.append(written(both.mapInArrow(run, "a long, b long, n long"), "promising"))
+    if len(found) == 1:
+        return found[0]
+    whole = written(reduce(DataFrame.unionByName, found), "promising")
+    forget(sets.sparkSession, found)
+    return whole
 
 
 def members(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -255,25 +340,42 @@ def members(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates(["fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(low, ROWS_OUT)
                 found = [shingles(v.as_buffer().to_pybytes()) for v in batch.column("t")]
                 yield pa.RecordBatch.from_arrays([batch.column("fp"), _lists(found)], names=["fp", "every"])
 
-    return written(texts.mapInArrow(run, "fp long, every array<long>"), "members")
+    found = written(texts.mapInArrow(run, "fp long, every array<long>"), "members")
+    forget(docs.sparkSession, [named])
+    return found
 
 
 def verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the written ``pairs(a, b)`` whose sets are similar enough, as a written table."""
-    pairs = promising(sets, pairs)
-    if pairs.isEmpty():
-        return pairs
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted")
-    both = _with_both(pairs, members(docs, rows, wanted))
-    common = F.size(F.array_intersect("as.every", "bs.every"))
-    sizes = F.size(F.col("as.every")) + F.size(F.col("bs.every"))
-    return written(both.filter(common * (OVER + UNDER) >= sizes * OVER).select("a", "b"), "verified")
+    spark, most = docs.sparkSession, lot_bytes(rows)
+    near = promising(sets, pairs, most)
+    whole = near.agg(F.sum("n")).first()[0]
+    if not whole:
+        return near.select("a", "b")
+    found = []
+    for lot in lots(near, 8 * whole, most, "a", "b"):
+        lot = lot.select("a", "b")
+        wanted = written(lot.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted")
+        every = members(docs, rows, wanted)
+        both = _with_both(lot, every)
+        common = F.size(F.array_intersect("as.every", "bs.every"))
+        sizes = F.size(F.col("as.every")) + F.size(F.col("bs.every"))
+        links = both.filter(common * (OVER + UNDER) >= sizes * OVER).select("a", "b")
+        found.append(written(links, "verified"))
+        forget(spark, [wanted, every])
+    if len(found) == 1:
+        forget(spark, [near])
+        return found[0]
+    whole = written(reduce(DataFrame.unionByName, found), "verified")
+    forget(spark, [near, *found])
+    return whole
 
 
 # --- what stars leave ---------------------------------------------------------------------------
@@ -302,8 +404,14 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
     both = set(rows["fp"][rows["side"] == 2])
     ones = list(zip(first["fp"], first["c"], first["every"]))
     others = list(zip(second["fp"], second["c"], second["every"]))
-    for a, ca, x in ones:
-        for b, cb, y in others:
+    most = max(map(len, rows["every"]))
+    size = min(PARITY_BITS, max(64, 1 << (most - 1).bit_length()))
+    sizes = np.array([len(y) for _, _, y in others], np.int64)
+    bits = np.array([parities(y.view(np.uint64), size) for _, _, y in others])
+    for a, ca, x in ones if others else ():
+        far = np.bitwise_count(bits ^ parities(x.view(np.uint64), size)).sum(axis=1, dtype=np.int64)
+        for at in np.flatnonzero(may_link(far, sizes + len(x))).tolist():
+            b, cb, y = others[at]
             n, m = len(x), len(y)
             if (a >= b and a in both) or min(n, m) * UNDER < max(n, m) * OVER or top(ca) == top(cb):
                 continue
@@ -314,12 +422,35 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _one_of_same(shared: DataFrame) -> DataFrame:
+    """``k, fp, n, c`` with one key for shingles whose sets, taken together, make fewer pairs than one by one.
+
+    Near copies share many shingles. Shingles with a set in common are taken together, directly or by others.
+    """
+    held = written(shared.groupBy("k").agg(F.min("fp").alias("first"), F.count("*").alias("m")), "held")
+    ends = _join_counted(shared.select("k", "fp"), held, ["k"])
+    ends = ends.select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    bags = written(components(ends).select(F.col("node").alias("fp"), F.col("component").alias("bag")), "bags")
+    one_by_one = held.join(bags.withColumnRenamed("fp", "first"), "first")
+    one_by_one = one_by_one.groupBy("bag").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    together = bags.groupBy("bag").agg(F.count("*").cast("double").alias("m"))
+    better = written(together.join(one_by_one, "bag").filter("m * m <= pairs").select("bag", "m"), "better")
+    sets = shared.join(bags, "fp")
+    sets = sets.join(broadcast_if_small(better), "bag", "left")
+    key = F.when(F.isnotnull("m"), F.xxhash64(F.lit(0), "bag")).otherwise(F.xxhash64(F.lit(1), "k"))
+    found = written(sets.select(key.alias("k"), "fp", "n", "c").distinct(), "together")
+    forget(shared.sparkSession, [held, bags, better])
+    return found
+
+
 def in_blocks(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     """``a, b``: links of the written ``shared(k, fp, n, c)`` between different components ``c``.
 
     A shingle's sets of a size class are cut into blocks of bounded size, and blocks of one class or of
     neighbouring ones meet.
     """
+    spark = docs.sparkSession
+    shared = _one_of_same(shared)
     sized = shared.withColumn("s", size_class())
     room = F.least(F.lit(BLOCK_SETS), F.ceil(BLOCK_SHINGLES / F.pow(F.lit(UNDER / OVER), F.col("s") + 1)))
     held = sized.groupBy("k", "s").agg(F.count("*").alias("m"))
@@ -340,25 +471,33 @@ def in_blocks(docs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
     dealt = sized.join(held.select("k", "s", "blocks"), ["k", "s"])
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = dealt.join(counts.select("k", "s", "b"), ["k", "s", "b"]).join(sides, ["k", "s", "b"])
+    dealt = written(dealt.select("meet", "side", "fp", "n", "c"), "dealt")
     wanted = written(shared.select("fp").distinct(), "wanted")
-    dealt = dealt.select("meet", "side", "fp", "c").join(members(docs, rows, wanted), "fp")
-    found = dealt.groupBy("meet").applyInPandas(lambda g: compared(g), "a long, b long")
-    return written(found, "blocks")
+    every = members(docs, rows, wanted)
+    found = []
+    for lot in lots(dealt, 8 * (dealt.agg(F.sum("n")).first()[0] or 0), lot_bytes(rows), "meet"):
+        met = lot.select("meet", "side", "fp", "c").join(every, "fp")
+        links = met.groupBy("meet").applyInPandas(lambda g: compared(g), "a long, b long")
+        found.append(written(links, "blocks"))
+    whole = written(reduce(DataFrame.unionByName, found).distinct(), "blocks")
+    forget(spark, [wanted, every, dealt, shared, *found])
+    return whole
 
 
 # --- documents ---------------------------------------------------------------------------------
 
 
 def _in_components(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """``shared`` with ``c``, the component so far, where a shingle's sets are in several."""
+    """``shared`` with ``c``, the component so far, where a shingle's sets are in several; written."""
     near = components(links).withColumnRenamed("node", "fp")
-    named = shared.join(broadcast_if_small(near), "fp", "left")
-    named = written(
-        named.select("k", "fp", "n", F.coalesce("component", "fp").alias("c")), "shared"
-    )
+    joined = shared.join(broadcast_if_small(near), "fp", "left")
+    columns = ["k", "fp", "n", "place", F.coalesce("component", "fp").alias("c")]
+    named = written(joined.select(*columns), "shared")
     split = named.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"))
     split = written(split.filter("x <> y").select("k", "m"), "split")
-    return written(_join_counted(named, split, ["k"]), "shared")
+    found = written(_join_counted(named, split, ["k"]), "shared")
+    forget(shared.sparkSession, [named, split])
+    return found
 
 
 def _join_counted(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
@@ -389,7 +528,11 @@ def print_links(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
         own = firsts.select(F.col("print").alias(end), F.col("first").alias(f"first_{end}"))
         near = near.join(own, end)
     near = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
-    return verified(docs, rows, sets, written(same.filter("a < b").unionByName(near).distinct(), "near"))
+    pairs = written(same.filter("a < b").unionByName(near).distinct(), "near")
+    forget(docs.sparkSession, [firsts])
+    links = verified(docs, rows, sets, pairs)
+    forget(docs.sparkSession, [pairs])
+    return links
 
 
 def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -397,11 +540,14 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     Those of near fingerprints come first; stars and pairs are of what these leave apart.
     """
-    sets = shared_heads(rows)
-    shared = sets.select(F.explode("head").alias("k"), "fp", "n", F.col("fp").alias("c"))
+    spark, sets = docs.sparkSession, shared_heads(rows)
+    zipped = sets.select(F.explode(F.arrays_zip("head", "places")).alias("at"), "fp", "n")
+    shared = zipped.select(F.col("at.head").alias("k"), "fp", "n", F.col("at.places").alias("place"))
     links = written(print_links(docs, rows, sets).select("a", "b"), "links")
+    shared, made = shared.withColumn("c", F.col("fp")), []
     if not links.isEmpty():
-        shared = _in_components(shared.select("k", "fp", "n"), links)
+        shared = _in_components(shared.drop("c"), links)
+        made = [shared]
     before = float("inf")
     for turn in range(ROUNDS):
         size = size_class()
@@ -414,34 +560,58 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         met = met.filter((F.col("c") != F.col("centre.c")) & alike("n", "centre.n"))
         a, b = F.least("fp", "centre.fp").alias("a"), F.greatest("fp", "centre.fp").alias("b")
         stars = written(met.select(a, b).distinct(), "stars")
+        forget(spark, [centres])
         if not stars.isEmpty():
             links = written(links.unionByName(verified(docs, rows, sets, stars)), "links")
-        shared = _in_components(shared.select("k", "fp", "n"), links)
+        shared = _in_components(shared.drop("c"), links)
+        forget(spark, [*made, stars])
+        made = [shared]
         own = shared.groupBy("k", "c").agg(F.count("*").alias("n"))
         left = own.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         unmet = (F.col("n").cast("double") * F.col("n") - F.col("own")) / 2
         left = left.agg(F.sum(unmet).alias("p"), F.sum("n").alias("n")).first()
         if not left.n:
+            forget(spark, [*made, sets])
             return links
         if left.p <= PAIRS_LEFT * left.n or left.p >= 0.9 * before:
             break
         before = left.p
     held = written(shared.groupBy("k").agg(F.count("*").alias("m")), "held")
-    rest = _in_pairs(_join_counted(shared, held.filter(F.col("m") <= BLOCK_SETS), ["k"]))
+    rest = _in_pairs(shared, held.filter(F.col("m") <= BLOCK_SETS))
     if not rest.isEmpty():
         links = written(links.unionByName(verified(docs, rows, sets, rest)), "links")
+    forget(spark, [rest])
     large = held.filter(F.col("m") > BLOCK_SETS)
     if large.isEmpty():
+        forget(spark, [*made, sets])
         return links
-    return links.unionByName(in_blocks(docs, rows, written(_join_counted(shared, large, ["k"]), "large")))
+    large = written(_join_counted(shared, large, ["k"]).drop("place"), "large")
+    forget(spark, [*made, sets])
+    found = in_blocks(docs, rows, large)
+    forget(spark, [large])
+    return links.unionByName(found)
+
 
+def _in_pairs(shared: DataFrame, held: DataFrame) -> DataFrame:
+    """``a, b``: pairs of sets in different components, each once, that share a shingle of ``held(k, m)``.
 
-def _in_pairs(shared: DataFrame) -> DataFrame:
-    """``a, b``: pairs of sets in different components, each once, that share a shingle of few sets."""
-    one = shared.select("k", F.col("fp").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
-    two = shared.select("k", F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-    rest = one.join(two, "k").filter("a < b AND ac <> bc").filter(alike("an", "bn"))
-    return written(rest.select("a", "b").distinct(), "rest")
+    A pair comes from a shingle only if that may be the first both share, with enough left behind it.
+    """
+    found = []
+    pairs = held.agg(F.sum(F.col("m").cast("double") * F.col("m") / 2)).first()[0] or 0
+    after = F.col("n") - F.col("place")
+    for lot in lots(shared.join(broadcast_if_small(held.drop("m")), "k"), pairs, LOT_PAIRS, "k"):
+        one, two = (
+            lot.select("k", *(F.col(x).alias(y + x) for x in ("fp", "n", "c")), after.alias(f"{y}left")) for y in "ab"
+        )
+        enough = F.least("aleft", "bleft") * (OVER + UNDER) >= (F.col("an") + F.col("bn")) * OVER
+        rest = one.join(two, "k").filter("afp < bfp AND ac <> bc").filter(alike("an", "bn") & enough)
+        found.append(written(rest.select(F.col("afp").alias("a"), F.col("bfp").alias("b")).distinct(), "rest"))
+    if len(found) == 1:
+        return found[0]
+    whole = written(reduce(DataFrame.unionByName, found).distinct(), "rest")
+    forget(shared.sparkSession, found)
+    return whole
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -458,4 +628,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     )
     named = rows.select("fp").distinct().join(near, "fp", "left")
     named = written(named.select("fp", F.coalesce("root", "fp").alias("root")), "classes")
-    return first_of_classes(docs, rows, named)
+    kept = first_of_classes(docs, rows, named)
+    forget(docs.sparkSession, [rows, named])
+    return kept

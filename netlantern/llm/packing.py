@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlantern.llm.byte_bpe import slices
-from netlantern.llm.common import text_or_empty, written
+from netlantern.llm.common import give_back, text_or_empty, written
 from netlantern.llm.word_bpe import CACHED, word_codec
 
 CAPACITY = 4096
@@ -234,6 +234,7 @@ def token_pieces(
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known = word_codec(vocabulary_path, cached)
         for batch in batches:
             for low, texts in slices(batch.column(1), TOGETHER):

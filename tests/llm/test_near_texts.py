@@ -1,12 +1,16 @@
 """The pipeline's near-dedup stage against brute force over five-word shingles."""
 
+import os
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from netlantern.llm import near_dedup
+from netlantern.plans.sizing import shared_dir
 from tests.llm.conftest import ODD
 from tests.llm.test_near import roots
 
@@ -127,3 +131,67 @@ def test_links_of_near_fingerprints(llm, docs_of):
         and 5 * len(held[a.fp] & held[b.fp]) >= 4 * len(held[a.fp] | held[b.fp]) > 0
     }
     assert want <= {(r.a, r.b) for r in found} and want
+
+
+def test_bitmaps_never_differ_in_more_than_the_sets():
+    """Bitmaps of any two sizes tell sets apart that aren't similar, and never say more than is so."""
+    draw = random.Random(3)
+    words = [draw.getrandbits(64) for _ in range(4000)]
+    sets = [set(draw.sample(words, n)) for n in (1, 1, 40, 70, 500, 500, 900, 3000)] + [set()]
+    sets += [s | {draw.getrandbits(64)} for s in sets]
+    found = [near_dedup.parities(np.array(sorted(s), np.uint64)).tobytes() for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    far = near_dedup.apart(*(pa.array([found[p[k]] for p in pairs], pa.binary()) for k in (0, 1)))
+    sizes = np.array([len(sets[i]) + len(sets[j]) for i, j in pairs])
+    kept = near_dedup.may_link(far, sizes)
+    for (i, j), least, stays in zip(pairs, far.tolist(), kept.tolist()):
+        x, y = sets[i], sets[j]
+        assert least <= len(x ^ y)
+        assert stays or 5 * len(x & y) < 4 * len(x | y)
+    assert not kept[pairs.index((4, 5))] and {len(b) for b in found} >= {8, 64, 128, 512}
+
+
+def test_unlike_texts_move_no_shingles(llm, docs_of, monkeypatch):
+    """Of texts that share a few words, bitmaps leave no pair whose shingles are then read."""
+    draw = random.Random(7)
+    line = "rare words that these texts share"
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) + f" {line}" for _ in range(40)]
+    docs = docs_of(list(enumerate(texts)))
+    heads = near_dedup.prefixed(docs, near_dedup.shingle_order(docs))
+    sets = near_dedup.shared_heads(heads)
+    fps = sorted(r.fp for r in heads.select("fp").collect())
+    pairs = llm.createDataFrame([(a, b) for a in fps for b in fps if a < b], "a long, b long")
+    pairs = near_dedup.written(pairs, "pairs")
+    monkeypatch.setattr(near_dedup, "members", None)
+    assert near_dedup.verified(docs, heads, sets, pairs).count() == 0
+
+
+def test_lots_and_scratch(llm, docs_of, monkeypatch):
+    """Many small lots give the same classes; tables that grow with the input go once they are used."""
+    for name in ("LOT_BYTES", "LOT_PAIRS"):
+        monkeypatch.setattr(near_dedup, name, 20_000)
+    monkeypatch.setattr(near_dedup, "LOT_SHARE", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 16)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    shared = f"{shared_dir(llm)}".removeprefix("file:")
+    had = set(os.listdir(shared))
+    rows = copies()[:70]
+    low, _ = classes_of(rows)
+    kept = near_dedup.drop_near_copies(docs_of(rows)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({rows[c][0] for c in low.values()})
+    left = {x.partition("-")[0] for x in set(os.listdir(shared)) - had}
+    large = "prefixes sets shared centres stars promising members rest large dealt classes".split()
+    assert not left & set(large)
+
+
+def test_common_shingles_count_as_one(llm):
+    """Shingles of the same sets have one key; those of other sets keep theirs where that makes fewer pairs."""
+    rows = [(k, fp, 9, fp) for k in (1, 2, 3) for fp in range(k % 2, 8)]
+    rows += [(k, 100 * k + fp if fp else 100, 9, fp) for k in (5, 6, 7, 8) for fp in range(8)]
+    shared = near_dedup.written(llm.createDataFrame(rows, "k long, fp long, n long, c long"), "shared")
+    found = {}
+    for r in near_dedup._one_of_same(shared).collect():
+        found.setdefault(r.k, []).append(r.fp)
+    groups = sorted(sorted(x) for x in found.values())
+    alone = [sorted({fp for k, fp, _, _ in rows if k == key}) for key in (5, 6, 7, 8)]
+    assert groups == sorted([list(range(8)), *alone])
